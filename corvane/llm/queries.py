@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, sharding, toxicity, warc
+from . import chat, decontaminate, packing, quality, repeats, sharding, toxicity, warc
 from .common import table
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -39,6 +39,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove(table(spark, sf_dir, "documents")))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, F.col("doc_id"), SHARDS).select("doc_id", "slot", "shard")
@@ -49,5 +53,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_toxicity_grammar, op5_chat_formatting, op6_packing, op9_sharding, op10_warc)
+    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_toxicity_grammar, op5_chat_formatting, op6_packing, op8_suffix_dedup, op9_sharding, op10_warc)
 }
