@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, quality, repeats, sharding, toxicity, warc
+from . import chat, decontaminate, jaccard, packing, quality, repeats, sharding, toxicity, warc
 from .common import table
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -26,6 +26,10 @@ def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -53,5 +57,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_toxicity_grammar, op5_chat_formatting, op6_packing, op8_suffix_dedup, op9_sharding, op10_warc)
+    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_toxicity_grammar, op4_jaccard_join, op5_chat_formatting, op6_packing, op8_suffix_dedup, op9_sharding, op10_warc)
 }
