@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, packing, quality, repeats, sharding, toxicity, warc
+from . import ann, chat, decontaminate, jaccard, packing, quality, repeats, sharding, toxicity, warc
 from .common import table
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -43,6 +43,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove(table(spark, sf_dir, "documents")))
 
@@ -57,5 +62,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_toxicity_grammar, op4_jaccard_join, op5_chat_formatting, op6_packing, op8_suffix_dedup, op9_sharding, op10_warc)
+    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_toxicity_grammar, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_learned_partitions, op8_suffix_dedup, op9_sharding, op10_warc)
 }
