@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE_ROWS = 8192
+SAMPLE_ROWS = 4096
 PARTS = 32
 NEIGHBOURS = 10
 #: Recall on the sample that decides how many parts a query visits.
 WANTED_RECALL = 0.98
 CHUNK = 4096
-HIDDEN, STEPS, RATE = 128, 250, 0.01
+HIDDEN, STEPS, RATE = 128, 150, 0.01
 #: Slack of the fast scores, within which exact ones decide.
 SLACK = 1e-9
 
