@@ -71,7 +71,7 @@ def test_html():
     assert page["runs"] == ["ab", "c"] and page["urls"] == ["i.png", "j.png", "k.png", "o", "/r"] and page["readable"] == ["t"]
     assert page["scripts"] == ['var x="s"'] and page["style_blocks"] == ["p{}"]
     d = Denied(organisation="acme", repository="vault")
-    assert extract.scan_html('<iframe srcdoc="&lt;a href='java&#10;script:x'&gt;"></iframe>', d) == [("srcdoc.urls", "dangerous scheme")]
+    assert extract.scan_html('<iframe srcdoc="&lt;a href=&quot;java&#10;script:x&quot;&gt;"></iframe>', d) == [("srcdoc.urls", "dangerous scheme")]
     assert extract.scan_html("<style>p::before{content:'acme' '/vault'}</style>", d) == [("styles", "repository coordinate")]
     assert extract.scan_html("<script>// acme/vault\n</script>", d) == [("scripts", "repository coordinate")]
 
