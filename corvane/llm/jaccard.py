@@ -52,8 +52,8 @@ from .hashing import mixed, shingle_sets
 
 BLOCK = 1 << 20
 CELL = 256
-#: Bits of the parity bitmap of a set.
-PARITY = 1024
+#: Least and most bits of the parity bitmap of a set; between them it has at least as many as the set has elements.
+PARITY = (1024, 1 << 20)
 #: Most shingles that count as very frequent, and the least texts they stand in.
 MAX_HOT, HOT_TEXTS = 50_000, 256
 #: Share of a stretch of texts in which a shingle must stand to be counted as a heavy hitter.
@@ -78,6 +78,30 @@ def fingerprint(tokens: np.ndarray) -> np.uint64:
     return mixed(np.array([mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64))[0]
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit per hash of an element, set if an odd number of elements share it; the number of bits is a power of two."""
+    size = min(PARITY[1], max(PARITY[0], 1 << (len(tokens) - 1).bit_length() if len(tokens) else 0))
+    return np.packbits((np.bincount((tokens >> np.uint64(20)) % np.uint64(size), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bits that differ between bitmaps, pair by pair: a lower bound of the symmetric difference. The longer one is folded to the shorter."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b)]).reshape(-1, 2)
+    for x, y in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (x, y)).all(1))
+        for k in range(0, len(at), max(1, (8 << 20) // max(x, y))):
+            part = at[k : k + max(1, (8 << 20) // max(x, y))]
+            left, right = (np.frombuffer(b"".join(side[i] for i in part), np.uint8).reshape(len(part), -1) for side in (a, b))
+            while left.shape[1] != right.shape[1]:
+                if left.shape[1] < right.shape[1]:
+                    left, right = right, left
+                half = left.shape[1] // 2
+                left = left[:, :half] ^ left[:, half:]
+            out[part] = np.bitwise_count(left ^ right).sum(1)
+    return out
+
+
 def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     data, offsets = byte_column(batch.column(column))
     for a, b in blocks(offsets, BLOCK):
@@ -98,7 +122,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for first, sets in _sets(batch, 1, width):
                 f = np.array([fingerprint(s) if len(s) else 0 for s in sets], np.uint64)
-                bits = [np.packbits((np.bincount((s >> np.uint64(20)) % np.uint64(PARITY), minlength=PARITY) & 1).astype(np.uint8)).tobytes() for s in sets]
+                bits = [parity(s) for s in sets]
                 n = [len(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(f.view(np.int64)), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array([False] * len(sets), pa.bool_())], names=["doc_id", "f", "n", "parity", "hit"])
                 held += [s for s in sets if len(s)]
@@ -274,12 +298,9 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("long")
     def differ(a, b):
-        if not len(a):
-            return a.astype("int64")
-        x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1) ^ np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1)
         import pandas as pd
 
-        return pd.Series(np.bitwise_count(x).sum(1).astype(np.int64))
+        return pd.Series(differing(a.tolist(), b.tolist()))
 
     wide = wide.filter(F.least("n_q", "n_m") >= least)
     return wide.filter((F.col("n_q") + F.col("n_m") - differ("p_q", "p_m")) / 2 >= least).select("q", "m")

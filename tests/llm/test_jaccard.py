@@ -84,3 +84,15 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == root
+
+
+def test_parity_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 5, 900, 1100, 3000, 9000)]
+    sets += [np.unique(np.concatenate([s, sets[3][:200]])) for s in sets]
+    pairs = [(a, b) for a in sets for b in sets]
+    got = jaccard.differing([jaccard.parity(a) for a, _ in pairs], [jaccard.parity(b) for _, b in pairs])
+    true = np.array([len(np.setxor1d(a, b)) for a, b in pairs])
+    assert (got <= true).all()
+    alike = [min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) for a, b in pairs]
+    assert all(g >= 0.2 * t for g, t, x in zip(got, true, alike) if x)
