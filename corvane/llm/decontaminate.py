@@ -264,12 +264,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     found = found.filter(hit <= F.col("n_words") * F.lit(max_coverage))
     found = found.withColumn("spans", F.filter("spans", lambda s: s["end"] - s["start"] >= min_span))
 
-    @F.udf("string")
-    def cut(text, spans):
-        return _cut(text, spans)
-
-    text = F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_cut(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+
+    found = found.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text", "spans")
+    done = found.mapInArrow(cut, found.schema)
+    back = {c: F.col(f"k{i}") for i, c in enumerate(keep)} | {"text": F.col("text")}
+    return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else back[c].alias(c) for c in docs.columns])
 
 
 def digests(found: DataFrame) -> DataFrame:

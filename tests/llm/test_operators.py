@@ -1,0 +1,284 @@
+"""Decontamination, chat formatting, packing, sharding, WARC, classifiers, and the pipeline's contract."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.llm import chat, decontaminate, labels, packing, quality, sharding, toxicity, warc
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=str)
+
+
+# --- decontamination
+
+
+def brute_hits(docs, items, window):
+    out = []
+    for d, text in docs:
+        words = decontaminate.words_of((text or "").encode())
+        hit, found = [False] * len(words), set()
+        for i, t in items:
+            w = decontaminate.words_of((t or "").encode())
+            size = min(window, len(w))
+            for k in range(len(w) - size + 1) if w else ():
+                for a in range(len(words) - size + 1):
+                    if words[a : a + size] == w[k : k + size]:
+                        hit[a : a + size] = [True] * size
+                        found.add(i)
+        named = ",".join(sorted(map(str, found)))
+        out.append((d, len(words), sum(hit), len(found), hashlib.sha256(named.encode()).hexdigest(), any(hit)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [200_000, 12])
+def test_decontamination_is_that_of_brute_force(spark, block):
+    rng = random.Random(7)
+    some = lambda n: [rng.choice("abcdeé") for _ in range(n)]
+    items = [(k, " ".join(some(rng.randint(3, 14)))) for k in range(12)] + [(20, "b"), (21, None), (22, "!"), (23, "X Y z"), (24, "x y Z!")]
+    docs = [(k, " ".join(some(rng.randint(0, 30)) + (items[rng.randrange(12)][1].upper().split() if rng.random() < 0.5 else []) + some(4))) for k in range(40)]
+    docs += [(90, None), (91, ""), (92, "x, y - z"), (93, "xy z"), (94, "x y"), (95, docs[3][1])]
+    for chosen in (items, [i for i in items if i[0] not in (20, 23, 24)]):
+        d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit(1)).withColumn("spans", F.lit("x"))
+        b = spark.createDataFrame(chosen, "item_id long, text string")
+        assert rows(decontaminate.digests(decontaminate.find(d, b, window=5, block_words=block))) == brute_hits(docs, chosen, 5)
+
+
+def test_decontaminate_cuts_spans_and_drops_covered(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"A start, {item}! And an end of some words that stay as they are here, all of them.", "en", 0), (2, item, "en", 0), (3, "clean", "en", 5), (4, None, None, None)], "doc_id long, text string, lang string, n_chars long")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item.upper())], "item_id long, text string"))
+    assert got.columns == docs.columns
+    want = "A start, ! And an end of some words that stay as they are here, all of them."
+    assert rows(got, "doc_id", "text", "n_chars") == [(1, want, len(want)), (3, "clean", 5), (4, None, None)]
+    assert decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).count() == 4
+
+
+# --- chat formatting
+
+
+def test_chat_round_trip(spark):
+    data = [(1, 2, "assistant", "b[\\1]"), (1, 1, "user", "</s>[INST] x <s>"), (1, 3, "assistant", "\\0\\[/OUT]"), (2, 1, None, None), (2, 1, "tool [x]", "[TEXT]<"), (2, None, "system", "[SYS]"), (3, 1, "user", ""), (None, 1, "user", "é\n\n"), (3, 1, "user", "")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("formatted", F.lit("x"))
+    formatted = chat.format_conversations(df)
+    for r in chat.read_back(formatted).collect():
+        own = sorted(((x[1] is not None, x[1] or 0, x[2] or "", x[3] or "") for x in data if x[0] == r["conv_id"]))
+        assert [tuple(t[1:]) for t in r["turns"]] == [x[2:] for x in own]
+        assert "".join(s["piece"] for s in r["segments"]) == r["formatted"]
+        assert sum(s["loss"] for s in r["segments"]) == sum(x[2] == "assistant" for x in own)
+    one = chat.digests(formatted).filter("conv_id = 1").first()
+    assert one["loss_sha256"] == hashlib.sha256("b[\\1]\\0\\[/OUT]".encode()).hexdigest() and one["n_turns"] == 3
+    blocks = formatted.filter("conv_id = 1").first()["formatted"]
+    assert blocks.count("</s>") == 1 and blocks.count("[OUT+]") == 1
+    assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
+# --- packing
+
+
+def tokenizer_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_word_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    e = packing.WordEncoder(tokenizer_path())
+    texts = ["", " ", "Hello, World!! it's 42,5% <|endoftext|>x y\tz\r\n", "été İstanbul ΣΑΣ straße ÀÉÎ... don't 'S", "a" * 300 + " " + "é," * 50, "日本語 text ,.!", "x​y \x1c q", "Ünï,cödé; foo|bar&&& ###", "  two  spaces \n\n"]
+    texts += ["".join(random.Random(s).choice("abcÉß .,'!\n\té̀|&<>|0 ") for _ in range(200)) for s in range(40)]
+    for text, got in zip(texts, e.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_word_encoder_survives_an_emptied_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    e = packing.WordEncoder(tokenizer_path())
+    first = e.encode(["one two three four five"])
+    assert e.encode(["five six one"])[0][: 4] == first[0][-4:]
+
+
+def test_assign_fills_sequences_exactly():
+    rng = random.Random(0)
+    for n in (0, 1, 5, 300):
+        lengths = [rng.choice([1, 2, 30, 400, 4095, 4096, 4097, 9000]) for _ in range(n)]
+        pieces = packing.assign(lengths)
+        filled, at = {}, {}
+        for s, offset, d, start, length in pieces:
+            assert offset == filled.get(s, 0) and length > 0
+            filled[s] = offset + length
+            at.setdefault(d, []).append((start, length))
+        for d, length in enumerate(lengths):
+            parts = sorted(at[d])
+            assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and sum(p[1] for p in parts) == length
+        assert all(x == 4096 or x & (x - 1) == 0 for x in filled.values())
+
+
+def test_packing_keeps_every_token(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    docs = [(k, " ".join(["word"] * (k * 97 % 6000)) + " end") for k in range(20)] + [(50, None), (51, ""), (None, "x"), (3, "again")]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").withColumn("ids", F.lit(1)).coalesce(2), tokenizer_path()).collect()
+    t = Tokenizer.from_file(tokenizer_path())
+    want = sorted((str(d), t.encode(x or "", add_special_tokens=False).ids + [2]) for d, x in docs)
+    whole = {}
+    for r in sorted(got, key=lambda r: r["start"]):
+        whole.setdefault((str(r["doc_id"]), r["doc_tokens"]), []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+        assert r["length"] * 4 == len(r["ids"])
+    assert sorted((d, ids) for (d, _), ids in whole.items()) == want
+    spans = {}
+    for r in got:
+        spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s in spans.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(s, s[1:])) and sum(b for _, b in s) <= 4096
+
+
+# --- sharding
+
+
+def test_lookup_table_is_balanced_and_stable():
+    names = [f"s{k}" for k in range(10)]
+    a = sharding.lookup_table(names, 1009)
+    counts = np.bincount(a)
+    assert counts.max() - counts.min() <= 1
+    b = sharding.lookup_table(names[:-1], 1009)
+    moved = sum(x != y for x, y in zip(a, b) if x != 9)
+    assert moved < 0.25 * 1009
+    with pytest.raises(ValueError):
+        sharding.lookup_table(names, 1000)
+
+
+def test_placement(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "k long, shard string")
+    got = sharding.place(df, F.col("k"), ["x", "y", "z"], 101)
+    owners = sharding.lookup_table(["x", "y", "z"], 101)
+    for r in got.collect():
+        slot = int(hashlib.md5(("" if r["k"] is None else str(r["k"])).encode()).hexdigest()[:15], 16) % 101
+        assert (r["slot"], r["shard"]) == (slot, "xyz"[owners[slot]])
+    assert got.count() == 4 and "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+# --- WARC
+
+
+def test_warc_round_trip_over_any_split(spark, tmp_path):
+    rng = random.Random(1)
+    pages = [(k, f"http://e.org/{k}", rng.choice(["same", "other é", None, "x" * rng.randint(0, 3000), "\x1f\x8b\x08" * 40])) for k in range(60)]
+    pages += [(None, None, "same"), (70, "http://e.org/a\r\nb", "same"), (70, "http://e.org/c", "same")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("record_type", F.lit(1)).repartition(3)
+    manifest = warc.write_archives(df, f"file://{tmp_path}/a", file_bytes=2000)
+    assert manifest.count() > 3
+    largest = {}
+    for i, _, h in pages:
+        if i is not None:
+            largest[h or ""] = max(i, largest.get(h or "", -1))
+    want = sorted(((i, len((h or "").encode()), warc.digest((h or "").encode()), "response" if i == largest[h or ""] else "revisit", None if i == largest[h or ""] else largest[h or ""]) for i, _, h in pages), key=str)
+    for split in (37, 1000, 1 << 20):
+        got = warc.read_archives(spark, manifest, split)
+        assert rows(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
+    assert {r[0] for r in rows(got.filter("page_id = 70"), "url")} == {"http://e.org/a%0D%0Ab", "http://e.org/c"}
+    assert warc.round_trip(spark, df.limit(0)).count() == 0
+
+
+def test_reader_passes_over_false_and_broken_members(tmp_path):
+    good = [warc.record(k, "http://e.org", b"p%d" % k, None) for k in range(3)]
+    data = good[0] + b"\x1f\x8b\x08junk" + good[1][:40] + b"...." + good[2]
+    (tmp_path / "f").write_bytes(data)
+    with pa.OSFile(str(tmp_path / "f")) as source:
+        assert [r["page_id"] for _, r in warc.read_range(source, 0, len(data))] == [0, 2]
+
+
+# --- classifiers
+
+
+def test_quality_rules(spark):
+    rng = random.Random(2)
+    good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(rng.randint(20, 80))) + "."
+    bad = lambda: rng.choice([lambda: " | ".join(good().split()), lambda: good().upper().replace(" ", "!! "), lambda: " ".join(["spam"] * 40)])()
+    docs = [(k, bad() if k % 5 == 0 else good(), "en", "s", 1) for k in range(800)]
+    d = spark.createDataFrame(docs + [(9000, None, None, None, None), (9001, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, score int")
+    y = spark.createDataFrame([(k, int(k % 5 != 0), None) for k in range(800)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.classify(d, y).collect()}
+    assert len(got) == 802 and all(0 <= r["score"] <= 1 for r in got.values())
+    held = [r for k, r in got.items() if r["held_out"] and k < 9000]
+    assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in got.items())
+    assert np.mean([r["predicted"] == (r["doc_id"] % 5 != 0) for r in held]) > 0.95
+    kept = quality.keep_good(d, y)
+    assert kept.columns == d.columns and kept.filter("doc_id < 800 and doc_id % 5 = 0").count() < 10
+    assert {r["score"] for r in quality.classify(d, y.limit(0)).collect()} == {0.5}
+    assert quality.classify(d.limit(0), y).count() == 0
+
+
+def test_toxicity_grammar(spark):
+    rng = random.Random(3)
+    plain = lambda: [f"w{''.join(rng.choice('aeiou') for _ in range(3))}" for _ in range(rng.randint(5, 40))]
+
+    def toxic():
+        w = plain()
+        w.insert(rng.randrange(len(w)), "grubbl" + rng.choice(["er", "ig", "isch", "an", "el", "on"]))
+        return w
+    docs = [(k, " ".join(toxic() if k % 6 == 0 else plain())) for k in range(1200)] + [(9000, None), (9001, ""), (9002, "a grubblustration sit.")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit(1))
+    y = spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(1200)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.classify(d, y).collect()}
+    held = [r for k, r in got.items() if r["held_out"] and k < 9000]
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 6 == 0) for r in held]) > 0.98
+    assert got[9002]["predicted"] == 1 and got[9000]["predicted"] == got[9001]["predicted"] == 0
+    assert toxicity.classify(d.limit(0), y).count() == 0 and toxicity.classify(d, y.limit(0)).count() == len(docs)
+
+
+def test_grammar_marks_clauses():
+    lex = toxicity.Lexicon(toxicity.seed_words(), frozenset())
+    marks = lambda t: [i for i, v in enumerate(toxicity.features(t, lex)) if v and i not in (0, 7)]
+    assert marks("a moron stood") == [1] and marks("you are a moron") == [2]
+    assert marks("he is not a moron") == [3] and marks("she said that he is a moron") == [4]
+    assert marks("he is not here. a moron is") == [1]
+    assert marks("i will kill you") in ([5], [2], [2, 5], [2, 6]) and marks("they kill time") == [6] and marks("") == []
+
+
+def test_distinct_texts(spark):
+    base = " ".join(f"w{k}" for k in range(200))
+    docs = [(k, base + f" tail{k}", 1) for k in range(30)] + [(100, "something else here", 0)]
+    found = spark.createDataFrame(docs, "doc_id long, text string, label int").select("text", "label", "doc_id")
+    assert labels.distinct(found).count() <= 4
+
+
+# --- pipeline
+
+
+def test_stages_return_the_columns_of_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)) + "."
+    shared, item = text(), text()
+    docs = [(k, text(), "en", "s", 0) for k in range(30)]
+    docs += [(40, docs[0][1] + " more", "en", "s", 0), (41, docs[1][1], "en", "s", 0), (42, text() + "\n" + shared, "en", "s", 0), (43, shared + "\n" + text(), "en", "s", 0), (44, item, "en", "s", 0), (45, text() + " " + item + " " + text(), "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = now.columns
+    seen = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, now, str(tmp_path))
+        assert out.columns == columns, name
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        now = spark.read.parquet(f"{tmp_path}/stage{k}")
+        seen.append({r["doc_id"]: r["text"] for r in now.collect()})
+    assert set(seen[1]) == {d[0] for d in docs} - {40, 41}
+    assert seen[2][42].endswith(shared) and shared not in seen[2][43]
+    assert 44 not in seen[3] and item not in seen[3][45] and len(seen[3][45]) > 600
+    assert all(seen[3][d[0]] == d[1] for d in docs[:30])
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+    assert {r["doc_id"] for r in pieces.collect()} == set(seen[3])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == pieces.count()
