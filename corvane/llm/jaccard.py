@@ -13,8 +13,8 @@ expanded into pairs, but no link between different texts is lost.
    order; classes that link share a posted shingle.
 3. Contraction: each class is compared with the leader it meets most often among
    its posted shingles' classes (one pair per class).
-4. What remains are pairs that share a posted shingle and aren't in one
-   component yet. Two classes that meet at a frequent shingle post all their
+4. What remains are pairs that share a posted shingle and don't link with the
+   same leader. Two classes that meet at a frequent shingle post all their
    other shingles; so either they meet there too, or the frequent ones alone must
    reach T, which sizes rule out for most. Sizes and parity bitmaps, both exact
    bounds, leave few pairs.
@@ -306,6 +306,13 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return wide.filter((F.col("n_q") + F.col("n_m") - differ("p_q", "p_m")) / 2 >= least).select("q", "m")
 
 
+def _led(edges: DataFrame) -> DataFrame:
+    """(node, root): the leader of each class (or that one's leader) with which it links. A class has one leader at most, so this is no search for components; it only leaves fewer pairs."""
+    up = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    above = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return up.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows (doc_id, f, n, component): f is the fingerprint of the row's set, component the smallest doc_id of all rows reachable by links."""
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -319,18 +326,22 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # Classes that share a posted shingle; one row of a class and shingle, though several tasks may have posted it.
     by_token = Window.partitionBy("token")
     posts = postings(docs, width, percent, hot).withColumn("again", F.lag("f").over(by_token.orderBy("f"))).filter("again is null or again <> f").drop("again")
-    order = F.struct((F.col("own") * 16 / F.col("n")).cast("int").alias("share"), F.col("f").alias("f"), F.col("n").alias("n"))
-    posts = posts.withColumn("texts", F.count("*").over(by_token)).filter("texts > 1").withColumn("leader", F.min(order).over(by_token))
-    posts = stored(posts.select("token", "f", "n", "own", "hot", F.col("leader.f").alias("leader"), F.col("leader.n").alias("leader_n")), "jaccard-posts")
-
+    posts = posts.withColumn("texts", F.count("*").over(by_token)).filter("texts > 1")
+    posts = stored(posts.select("token", "f", "n", "own", "hot", "texts"), "jaccard-posts")
+
+    # A class whose posted shingles stand in many others is central; it leads where they meet.
+    central = posts.groupBy("f").agg((F.sum("texts") * 1000 / F.first("n")).cast("long").alias("weight"))
+    weighed = posts.select("token", "f", "n").join(central, "f")
+    leader = F.max(F.struct("weight", "f", "n")).over(by_token)
+    weighed = weighed.withColumn("leader", leader).select("f", "n", F.col("leader.f").alias("leader"), F.col("leader.n").alias("leader_n"))
     near = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
-    votes = posts.filter((F.col("f") != F.col("leader")) & near).groupBy("f", "leader").agg(F.count("*").alias("votes"))
+    votes = weighed.filter((F.col("f") != F.col("leader")) & near).groupBy("f", "leader").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("f").agg(F.max(F.struct("votes", "leader")).alias("best")).select(F.col("best.leader").alias("q"), F.col("f").alias("m"))
     first = stored(_possible(chosen, classes, percent), "jaccard-first")
     edges = stored(verify(docs, first, width, percent), "jaccard-edges")
-    joined = components(edges)
+    joined = _led(edges)
 
-    # Pairs across components that meet at a shingle. The largest component of a shingle's classes needs no pairs within.
+    # Pairs without a common leader that meet at a shingle. The largest such group of a shingle's classes needs no pairs within.
     met = posts.select("token", "f", "n", "own", "hot").join(joined.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     met = met.withColumn("low", F.min("root").over(by_token)).withColumn("high", F.max("root").over(by_token)).filter("low <> high")
     size = F.count("*").over(Window.partitionBy("token", "root"))
