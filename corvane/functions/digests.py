@@ -30,3 +30,10 @@ def ordered_digest(files: Column, domain: str) -> Column:
 def fold_digest(digests: Column, domain: str) -> Column:
     """SHA-256 over the domain and hex digests in array order: the second level of an ordered digest."""
     return F.sha2(F.concat(F.lit(domain).cast("binary"), F.array_join(digests, "").cast("binary")), 256)
+
+
+def release_digest(files: Column, manifest_json: Column, domain: str) -> Column:
+    """ordered_digest() with the framed canonical JSON of the manifest (without its binding) after the files."""
+    keyed = F.transform(files, lambda f: F.struct(F.encode(f["path"], "UTF-16BE").alias("key"), f["path"].alias("path"), f["content"].alias("content")))
+    parts = F.transform(F.array_sort(keyed), lambda f: F.hex(F.concat(frame(f["path"]), frame(f["content"]))))
+    return F.sha2(F.concat(F.lit(domain).cast("binary"), F.unhex(F.array_join(parts, "")), frame(manifest_json)), 256)
