@@ -26,6 +26,7 @@ from .labels import SAMPLE_ROWS, remainder, sample, with_texts
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 TREES, DEPTH, BINS, RATE, MIN_LEAF = 24, 3, 24, 0.3, 10
+BARRIER = "__partition"
 PENALTY = 0.002
 STEPS = 600
 
@@ -174,14 +175,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return fit(got[:, 1:], got[:, 0], list(stats))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column `score`."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the score as column `name`, which replaces one of that name, and BARRIER.
+
+    BARRIER is no fixed value, so a filter that reads it too stays above the
+    statistics, and each of them is computed once a row.
+    """
     own = docs.columns
     names = [f"__{n}" for n in model.names]
     stats = statistics(F.col("text"))
-    wide = docs.select("*", *[stats[n].alias(m) for n, m in zip(model.names, names)])
+    wide = docs.select("*", *[stats[n].alias(m) for n, m in zip(model.names, names)], F.spark_partition_id().alias(BARRIER))
     renamed = Model(names, model.rules, model.weights, model.bias)
-    return wide.select(*[F.col(c) for c in own if c != "score"], renamed.column().alias("score"))
+    return wide.select(*[F.col(c) for c in own if c != name], renamed.column().alias(name), BARRIER)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -193,5 +198,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
-    scored = score(docs, train(docs, labels))
-    return scored.filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    scored = score(docs, train(docs, labels), "__quality")
+    return scored.filter((F.col("__quality") >= THRESHOLD) & (F.col(BARRIER) >= 0)).select(*docs.columns)
