@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,3 +78,12 @@ def blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def binary_from(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary Arrow array over data cut at offsets."""
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def release_memory() -> None:
+    """Give what a task no longer uses back to the system: Python workers outlive tasks, and the next stage needs the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

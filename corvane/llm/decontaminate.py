@@ -25,13 +25,15 @@ named columns are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 WINDOW = 10
 BLOCK_WORDS = 200_000
 #: decontaminate(): documents with a larger share of hit words go whole.
@@ -208,10 +210,11 @@ def automata(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Su
     yield SuffixAutomaton(block, window)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_words: int = BLOCK_WORDS, edit: Callable[[bytes, int, list], bytes | None] | None = None) -> DataFrame:
     """Per document: the columns of `keep`, n_words, spans array<struct<start,end>> (words, merged), items array<long>.
 
     The order of items is that of their ids; null item ids are not reported but count as hits.
+    edit(text, words, spans) may change the texts that have spans.
     """
     kept = [f"k{i}" for i in range(len(keep))]
     docs = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col("text").cast("binary").alias("text"))
@@ -220,7 +223,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
     df = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("items"))
     schema = df.schema
 
-    def step(automaton: SuffixAutomaton):
+    def step(automaton: SuffixAutomaton, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(0, max(1, batch.num_rows), 500):
@@ -237,12 +240,19 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
                                 merged.append({"start": a, "end": b})
                         spans.append(merged)
                         items.append(sorted({*i, *ids} - {None}))
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], part.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.int64()))], names=names)
+                    if last and edit is not None:
+                        texts = [edit(t, n, s) if s else t for t, n, s in zip(texts, n_words, spans)]
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(texts, pa.binary()), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.int64()))], names=names)
+            release_memory()
 
         return run
 
+    waiting = None
     for automaton in automata(benchmark, window, block_words):
-        df = df.mapInArrow(step(automaton), schema)
+        if waiting is not None:
+            df = df.mapInArrow(step(waiting, False), schema)
+        waiting = automaton
+    df = df.mapInArrow(step(waiting, True), schema)
     return df.select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "n_words", "spans", "items", F.col("text").cast("string").alias("text"))
 
 
@@ -259,20 +269,16 @@ def _cut(text: str, spans: list) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """docs (columns of documents) without hit spans of at least min_span words; documents with a larger share of hit words than max_coverage go."""
     keep = tuple(c for c in docs.columns if c != "text")
-    found = find(docs, benchmark, keep, window)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    found = found.filter(hit <= F.col("n_words") * F.lit(max_coverage))
-    found = found.withColumn("spans", F.filter("spans", lambda s: s["end"] - s["start"] >= min_span))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [_cut(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
-
-    found = found.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "text", "spans")
-    done = found.mapInArrow(cut, found.schema)
-    back = {c: F.col(f"k{i}") for i, c in enumerate(keep)} | {"text": F.col("text")}
-    return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else back[c].alias(c) for c in docs.columns])
+
+    def edit(text: bytes, words: int, spans: list) -> bytes | None:
+        if sum(s["end"] - s["start"] for s in spans) > max_coverage * words:
+            return None
+        wanted = [s for s in spans if s["end"] - s["start"] >= min_span]
+        return _cut(text.decode(), wanted).encode() if wanted else text
+
+    found = find(docs, benchmark, keep, window, edit=edit).filter((F.size("spans") == 0) | F.col("text").isNotNull())
+    changed = F.size("spans") > 0
+    return found.select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def digests(found: DataFrame) -> DataFrame:

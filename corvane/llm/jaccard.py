@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_column, stored
+from .common import blocks, byte_column, release_memory, stored
 from .graph import components
 from .hashing import mixed, shingle_sets
 
@@ -132,6 +132,8 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield hits(held)
+        held.clear()
+        release_memory()
 
     return docs.mapInArrow(run, "doc_id long, f long, n long, parity binary, hit boolean")
 
@@ -174,6 +176,8 @@ def postings(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
                     ],
                     names=["token", "f", "n", "own", "hot"],
                 )
+        seen.clear()
+        release_memory()
 
     return docs.mapInArrow(run, "token long, f long, n int, own int, hot boolean")
 
@@ -258,6 +262,8 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
                         tokens.append(s.tobytes())
                 if f:
                     yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(tokens, pa.binary())], names=["f", "tokens"])
+        seen.clear()
+        release_memory()
 
     shipped = docs.mapInArrow(sets, "f long, tokens binary")
     cells = pairs.withColumn("cell", F.floor((F.row_number().over(Window.partitionBy("q").orderBy("m")) - 1) / CELL).cast("int"))
@@ -286,6 +292,8 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
         if now is not None:
             out = solve(now, held)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        held = {}
+        release_memory()
 
     return filled.mapInArrow(run, "a long, b long")
 

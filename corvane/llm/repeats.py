@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_column, blocks, stored
+from .common import blocks, byte_column, release_memory, stored
 
 LENGTH = 200
 #: Bytes that are hashed for the key of a window.
@@ -165,6 +165,7 @@ def _find_segments(docs: DataFrame, length: int) -> DataFrame:
                     ],
                     names=["key", "h1", "h2", "doc_id", "tid", "start", "n", "recurs"],
                 )
+        release_memory()
 
     return docs.mapInArrow(run, "key long, h1 long, h2 long, doc_id long, tid long, start long, n int, recurs boolean")
 
@@ -271,6 +272,8 @@ def _spans_by_suffix_arrays(pieces: DataFrame, length: int, first: bool) -> Data
                 size += len(row[6])
         if held:
             yield flush(held)
+        held = []
+        release_memory()
 
     return pieces.mapInArrow(run, SPANS)
 
@@ -318,6 +321,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append(merged)
         others = [c for c in batch.schema.names if c not in ("text", "found")]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], batch.column("text"), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*others, "text", "spans", "kept"])
+    release_memory()
 
 
 def find_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
