@@ -50,7 +50,7 @@ from .common import blocks, byte_column, release_memory, stored
 from .graph import components
 from .hashing import mixed, shingle_sets
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 CELL = 256
 #: Least and most bits of the parity bitmap of a set; between them it has at least as many as the set has elements.
 PARITY = (1024, 1 << 20)
@@ -58,7 +58,7 @@ PARITY = (1024, 1 << 20)
 MAX_HOT, HOT_TEXTS = 50_000, 256
 #: Share of a stretch of texts in which a shingle must stand to be counted as a heavy hitter.
 HOT_SHARE = 0.001
-STRETCH = 4_000_000
+STRETCH = 1_000_000
 #: log2 of the bits of the filter of fingerprints.
 FILTER_BITS = 25
 #: The weight of DivideSkip's choice of long lists.

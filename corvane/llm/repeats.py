@@ -52,7 +52,7 @@ K = 64
 MAX_CLASSES = 4096
 MAX_WINDOWS = 4096
 BLOCK = 1 << 20
-SUFFIX_BLOCK = 2 << 20
+SUFFIX_BLOCK = 1 << 20
 _SEED = np.random.default_rng(20240229)
 _CODE = _SEED.integers(0, 2**64, (2, 256), dtype=np.uint64)
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
