@@ -30,9 +30,10 @@ Spans of removed bytes are joined back to their documents.
 
 Edge cases: null text is empty; texts shorter than `length` have no window; long
 texts are processed in slices; rows that repeat id and text count as copies of
-each other for keep="none", and are treated alike for keep="first"; a null doc_id
-is a value of its own; empty tables give no rows. Only doc_id and text are read
-besides the columns that are passed on.
+each other, and keep="first" keeps the passages of one of them (that with the
+smallest hash of the columns passed on); a null doc_id is a value of its own;
+empty tables give no rows. Only doc_id and text are read besides the columns that
+are passed on.
 """
 
 from __future__ import annotations
@@ -325,17 +326,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
-    """(doc_id, tid, found array<struct<lo,hi>>): the bytes to remove, of (doc_id, text binary, tid)."""
+    """(doc_id, tid, found array<struct<lo,hi>>): the bytes to remove, of (doc_id, text binary, tid).
+
+    For keep="first" rows that repeat doc_id and tid count as one row here.
+    """
     if keep not in ("none", "first"):
         raise ValueError("keep must be 'none' or 'first'")
     first = keep == "first"
     by_key = Window.partitionBy("key")
     by_class = Window.partitionBy("key", "h1", "h2")
+    in_order = by_class.orderBy("doc_id", "tid", "start")
+    # With keep="first", the first segment of a class stands in all rows that repeat its row.
     live = (
         _find_segments(docs.select("doc_id", "tid", "text"), length)
-        .withColumn("turn", F.row_number().over(by_class.orderBy("doc_id", "tid", "start")))
+        .withColumn("turn", (F.rank() if first else F.row_number()).over(in_order))
         .withColumn("equal", F.count("*").over(by_class))
-        .withColumn("classes", F.sum((F.col("turn") == 1).cast("int")).over(by_key))
+        .withColumn("leads", (F.row_number().over(in_order) if first else F.col("turn")) == 1)
+        .withColumn("classes", F.sum(F.col("leads").cast("int")).over(by_key))
         .filter("equal > 1 or classes > 1 or recurs")
         .select("key", "doc_id", "tid", "start", "n", "equal", "turn", "classes", "recurs")
     )
@@ -370,9 +377,18 @@ def remove(docs: DataFrame, length: int = LENGTH, keep: str = "none", others: tu
     texts = docs.select("doc_id", *[F.col(c).alias(f"o{i}") for i, c in enumerate(others)], F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     texts = texts.withColumn("tid", F.xxhash64("text"))
     spans = find_spans(texts, length, keep)
-    joined = texts.join(spans, texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["tid"] == spans["tid"]), "left")
     columns = ["doc_id", *[f"o{i}" for i in range(len(others))]]
-    joined = joined.select(*[texts[c] for c in columns], "text", "found")
+    if keep == "first":
+        # The key of the join without nulls, so that rows are dealt once for the numbering and the join.
+        keyed = lambda df: df.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "nameless": F.col("doc_id").isNull()})
+        same = Window.partitionBy("id", "nameless", "tid").orderBy(F.xxhash64(*[f"o{i}" for i in range(len(others))]) if others else F.lit(0))
+        texts = keyed(texts).withColumn("again", (F.row_number().over(same) > 1) & (F.octet_length("text") >= length))
+        joined = texts.join(keyed(spans).drop("doc_id"), ["id", "nameless", "tid"], "left")
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.octet_length("text").cast("long").alias("hi")))
+        joined = joined.select(*columns, "text", F.when(F.col("again"), whole).otherwise(F.col("found")).alias("found"))
+    else:
+        joined = texts.join(spans, texts["doc_id"].eqNullSafe(spans["doc_id"]) & (texts["tid"] == spans["tid"]), "left")
+        joined = joined.select(*[texts[c] for c in columns], "text", "found")
     kinds = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in columns)
     cut = joined.mapInArrow(_cut, f"{kinds}, text binary, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return cut.select("doc_id", *[F.col(f"o{i}").alias(c) for i, c in enumerate(others)], "text", "spans", "kept")

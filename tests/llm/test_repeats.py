@@ -50,6 +50,22 @@ def test_keep_first(spark):
     assert got == brute([(i, (t or "").encode()) for i, t in docs], 30, "first")
 
 
+def test_keep_first_keeps_one_of_equal_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    passage, other, periodic = ("".join(rng.choice("abcdé ") for _ in range(90)) for _ in range(3))
+    periodic = periodic[:7] * 12
+    docs = [(None, passage), (None, passage), (1, other), (1, other), (1, other), (2, "x" + passage + "y" + other), (3, periodic), (3, periodic), (4, "short"), (4, "short"), (None, None), (None, None), (7, passage), (7, "z" + passage), (7, passage)]
+    docs.sort(key=lambda d: (d[0] is not None, d[0] or 0))
+    df = spark.createDataFrame([(i, t, "en", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, n_chars long").repartition(3)
+    for most in (4096, 1):
+        monkeypatch.setattr(repeats, "MAX_CLASSES", most)
+        named = repeats.digests(repeats.remove(df, 30, "first", ("lang",))).fillna(-1, ["doc_id"])
+        assert sorted(map(tuple, named.collect()), key=str) == brute([(-1 if i is None else i, (t or "").encode()) for i, t in docs], 30, "first")
+        kept = [(r["doc_id"], r["text"]) for r in repeats.drop_repeats(df, 30).collect()]
+        assert kept.count((None, passage)) == kept.count((1, other)) == 1 and kept.count((4, "short")) == kept.count((None, "")) == 2
+        assert not any(i == 7 and passage in t for i, t in kept)
+
+
 def test_periodic_text_repeats_itself(spark):
     docs = [(k, ("ab " * 40)[: 100 + k] + str(k) * 3 + "word" + str(k * 7919)) for k in range(6)] + [(10, "q" * 90), (11, "xyz " * 200), (12, "Of " * 30 + "are " * 30), (13, "n" * 31)]
     docs = [(k, f"{k}{t}") for k, t in docs]
