@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.canonical import Denied, Unsafe, leak, safe_url
+from corvane.functions.canonical import Denied, Unsafe, built_url_problem, canonical, leak, safe_url
 
 MAX_NESTING = 8
 MAX_CSS = 1_000_000
@@ -25,6 +25,8 @@ MAX_CSS = 1_000_000
 BLOCKS = frozenset("address article aside blockquote body br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 URL_ATTRIBUTES = frozenset("href src action formaction poster cite".split())
 READABLE_ATTRIBUTES = frozenset("alt title aria-label aria-description placeholder".split())
+#: Names of metas whose contents readers see.
+PUBLIC_METAS = frozenset("author description og:description og:image:alt og:title twitter:description twitter:title".split())
 HTML_SCHEMA = "text string, runs array<string>, readable array<string>, urls array<string>, srcdocs array<string>, styles array<string>, style_blocks array<string>, scripts array<string>, metas array<struct<name:string,content:string>>"
 MARKDOWN_SCHEMA = "text string, links array<string>, images int, html int, directives array<string>, headings array<string>"
 
@@ -62,6 +64,8 @@ class _Page(HTMLParser):
             name = values.get("name") or values.get("property") or values.get("http-equiv")
             if name:
                 self.out["metas"].append({"name": name, "content": values.get("content", "")})
+            if "description" in values.get("itemprop", "").lower().split() and (name or "").lower() not in PUBLIC_METAS:
+                self.out["metas"].append({"name": "description", "content": values.get("content", "")})
             if values.get("http-equiv", "").lower() == "refresh" and (m := re.search(r"url\s*=\s*['\"]?([^'\"\s]+)", values.get("content", ""), re.I)):
                 self.out["urls"].append(m[1])
         if tag in ("script", "style", "template"):
@@ -164,17 +168,24 @@ def script_texts(text: str) -> list[str]:
     return [next((g for g in m.groups() if g is not None), "") for m in re.finditer(pattern, text, re.S)]
 
 
-def scan_html(text: str, denied: Denied, nesting: int = 0) -> list[tuple[str, str]]:
-    """(where, problem) of a page: its text runs, readable attributes, links, styles, scripts and nested pages."""
+def url_problem(url: str, denied: Denied, page: str = "") -> str | None:
+    """What is wrong with a URL of a page: as built_url_problem(), any leak, or blanks and backslashes in its canonical form."""
+    if p := built_url_problem(url, page, denied) or leak(url, denied):
+        return p
+    return "control, blank or backslash" if re.search(r"[\x00-\x1f\x7f-\x9f\s\\]", canonical(url)) else None
+
+
+def scan_html(text: str, denied: Denied, nesting: int = 0, page_path: str = "") -> list[tuple[str, str]]:
+    """(where, problem) of a page: its text runs, readable attributes, public metas, links, styles, scripts and nested pages.
+
+    Relative links start from page_path, the page's place in its site; without one the page lies at the root.
+    """
     if nesting > MAX_NESTING:
         return [("srcdoc", "nested too deep")]
     page = read_html(text)
     out = [(where, p) for where in ("runs", "readable") for t in page[where] if (p := leak(t, denied))]
-    for u in page["urls"]:
-        if re.match(r"\s*(?:javascript|vbscript|data|file)\s*:", re.sub(r"[\t\n\r]", "", u), re.I):
-            out.append(("urls", "dangerous scheme"))
-        elif p := leak(u, denied) if not u.startswith(("/", "#")) else None:
-            out.append(("urls", p))
+    out += [("metas", p) for m in page["metas"] if m["name"].lower() in PUBLIC_METAS and (p := leak(m["content"], denied))]
+    out += [("urls", p) for u in page["urls"] if (p := url_problem(u, denied, page_path))]
     for css in [*page["styles"], *page["style_blocks"]]:
         try:
             out += [("styles", p) for t in css_parts(css)["content"] if (p := leak(t, denied))]
@@ -182,7 +193,7 @@ def scan_html(text: str, denied: Denied, nesting: int = 0) -> list[tuple[str, st
             out.append(("styles", str(e)))
     out += [("scripts", p) for s in page["scripts"] for t in script_texts(s) if (p := leak(t, denied))]
     for inner in page["srcdocs"]:
-        out += [(f"srcdoc.{where}", p) for where, p in scan_html(inner, denied, nesting + 1)]
+        out += [(f"srcdoc.{where}", p) for where, p in scan_html(inner, denied, nesting + 1, page_path)]
     return out
 
 
@@ -230,12 +241,12 @@ def style_parts(text: Column) -> Column:
     return _udf(safe, "urls array<string>, content array<string>, error string", ["urls", "content", "error"])(text)
 
 
-def problems(text: Column, denied: Denied, kind: str) -> Column:
-    """array<struct<where, problem>> of a page (html) or an entry (markdown)."""
-    scan = {"html": scan_html, "markdown": scan_markdown}[kind]
+def problems(text: Column, denied: Denied, kind: str, page: Column | None = None) -> Column:
+    """array<struct<where, problem>> of a page (html), whose place in its site may be given, or an entry (markdown)."""
+    scan = {"html": lambda t, p: scan_html(t, denied, page_path=p), "markdown": lambda t, p: scan_markdown(t, denied)}[kind]
 
     @F.pandas_udf("array<struct<where:string,problem:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"where": w, "problem": p} for w, p in scan(t or "", denied)] for t in texts])
+    def run(texts: pd.Series, pages: pd.Series) -> pd.Series:
+        return pd.Series([[{"where": w, "problem": x} for w, x in scan(t or "", p or "")] for t, p in zip(texts, pages)], dtype=object)
 
-    return run(text)
+    return run(text, F.lit("") if page is None else page)

@@ -57,7 +57,7 @@ def scan(files: DataFrame, denied: Denied) -> DataFrame:
     paths = checks.violations(named.withColumn("leak", of_path("path")), F.col("path"), [("layer.path", "path", F.col("leak").isNull(), "leak in the name")])
 
     def parsed(kind: str, pattern: str, check: str) -> DataFrame:
-        found = named.filter(F.col("path").rlike(pattern) & F.col("text").isNotNull()).select("path", F.explode(extract.problems(F.col("text"), denied, kind)).alias("p"))
+        found = named.filter(F.col("path").rlike(pattern) & F.col("text").isNotNull()).select("path", F.explode(extract.problems(F.col("text"), denied, kind, F.regexp_replace("path", "^[^/]*/", ""))).alias("p"))
         return found.select(F.lit(check).alias("check_id"), F.col("path").alias("record_id"), F.col("p.where").alias("path"), F.col("p.problem").alias("message"))
 
     return checks.all_of(simple, paths, parsed("html", HTML, "layer.html"), parsed("markdown", MARKDOWN, "layer.markdown"))

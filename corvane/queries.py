@@ -316,7 +316,8 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def html_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = load(spark, sf_dir, "pages").select("page_id", F.explode(extract.problems(F.col("html"), DENIED, "html")).alias("p"))
+    page = F.regexp_extract(_path(F.col("url")), r"^/*([^?#]*)", 1)
+    found = load(spark, sf_dir, "pages").select("page_id", F.explode(extract.problems(F.col("html"), DENIED, "html", page)).alias("p"))
     return found.groupBy("page_id", "p.where", "p.problem").agg(F.count("*").alias("n"))
 
 

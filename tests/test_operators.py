@@ -76,6 +76,32 @@ def test_html():
     assert extract.scan_html("<script>// acme/vault\n</script>", d) == [("scripts", "repository coordinate")]
 
 
+def test_all_links_and_public_metas_are_scanned(spark):
+    d = Denied(organisation="acme", repository="vault", roots=("drafts",))
+    link = lambda u, page="": extract.scan_html(f'<a href="{u}">x</a>', d, page_path=page)
+    for url, problem in {
+        "/acme/vault": "repository coordinate",
+        "#acme%2Fvault": "repository coordinate",
+        "?q=acme/vault": "repository coordinate",
+        "/drafts/x": "local path",
+        "#/drafts/x": "local path",
+        "//h/x": "network path",
+        "../../x": "leads out of the site",
+        "java%73cript:x": "dangerous scheme",
+        "/a%20b": "control, blank or backslash",
+        "/a\\b": "control, blank or backslash",
+    }.items():
+        assert link(url) == [("urls", problem)], url
+    for url in ("/", "#a", "?q=a", "/a/b.html", "a/../b", "https://e.org/a", "mailto:a@b", ""):
+        assert link(url) == [], url
+    assert link("../../x", "en/notes/a.html") == [] and link("../../../x", "en/notes/a.html") == [("urls", "leads out of the site")]
+    for meta in ('property="og:title"', 'name="Description"', 'itemprop="name description"'):
+        assert extract.scan_html(f'<meta {meta} content="acme/vault">', d) == [("metas", "repository coordinate")]
+    assert extract.scan_html('<meta name="viewport" content="acme/vault">', d) == []
+    df = spark.createDataFrame([("<a href='../x'>", "a/b"), ("<a href='../x'>", "b"), (None, None)], "t string, page string")
+    assert [len(r[0]) for r in df.select(extract.problems(F.col("t"), d, "html", F.col("page"))).collect()] == [0, 1, 0]
+
+
 def test_markdown(spark):
     text = "# Title\n\nSee [a *b*](https://e.org/x_(y) \"t\") and `:x[y]` and <https://f.org>.\n\n```js\n::note{a}\n```\n![i](j.png)\n\n:::box\n"
     got = extract.read_markdown(text)
