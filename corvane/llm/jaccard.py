@@ -30,7 +30,7 @@ transport.
 Edge cases: null, empty and wordless texts have no shingles and link with
 nothing; fewer words than a shingle make one element of the whole sequence; a
 null doc_id has no component of its own id, but links like any row; rows that
-repeat a doc_id are rows of their own; empty tables give no rows. Only doc_id and
+repeat a doc_id are rows of their own, for keep_one too; empty tables give no rows. Only doc_id and
 text are read besides columns that are passed on. Fingerprints and shingles are
 64-bit hashes.
 """
@@ -378,8 +378,18 @@ def components_of(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFra
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs (columns of documents) with one row of each component: that of the smallest doc_id. Rows with a null doc_id stay."""
-    linked = link(docs, width, percent).filter((F.col("doc_id") == F.col("component")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(linked, "doc_id", "left_semi").withColumn("__turn", turn).filter("__turn = 1").drop("__turn")
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """docs (columns of documents) with one row of each component, and all rows without shingles, which link with nothing.
+
+    The row with the smallest doc_id stays (null comes last), of those the one
+    with the smallest hash of doc_id and text, then of its other columns.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # Rows are named by what they say, as a doc_id may be null or stand on different texts.
+    named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    linked = link(named.select(F.col("__row").alias("doc_id"), "text"), width, percent)
+    linked = linked.select(F.col("doc_id").alias("__row"), (F.col("n") > 0).alias("__one"), "component").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    best = linked.filter("__one").join(named.select("doc_id", "__row").distinct(), "__row").groupBy("component").agg(F.min(order)["__row"].alias("__row"))
+    stays = best.select("__row", F.lit(True).alias("__one")).unionByName(linked.filter("not __one").select("__row", "__one"))
+    turn = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*others) if others else F.lit(0)))
+    return named.join(stays, "__row").withColumn("__turn", turn).filter("__turn = 1 or not __one").select(*docs.columns)
