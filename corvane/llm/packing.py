@@ -70,10 +70,6 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, stretches: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
-        if len(self.letters) > CACHE_LETTERS:
-            self.letters = {}
         split, rest = [], []
         for s in stretches:
             m = self.plain.fullmatch(s)
@@ -101,16 +97,17 @@ class WordEncoder:
             self.words[s] = self._encode(s)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        # Emptied only here, so that a batch finds all its stretches however many they are.
+        if len(self.words) > CACHE_WORDS:
+            self.words = {"": b""}
+        if len(self.letters) > CACHE_LETTERS:
+            self.letters = {}
         split = [x.replace("\n", " ").split(" ") for x in texts]
         new = set().union(*split) - self.words.keys()
         if new:
             self._learn(new)
         get = self.words.__getitem__
-        try:
-            return [b"".join(map(get, s)) for s in split]
-        except KeyError:  # the cache was emptied under words that it had
-            self._learn(set().union(*split) - self.words.keys())
-            return [b"".join(map(self.words.__getitem__, s)) for s in split]
+        return [b"".join(map(get, s)) for s in split]
 
 
 def encoder(path: str) -> WordEncoder:

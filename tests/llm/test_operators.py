@@ -142,6 +142,16 @@ def test_packing_keeps_every_token(spark, monkeypatch):
         assert s[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(s, s[1:])) and sum(b for _, b in s) <= 4096
 
 
+def test_encoder_with_more_new_words_than_its_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)
+    enc = packing.WordEncoder(tokenizer_path())
+    for texts in (["one two three four five"], ["one six seven", "eight nine ten. 11"], ["", "one ten"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 # --- sharding
 
 
