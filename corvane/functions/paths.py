@@ -20,6 +20,8 @@ ID_PATTERNS = {
     "commit": r"^[0-9a-f]{40}$",
     "sha256": r"^[0-9a-f]{64}$",
 }
+#: Fixed pattern of image names.
+IMAGE_NAME = r"[a-z0-9](?!.*\.\.)[a-z0-9._-]*\.(?:svg|webp)"
 #: Prefixes that a neutral slug must not have.
 RESERVED_PREFIXES = ("claim", "object", "media", "source", "interlude")
 #: Folders of a release tree, by kind of record; images are binary.
@@ -84,14 +86,15 @@ def stem(path: Column) -> Column:
 
 
 def is_normal(path: Column) -> Column:
-    """A POSIX path in normal form, without backslash, percent sign or NUL."""
+    """A POSIX path in normal form (.. at its start only), without backslash, percent sign or NUL."""
     clean = ~path.rlike(r"[\\%\x00]") & (path != "")
-    return clean & ~path.rlike(r"//|(?:^|/)\.(?:/|$)|[^/]/\.\.(?:/|$)|^/\.\.(?:/|$)") | (path == ".")
+    up = r"^(?:\.\./)*"
+    return clean & ~path.rlike(r"//|(?:^|/)\.(?:/|$)") & ~path.rlike(up + r"(?!\.\.(?:/|$)).*/\.\.(?:/|$)|^/\.\.(?:/|$)") | (path == ".")
 
 
 def payload_kind(path: Column) -> Column:
     """entry, note, source, object, media or image for an exact payload path, else null."""
-    out = F.when(path.rlike(rf"^{IMAGE_ROOT}/[a-z0-9](?!.*\.\.)[a-z0-9._-]*\.(?:svg|webp)$"), "image")
+    out = F.when(path.rlike(rf"^{IMAGE_ROOT}/{IMAGE_NAME}$"), "image")
     for kind, folder in FOLDERS.items():
         name = ID_PATTERNS[kind][1:-1]
         out = out.when(path.rlike(rf"^{CONTENT_ROOT}/{folder}/{name}\.{'md' if kind == 'entry' else 'json'}$"), kind)

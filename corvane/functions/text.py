@@ -121,9 +121,14 @@ def percent_position(value: Column, low: Column, high: Column) -> Column:
 
 
 def mask_ranges(text: Column, ranges: Column) -> Column:
-    """Non-overlapping ranges array<struct<start,end>> (zero-based) overwritten with spaces."""
+    """Non-overlapping ranges array<struct<start,end>> (zero-based, in any order) overwritten with spaces; empty ones don't count."""
     blank = lambda s, r: F.overlay(s, F.repeat(F.lit(" "), (r["end"] - r["start"]).cast("int")), r["start"] + 1, r["end"] - r["start"])
-    return F.aggregate(ranges, text, blank)
+    return F.aggregate(F.array_sort(F.filter(ranges, lambda r: r["end"] > r["start"])), text, blank)
+
+
+def panel_id(record_id: Column) -> Column:
+    """The id of a record's panel."""
+    return F.concat(F.lit("era-panel-"), record_id)
 
 
 def unique_array(values: Column, least: int = 0) -> Column:

@@ -1,6 +1,11 @@
 """Checks as rows: (check_id, record_id, path, message).
 
 A run is the union of its checks; fail_first keeps the first by input position.
+
+Edge cases: a rule that gives null is broken; a null record id is reported as such;
+repeated records are reported one by one; the first of equal positions is any of them;
+null sizes count as nothing in a running total; empty tables give no rows; `previous`,
+`running` and `record_id` replace columns of these names.
 """
 
 from __future__ import annotations
@@ -55,3 +60,9 @@ def json_problem(json: Column) -> Column:
     """null for strict JSON, else `syntax` or `repeated key`."""
     lenient = F.from_json(json, "struct<__x:int>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__c"})
     return F.when(F.try_parse_json(json).isNotNull(), None).when(F.json_object_keys(json).isNotNull() & lenient.isNotNull(), "repeated key").otherwise("syntax")
+
+
+def truncated(records: DataFrame, limit: int) -> DataFrame:
+    """(n, truncated): how many records a reader with a limit gets, and whether it leaves some out; no more than limit + 1 are counted."""
+    counted = records.select(F.lit(1).alias("one")).limit(limit + 1).agg(F.count("*").alias("c"))
+    return counted.select(F.least("c", F.lit(limit)).alias("n"), (F.col("c") > limit).alias("truncated"))

@@ -3,6 +3,12 @@
 Edges are arrays of ids or key columns. Every operator is a join on the key that
 Spark may run as it likes; the small side is broadcast by the optimizer when its
 size is known to be small, never by a hint.
+
+Edge cases: a null reference refers to nothing and is missing, a null key is referred to
+by nothing; repeated links and records count as often as they stand, but bijection()
+and same_set() compare sets; null arrays have no edges; ties of an order are numbered in
+any order, so give a total one; empty tables give no rows; columns whose names start with
+two underscores are reserved, all others may have any name.
 """
 
 from __future__ import annotations
@@ -39,14 +45,16 @@ def bijection(left: DataFrame, left_key: str, right: DataFrame, right_key: str)
     return both.filter("l is null or r is null").select("key", F.when(F.col("r").isNull(), "missing").otherwise("extra").alias("status"))
 
 
-def cardinality(expected: DataFrame, key: str, links: DataFrame, reference: str) -> DataFrame:
-    """(key, n): how many links each expected key has."""
-    counts = links.groupBy(F.col(reference).alias("__r")).agg(F.count("*").alias("n"))
-    return expected.select(key).join(counts, F.col(key) == F.col("__r"), "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+def cardinality(expected: DataFrame, key: str, links: DataFrame, reference: str, name: str = "n") -> DataFrame:
+    """(key, n): how many links each expected key has; the count is named `name`."""
+    counts = links.groupBy(F.col(reference).alias("__r")).agg(F.count("*").alias("__n"))
+    return expected.select(key).join(counts, F.col(key) == F.col("__r"), "left").select(key, F.coalesce("__n", F.lit(0)).alias(name))
 
 
-def duplicates(records: DataFrame, *keys: Column | str) -> DataFrame:
-    return records.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+def duplicates(records: DataFrame, *keys: Column | str, name: str = "n") -> DataFrame:
+    """(keys, n) of keys that stand more than once; null is a key as any other."""
+    counted = records.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1")
+    return counted.withColumnRenamed("__n", name)
 
 
 def same_set(a: Column, b: Column) -> Column:

@@ -4,6 +4,10 @@ An overlay is a long table (collection, id, field, text). Identity for the sourc
 language. For others a missing record or a blank or missing text is a violation
 (or, in strict mode, an error raised by the job that reads the result); fields
 that a record doesn't have are skipped.
+
+Edge cases: null ids have no translation; of several texts for one id and field the
+smallest that isn't blank holds; repeated records are translated one by one; empty
+tables give no rows; columns whose names start with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -19,10 +23,13 @@ def explode_overlay(overlay: DataFrame, column: str) -> DataFrame:
     return b.select("collection", "id", F.explode("m").alias("field", "text"))
 
 
-def localize(records: DataFrame, overlay: DataFrame, fields: list[str], locale: str, key: str = "id", source_locale: str = "ru", strict: bool = True) -> DataFrame:
+def localize(records: DataFrame, overlay: DataFrame, fields: list[str], locale: str, key: str = "id", source_locale: str = "ru", strict: bool = True, collection: str | None = None) -> DataFrame:
+    """records with `fields` in another language; collection, if given, tells which part of the overlay is theirs."""
     if locale == source_locale:
         return records
-    texts = overlay.filter(F.col("field").isin(fields)).groupBy(F.col("id").alias("__id")).agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("__t"))
+    own = overlay.filter(F.col("field").isin(fields) & (F.lit(True) if collection is None else F.col("collection") == collection))
+    one = own.groupBy("id", "field").agg(F.coalesce(F.min(F.when(F.length(F.trim("text")) > 0, F.col("text"))), F.min("text")).alias("text"))
+    texts = one.groupBy(F.col("id").alias("__id")).agg(F.map_from_entries(F.collect_list(F.struct("field", "text"))).alias("__t"))
     joined = records.join(texts, F.col(key) == F.col("__id"), "left")
     out = []
     for c in records.columns:

@@ -1,4 +1,12 @@
-"""Ordered reports over records: groups by a fixed list of keys, orders, pivots, cross tables."""
+"""Ordered reports over records: groups by a fixed list of keys, orders, pivots, cross tables.
+
+Edge cases: null keys belong to no group of a list; ties of an order are placed in any
+order, so give a total one; of several values for one cell of attributes() the smallest
+holds; null fields have no row in layers(); empty tables give no rows (citation() of
+nulls leaves them out); columns whose names start with two underscores are reserved.
+numbered() without a partition is for tables of a report's size; positioned() numbers
+tables of any size.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.scratch import stored
 
 
 def key_table(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
@@ -36,6 +45,32 @@ def top(records: DataFrame, n: int, *order: Column) -> DataFrame:
     return records.orderBy(*order).limit(n)
 
 
+def positioned(records: DataFrame, *order: Column) -> DataFrame:
+    """records with their position (from 1) in a total order over the whole table, without one task that sees all rows.
+
+    Rows are dealt by ranges of the order and numbered within their range; the counts of the ranges (one row each) give
+    where a range starts. Ties within the order are numbered in any order.
+    """
+    keys = [f"__k{i}" for i in range(len(order))]
+    ranged = stored(records.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id()), "ranges")
+    inside = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
+    before = F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("__p").agg(F.count("*").alias("__c")).select("__p", F.coalesce(before, F.lit(0)).alias("__s"))
+    return inside.join(F.broadcast(starts), "__p").select(*records.columns, (F.col("__s") + F.col("__n")).alias("position"))
+
+
+def lookup(records: DataFrame, key: str, wanted: object, *order: Column, fallback: bool = True) -> DataFrame:
+    """The record of a key; without one the first in order, or no row where that isn't wanted."""
+    if not fallback:
+        return records.filter(F.col(key) == wanted)
+    return records.orderBy(F.coalesce(F.col(key) == wanted, F.lit(False)).desc(), *order).limit(1)
+
+
+def citation(authors: Column, title: Column, year: Column, locator: Column) -> Column:
+    """Authors, title, year (n.d. for none), and a locator where there is one."""
+    return F.concat_ws(", ", F.array_join(authors, ", "), title, F.coalesce(year.cast("string"), F.lit("n.d.")), F.when(F.length(locator) > 0, locator))
+
+
 def numbered(records: DataFrame, *order: Column, partition: list[str] | None = None) -> DataFrame:
     """With position (from 1) and its literal-zero label."""
     w = Window.partitionBy(*(partition or [F.lit(1)])).orderBy(*order)
@@ -45,7 +80,7 @@ def numbered(records: DataFrame, *order: Column, partition: list[str] | None = N
 def attributes(records: DataFrame, key: str, fields: list[str], ids: list[object]) -> DataFrame:
     """A row per field, a column per id."""
     long = records.select(key, F.expr(f"stack({len(fields)}, " + ", ".join(f"'{f}', cast({f} as string)" for f in fields) + ") as (attribute, value)"))
-    return long.groupBy("attribute").pivot(key, ids).agg(F.first("value"))
+    return long.groupBy("attribute").pivot(key, ids).agg(F.min("value"))
 
 
 def layers(records: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -1,10 +1,19 @@
-"""Snapshots of files or rows: differences, copies, manifests."""
+"""Snapshots of files or rows: differences, copies, manifests.
+
+Edge cases: null values equal null values, but a null key equals no key, so such rows
+are added and removed; keys should be unique, as rows that repeat a key are compared
+with each other; a null content is one of its own; an empty table on either side makes
+all rows of the other added, removed or extra; columns whose names start with two
+underscores are reserved.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators import reports
+
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, change): added, removed or changed; null values compare as equal to null."""
@@ -41,3 +50,15 @@ def layer_of(path, layers: list[tuple[str, str]]):
     for prefix, layer in reversed(layers):
         out = F.when(F.startswith(path, F.lit(prefix)), layer).otherwise(out)
     return out
+
+
+def scope_table(scopes: DataFrame) -> DataFrame:
+    """(path, kind, position): the scopes and, as kind `guard`, every folder above one that is no scope itself; by depth, then by code units.
+
+    Positions come from sorted ranges, not from one task: each range starts behind the rows of those before it.
+    """
+    parts = F.split("path", "/")
+    above = scopes.select(F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("n"), parts.alias("parts")).filter("n >= 1 and n < size(parts)")
+    guards = above.select(F.array_join(F.slice("parts", 1, F.col("n")), "/").alias("path")).distinct().join(scopes.select("path"), "path", "left_anti")
+    both = scopes.select("path", "kind").unionByName(guards.select("path", F.lit("guard").alias("kind")))
+    return reports.positioned(both, *reports.by_depth(F.col("path")))

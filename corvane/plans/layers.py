@@ -3,6 +3,9 @@
 Files are listed on the driver (names and sizes only, within limits), read and
 scanned by Spark, one task per group of files, and the tree is listed again at
 the end: a change in between is a violation, not an error.
+
+Edge cases: null contents are files without text; bytes that aren't UTF-8 are a violation
+for text files; files that repeat a path are judged one by one; empty trees have none.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from corvane.sources import tree
 #: (prefix, layer) in order; the first that matches holds.
 LAYERS = [("src/content/", "content"), ("public/images/", "image"), ("dist/images/", "built-image"), ("dist/", "built"), ("src/", "runtime")]
 HTML, MARKDOWN = r"(?i)\.html?$", r"(?i)\.md$"
+SCRIPTS = frozenset({"js", "mjs", "cjs", "jsx", "ts", "mts", "cts", "tsx"})
 TEXT = r"(?i)\.(?:html?|md|css|[cm]?[jt]sx?|json|xml|svg|txt|csv|webmanifest)$"
 
 
@@ -60,7 +64,28 @@ def scan(files: DataFrame, denied: Denied) -> DataFrame:
         found = named.filter(F.col("path").rlike(pattern) & F.col("text").isNotNull()).select("path", F.explode(extract.problems(F.col("text"), denied, kind, F.regexp_replace("path", "^[^/]*/", ""))).alias("p"))
         return found.select(F.lit(check).alias("check_id"), F.col("path").alias("record_id"), F.col("p.where").alias("path"), F.col("p.problem").alias("message"))
 
-    return checks.all_of(simple, paths, parsed("html", HTML, "layer.html"), parsed("markdown", MARKDOWN, "layer.markdown"))
+    # All other text files: the strings and comments of scripts, the generated texts of style sheets, the keys and values of JSON, else the whole text.
+    others = named.filter(~F.col("path").rlike(HTML) & ~F.col("path").rlike(MARKDOWN) & F.col("text").isNotNull())
+    leaks = others.select("path", canonical.judged(lambda t, p: file_leak(t, p, denied), F.col("text"), F.col("path")).alias("message")).filter("message is not null")
+    source = leaks.select(F.lit("layer.source").alias("check_id"), F.col("path").alias("record_id"), F.lit("content").alias("path"), "message")
+    return checks.all_of(simple, paths, parsed("html", HTML, "layer.html"), parsed("markdown", MARKDOWN, "layer.markdown"), source)
+
+
+def file_leak(text: str, path: str, denied: Denied) -> str | None:
+    """The first leak in a text file that is no page and no entry, by its kind."""
+    end = path.rsplit(".", 1)[-1].lower()
+    try:
+        if end in ("json", "webmanifest"):
+            return canonical.json_leak(text, denied)
+        if end == "css":
+            found = [canonical.leak(t, denied, canonical.READ_FRAGMENT) for t in extract.css_parts(text)["content"]]
+        elif end in SCRIPTS:
+            found = extract.script_leaks(text, None, denied, jsx=end in ("jsx", "tsx"))
+        else:
+            return canonical.artefact_leak(text, denied, strict=False)
+    except canonical.Unsafe as e:
+        return str(e)
+    return next((p for p in found if p), None)
 
 
 def scan_tree(spark: SparkSession, root: str | Path, denied: Denied, layers: list[tuple[str, str]] = LAYERS) -> DataFrame:

@@ -5,18 +5,24 @@ files) and one manifest row. Every check gives violation rows (checks.COLUMNS);
 nothing raises, and the first violation only is a matter of fail_first().
 Identities that are one project's own (release name, order of entries, routes)
 are parameters.
+
+Edge cases: a null field breaks the rules that need it; records that repeat an id are
+reported, and judged one by one; empty tables break nothing but what a manifest or a
+reference demands of them; extra columns are ignored, and those whose names start with
+two underscores are reserved.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions import digests, paths
+from corvane.functions import canonical, digests, paths
 from corvane.functions import text as T
-from corvane.operators import checks, links
+from corvane.operators import checks, links, snapshots
 from corvane.sources import tree
 
 #: Fixed value lists.
@@ -133,7 +139,7 @@ def object_rules() -> Rules:
 def media_rules() -> Rules:
     return [
         ("media.id", "id", _id("media"), "not a media id"),
-        ("media.name", "outputName", F.col("outputName").rlike(r"^[a-z0-9](?!.*\.\.)[a-z0-9._-]*\.(?:svg|webp)$"), "not an svg or webp name"),
+        ("media.name", "outputName", F.col("outputName").rlike(f"^{paths.IMAGE_NAME}$"), "not an svg or webp name"),
         ("media.text", "alt", _filled("alt", "caption", "credit", "license"), "empty field"),
         ("media.license", "licenseUrl", https(F.col("licenseUrl")), "not a safe https url"),
         ("media.kind", "kind", F.col("kind").isin(*MEDIA_KINDS), "unknown"),
@@ -165,6 +171,12 @@ def check_rows(tables: dict[str, DataFrame]) -> DataFrame:
     return checks.all_of(*found)
 
 
+def _one_form(paths_text: str) -> str | None:
+    """Whether different paths (one a line) have one composed form."""
+    own = set(paths_text.split("\n"))
+    return None if len({unicodedata.normalize("NFC", p) for p in own}) == len(own) else "collision"
+
+
 def check_manifest(manifest: DataFrame, project: Project = Project()) -> DataFrame:
     """Identities, order, counts and budgets of manifest rows."""
     m, a = F.col, F.col("reviewAttestation")
@@ -185,6 +197,7 @@ def check_manifest(manifest: DataFrame, project: Project = Project()) -> DataFra
         ("manifest.bytes", "files", total <= tree.MAX_TOTAL_BYTES, "beyond the budget"),
         ("manifest.sorted", "files", keys == F.array_sort(keys), "not in UTF-16 order"),
         ("manifest.unique", "files", T.unique_array(names), "repeated path"),
+        ("manifest.forms", "files", canonical.judged(_one_form, F.array_join(names, "\n")).isNull(), "paths that differ in normal form only"),
         ("manifest.order", "readingOrder", T.unique_array(m("readingOrder"), 1) & (F.size("readingOrder") == m("counts.entries")) & links.same_set(m("readingOrder"), entry_ids), "must list every entry once"),
         ("attestation.version", "reviewAttestation", a["schemaVersion"] == project.attestation_version, "version"),
     ]
@@ -233,27 +246,153 @@ def check_routes(entries: DataFrame, contract: DataFrame) -> DataFrame:
     return both.filter(message.isNotNull()).select(F.lit("routes").alias("check_id"), F.col("id").alias("record_id"), F.lit("route").alias("path"), message.alias("message"))
 
 
-def check_integrity(manifest: DataFrame, files: DataFrame, project: Project = Project()) -> DataFrame:
-    """The manifest's files against those found (path, content): the same paths, lengths, digests and text encoding, and the payload digest."""
-    declared = manifest.select(F.explode("files").alias("f")).select("f.*")
-    paired = declared.join(files.select(F.col("path").alias("p"), "content"), F.col("path") == F.col("p"))
-    found = [
-        checks.rows_of(links.bijection(declared, "path", files, "path"), "integrity.paths", F.col("key"), "path", "declared and present files differ"),
+def unbound(manifest: DataFrame) -> DataFrame:
+    """(release, json): each manifest as JSON without the binding of its attestation and without absent fields."""
+    bare = manifest.withColumn("reviewAttestation", F.col("reviewAttestation").dropFields("contentBinding"))
+    return bare.select(F.col("releaseId").alias("release"), F.to_json(F.struct(*manifest.columns)).alias("json"))
+
+
+def check_integrity(manifest: DataFrame, files: DataFrame, project: Project = Project(), approved_svg: tuple[str, ...] = ()) -> DataFrame:
+    """The manifests' files against those found (path, content, and release where there are several manifests).
+
+    Judged are paths, lengths, digests, text encoding, the digest of all files and, where a manifest binds one, that of
+    its own canonical JSON and the files; with approved_svg, which images may be SVG. Bytes are streamed, never gathered.
+    """
+    only = "release" not in files.columns
+    release = F.lit("") if only else F.col("release")
+    files = files.select(release.alias("release"), "path", "content")
+    named = manifest.withColumn("__r", F.lit("") if only else F.col("releaseId"))
+    declared = named.select(F.col("__r").alias("release"), F.explode("files").alias("f")).select("release", "f.*")
+    found = files.select("release", "path", F.octet_length("content").alias("found_length"), digests.sha256(F.col("content")).alias("found_sha256"), F.is_valid_utf8(F.col("content").cast("string")).alias("found_utf8"))
+    paired = declared.join(found, ["release", "path"])
+    key = lambda df: df.select(F.struct("release", "path").alias("k"))
+    out = [
+        checks.rows_of(links.bijection(key(declared), "k", key(found), "k"), "integrity.paths", F.col("key.path"), "path", "declared and present files differ"),
         checks.violations(
             paired,
             F.col("path"),
             [
-                ("integrity.length", "byteLength", F.octet_length("content") == F.col("byteLength"), "another length"),
-                ("integrity.sha256", "sha256", digests.sha256(F.col("content")) == F.col("sha256"), "another digest"),
-                ("integrity.utf8", "content", (F.col("kind") != "text") | F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8"),
+                ("integrity.length", "byteLength", F.col("found_length") == F.col("byteLength"), "another length"),
+                ("integrity.sha256", "sha256", F.col("found_sha256") == F.col("sha256"), "another digest"),
+                ("integrity.utf8", "content", (F.col("kind") != "text") | F.col("found_utf8"), "not UTF-8"),
             ],
         ),
     ]
-    payload = files.agg(digests.ordered_digest(F.collect_list(F.struct("path", "content")), project.payload_domain).alias("d"))
-    found.append(checks.violations(manifest.crossJoin(payload), F.col("releaseId"), [("integrity.payload", "readerPayloadDigest", F.col("d") == F.col("readerPayloadDigest"), "another payload digest")]))
+    if approved_svg:
+        svg = found.filter(F.col("path").rlike(r"\.svg$") & ~F.col("found_sha256").isin(*approved_svg))
+        out.append(checks.rows_of(svg, "integrity.svg", F.col("path"), "content", "not an approved SVG"))
+    payload = digests.streamed_digests(files, project.payload_domain).select(F.col("release").alias("__r"), F.col("digest").alias("payload"))
+    json = unbound(manifest).join(named.select(F.col("releaseId").alias("release"), "__r"), "release").select(F.col("__r").alias("release"), canonical.canonical_json_text(F.col("json"))["value"].alias("content"))
+    whole = digests.streamed_digests(files, project.release_domain, json).select(F.col("release").alias("__r"), F.col("digest").alias("whole"))
+    bound = named.join(payload, "__r", "left").join(whole, "__r", "left")
+    binding = F.col("reviewAttestation.contentBinding.digest")
+    rules = [
+        ("integrity.payload", "readerPayloadDigest", F.col("payload") == F.col("readerPayloadDigest"), "another payload digest"),
+        ("integrity.binding", "reviewAttestation.contentBinding", binding.isNull() | (F.col("whole") == binding), "another release digest"),
+    ]
+    out.append(checks.violations(bound, F.col("releaseId"), rules))
+    return checks.all_of(*out)
+
+
+def check_relations(entries: DataFrame, body_links: DataFrame) -> DataFrame:
+    """The reading sequence of a chapter: one link to the interlude's portal and one to its own return; no other link to a reader route anywhere.
+
+    entries (id, slug, readingSequence), body_links (entry, url). A sequence must name an existing interlude.
+    """
+    s = F.col("readingSequence")
+    owners = entries.filter(s.isNotNull()).select("id", s["interludeId"].alias("target"), s["portalAnchor"].alias("portal"), s["returnAnchor"].alias("back"))
+    slugs = entries.select(F.col("id").alias("target"), F.col("slug").alias("target_slug"))
+    resolved = owners.join(slugs, "target", "left")
+    lost = resolved.filter(F.col("target_slug").isNull())
+    wanted = resolved.filter(F.col("target_slug").isNotNull()).select(
+        F.col("id").alias("entry"),
+        F.explode(F.array(F.concat(F.lit("/book/read/"), "target_slug", F.lit("/#"), "portal"), F.concat(F.lit("/book/read/"), "id", F.lit("/#"), "back"))).alias("url"),
+        F.lit(True).alias("wanted"),
+    )
+    found = body_links.filter(F.col("url").startswith("/book/read/")).groupBy("entry", "url").agg(F.count("*").alias("times"))
+    both = wanted.distinct().join(found, ["entry", "url"], "full_outer")
+    message = F.when(F.col("wanted").isNull(), "not declared").when(F.coalesce("times", F.lit(0)) != 1, "must stand exactly once")
+    out = both.filter(message.isNotNull()).select(F.lit("relations.links").alias("check_id"), F.col("entry").alias("record_id"), F.col("url").alias("path"), message.alias("message"))
+    return checks.all_of(out, checks.rows_of(lost, "relations.target", F.col("id"), "readingSequence", "no such interlude"))
+
+
+def check_note_marks(entries: DataFrame, notes: DataFrame, body_links: DataFrame) -> DataFrame:
+    """Anchor links in bodies: a #note- link without a note is dangling, one to a note that its entry doesn't list is undeclared."""
+    marks = body_links.filter(F.col("url").startswith("#")).select("entry", "url", F.substr("url", F.lit(2)).alias("anchor")).distinct()
+    known = marks.join(notes.select("anchor", F.col("id").alias("note")), "anchor", "left").join(entries.select(F.col("id").alias("entry"), "noteIds"), "entry", "left")
+    message = F.when(F.col("note").isNull() & F.col("url").startswith("#note-"), "dangling").when(F.col("note").isNotNull() & ~F.coalesce(F.array_contains("noteIds", F.col("note")), F.lit(False)), "not declared")
+    return known.filter(message.isNotNull()).select(F.lit("body.notes").alias("check_id"), F.col("entry").alias("record_id"), F.col("url").alias("path"), message.alias("message"))
+
+
+#: Fields of the records that readers see as prose, and those that hold URLs.
+PROSE = {
+    "notes": ("statement", "limitation"),
+    "sources": ("authors", "title", "publisher", "locators", "containerTitle", "volume", "issue", "pages", "doi"),
+    "objects": ("title", "culture", "date", "material", "materialQualification", "materialAttribution", "collection", "provenanceBoundary", "credits"),
+    "media": ("alt", "caption", "credit", "license"),
+}
+URLS = {"sources": ("url",), "media": ("licenseUrl", "sourceUrl")}
+
+
+def prose_of(records: DataFrame, name: str) -> DataFrame:
+    """(id, field, text) of a record table's prose; fields that belong to one kind of record count for that kind only."""
+    kinds = dict(records.dtypes)
+    fields = [(f, F.col(f) if kinds[f].startswith("array") else F.array(F.col(f))) for f in PROSE[name]]
+    if name == "objects":
+        i = F.col("inventory")
+        published = i["status"] == "published"
+        fields += [("inventory.number", F.array(F.when(published, i["number"]))), ("inventory.statement", F.array(F.when(~published, i["statement"])))]
+    if name == "media":
+        drawn = (F.col("kind") == "authored-diagram") & F.col("author").isNotNull() & F.col("changeNote").isNotNull()
+        fields += [("author", F.array(F.when(drawn, F.col("author")))), ("changeNote", F.array(F.when(drawn, F.col("changeNote"))))]
+        fields.append(("nondocumentaryDisclosure", F.array(F.when(F.col("kind") == "generative", F.col("nondocumentaryDisclosure")))))
+    named = lambda field: lambda t: F.struct(F.lit(field).alias("field"), t.alias("text"))
+    each = F.flatten(F.array(*[F.transform(values, named(field)) for field, values in fields]))
+    return records.select("id", F.explode(each).alias("p")).select("id", "p.field", "p.text").filter("text is not null and text <> ''")
+
+
+def check_prose(tables: dict[str, DataFrame], denied: canonical.Denied) -> DataFrame:
+    """Leaks in the prose of records, and URLs that readers may not get."""
+    found = []
+    for name in PROSE:
+        if name in tables:
+            judged = prose_of(tables[name], name).withColumn("message", canonical.leak_of(F.col("text"), denied)).filter("message is not null")
+            found.append(judged.select(F.lit(f"{name}.prose").alias("check_id"), F.col("id").alias("record_id"), F.col("field").alias("path"), "message"))
+        for field in URLS.get(name, ()):
+            if name in tables:
+                judged = tables[name].filter(F.col(field).isNotNull()).select("id", canonical.checked_url(F.col(field), denied)["error"].alias("message")).filter("message is not null")
+                found.append(judged.select(F.lit(f"{name}.url").alias("check_id"), F.col("id").alias("record_id"), F.lit(field).alias("path"), "message"))
     return checks.all_of(*found)
 
 
+def check_collections(manifest: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """The one manifest against the loaded records: sizes of the collections, and entries as in the reading order."""
+    declared = manifest.select(F.explode(F.array(*[F.struct(F.lit(k).alias("collection"), F.col(f"counts.{k}").alias("n")) for k in paths.FOLDERS.values()])).alias("c")).select("c.*")
+    observed = checks.all_of(*[t.agg(F.count("*").alias("n")).select(F.lit(k).alias("collection"), "n") for k, t in tables.items() if k in paths.FOLDERS.values()])
+    sizes = snapshots.manifest_counts(declared, observed)
+    order = manifest.select(F.explode("readingOrder").alias("id"))
+    loaded = checks.rows_of(links.bijection(order, "id", tables["entries"], "id"), "collections.order", F.col("key"), "readingOrder", "entries and reading order differ")
+    return checks.all_of(checks.rows_of(sizes, "collections.size", F.col("collection"), "counts", "another number of records"), loaded)
+
+
+def check_loaded(manifests: DataFrame, payload: DataFrame) -> DataFrame:
+    """Exactly one manifest, or none and no payload file (path) either."""
+    n, files = manifests.agg(F.count("*").alias("n")), payload.agg(F.count("*").alias("files"))
+    message = F.when((F.col("n") == 0) & (F.col("files") > 0), "payload without a manifest").when(F.col("n") > 1, "more than one manifest")
+    both = n.crossJoin(files).select(message.alias("message")).filter("message is not null")
+    return both.select(F.lit("loaded.manifest").alias("check_id"), F.lit("manifest").alias("record_id"), F.lit("manifest").alias("path"), "message")
+
+
+def check_file_ids(records: DataFrame, path: str = "path", record_id: str = "id") -> DataFrame:
+    """A record's id is the stem of its file's name, and the file is one of the payload."""
+    kind = paths.payload_kind(F.col(path))
+    rules = [
+        ("file.id", record_id, paths.stem(F.col(path)) == F.col(record_id), "not the name of its file"),
+        ("file.place", path, kind.isNotNull() & (kind != "image"), "not a payload path"),
+    ]
+    return checks.violations(records, F.col(record_id), rules)
+
+
 def check_minutes(entries: DataFrame, texts: DataFrame) -> DataFrame:
     """Declared reading minutes against the words of the visible text (id, text)."""
     minutes = T.reading_minutes(T.word_count(F.col("text")))

@@ -1,4 +1,9 @@
-"""Typed collections: one file per record, the file name's stem is its id."""
+"""Typed collections: one file per record, the file name's stem is its id.
+
+Edge cases: a file that isn't UTF-8 or isn't JSON gives a record of nulls, or a problem
+for entries; keys that a schema has and a file lacks are null; files of one name in
+several folders are records of their own; an empty folder gives no rows.
+"""
 
 from __future__ import annotations
 

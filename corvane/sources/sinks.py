@@ -1,7 +1,11 @@
-"""Writers of reports: one JSON object a line, and a sitemap."""
+"""Writers of reports: one JSON object a line, one file a row, and a sitemap."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,3 +21,25 @@ def sitemap_text(entries: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(ordered, lambda e: e["entry"]), "")
     head = '<?xml version="1.0" encoding="UTF-8"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:xhtml="http://www.w3.org/1999/xhtml">'
     return entries.agg(F.concat(F.lit(head), body, F.lit("</urlset>")).alias("value"))
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Each row (path, content) as a file below the folder; gives (path, bytes) of what was written.
+
+    A task that runs again writes the same file again. Of rows that repeat a path one stays, so paths should be unique;
+    null contents are empty files, and a null path is an error.
+    """
+    rows = files.select(F.coalesce("path", F.raise_error(F.lit("a file needs a path"))).alias("path"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            sizes = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    out.write(data.as_py())
+                sizes.append(len(data.as_py()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+
+    return rows.mapInArrow(run, "path string, bytes long")

@@ -28,7 +28,7 @@ def test_tree_scan(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     got = sorted((r["check_id"], r["record_id"]) for r in layers.scan_tree(spark, tmp_path, DENIED).collect())
-    assert got == [("layer.html", "dist/index.html"), ("layer.image", "j.svg"), ("layer.markdown", "src/content/notes/b.md"), ("layer.scheme", "src/app.ts"), ("layer.utf8", "dist/bad.txt")]
+    assert got == [("layer.html", "dist/index.html"), ("layer.image", "j.svg"), ("layer.markdown", "src/content/notes/b.md"), ("layer.scheme", "src/app.ts"), ("layer.source", "src/app.ts"), ("layer.utf8", "dist/bad.txt")]
 
 
 @pytest.mark.parametrize(

@@ -176,3 +176,56 @@ def test_release_manifest(spark):
     assert {r[0] for r in rows(release.check_manifest(bad), "check_id")} == {"manifest.unique", "manifest.order"}
     wrong = spark.createDataFrame([(path, b"\xff\xff\xff")], "path string, content binary")
     assert {r[0] for r in rows(release.check_integrity(manifest, wrong), "check_id")} == {"integrity.length", "integrity.sha256", "integrity.utf8", "integrity.payload"}
+
+
+def test_awkward_rows(spark):
+    """Nulls, repeated rows, ties, clashing names and empty tables."""
+    a = spark.createDataFrame([(1, "x"), (None, "y"), (1, "x"), (3, None)], "n long, key string")
+    b = spark.createDataFrame([("x",), (None,)], "n string")
+    assert rows(links.cardinality(b, "n", a, "key", name="links")) == [("x", 2), (None, 0)]
+    assert rows(links.duplicates(a, "n", name="times")) == [(1, 2)]
+    assert rows(links.missing(a, "key", b, "n"), "n", "key") == [(3, None), (None, "y")]
+    assert rows(links.orphans(b, "n", a, "key")) == [(None,)]
+    assert rows(links.bijection(a.limit(0), "key", b, "n")) == [("x", "extra"), (None, "extra")]
+    texts = spark.createDataFrame([("c", "x", "key", "B"), ("c", "x", "key", "A"), ("c", "x", "key", " "), ("d", "x", "key", "0")], "collection string, id string, field string, text string")
+    got = overlay.localize(spark.createDataFrame([("x", "k"), ("x", "k"), (None, None)], "id string, key string"), texts, ["key"], "en", collection="c")
+    assert rows(got) == [("x", "A"), ("x", "A"), (None, None)]
+    assert overlay.localize(got.limit(0), texts, ["key"], "en").count() == 0
+    twice = spark.createDataFrame([(1, "b"), (1, "a"), (2, None)], "k int, v string")
+    assert rows(reports.attributes(twice, "k", ["v"], [1, 2])) == [("v", "a", None)]
+    assert rows(checks.violations(a, F.col("key"), [("c", "n", F.col("n") > 0, "m")]), "record_id") == [("y",)]
+    assert checks.violations(a.limit(0), F.col("key"), [("c", "n", F.col("n") > 0, "m")]).count() == 0
+    assert rows(snapshots.diff(twice.limit(0), twice.filter("k = 2"), ["k"], ["v"])) == [(2, "added")]
+    places = rows(reports.positioned(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("n")), F.col("n")), "n", "position")
+    assert sorted(places) == [(k, k + 1) for k in range(1000)]
+    assert reports.positioned(a.limit(0), F.col("n")).count() == 0
+    assert [len(r[0]) for r in spark.createDataFrame([(None,), ("",), ("a:b" * 50_000,)], "t string").select(extract.residual(F.col("t"))).collect()] == [0, 0, 0]
+
+
+def test_streamed_digests_are_ordered_digests(spark):
+    from corvane.functions import digests
+
+    files = spark.createDataFrame([(r, p, (p + str(r)).encode() * 50) for r in "ab" for p in ("β.bin", "a.txt", "\U00010000", "\ufffd", "")] + [("c", "x", None)], "release string, path string, content binary")
+    want = files.groupBy("release").agg(digests.ordered_digest(F.collect_list(F.struct("path", F.coalesce("content", F.lit(b"")).alias("content"))), "d\n").alias("digest"))
+    assert rows(digests.streamed_digests(files, "d\n")) == rows(want)
+    assert digests.streamed_digests(files.limit(0), "d\n").count() == 0
+
+
+def test_release_binding_and_svg(spark):
+    import hashlib
+
+    frame = lambda b: len(b).to_bytes(8, "big") + b
+    path, content = "public/images/book-release/a.svg", b"<svg/>"
+    a, b, none = "a" * 40, "b" * 40, "0" * 64
+    file = (path, "binary", len(content), hashlib.sha256(content).hexdigest())
+    make = lambda binding: (4, "reader-v1", "reader-markdown-v1", "cycle-01", a, b, f"release-reader-v1-{a}", hashlib.sha256(b"reader-payload-v1\n" + frame(path.encode()) + frame(content)).hexdigest(), ["prologue"], (1, 0, 0, 0, 0), [file], (3, "cycle-01", a, b, ("reader-v1", "reader-markdown-v1", none), binding))
+    m = make(None)
+    data = {"version": 4, "projection": m[1], "transformer": m[2], "cycleId": m[3], "targetCommit": a, "reviewEvidenceCommit": b, "releaseId": m[6], "readerPayloadDigest": m[7], "readingOrder": ["prologue"]}
+    data |= {"counts": {"entries": 1, "notes": 0, "sources": 0, "objects": 0, "media": 0}, "files": [dict(zip(("path", "kind", "byteLength", "sha256"), file))]}
+    data["reviewAttestation"] = {"schemaVersion": 3, "cycleId": "cycle-01", "targetCommit": a, "reviewEvidenceCommit": b, "reviewedPayload": {"projection": "reader-v1", "transformer": "reader-markdown-v1", "digest": none}}
+    text = (json.dumps(data, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode()
+    whole = hashlib.sha256(b"reader-release-v1\n" + frame(text) + frame(path.encode()) + frame(content)).hexdigest()
+    files = spark.createDataFrame([(path, content)], "path string, content binary")
+    check = lambda binding, *svg: rows(release.check_integrity(spark.createDataFrame([make(("sha256", "v1", binding))], release.MANIFEST), files, approved_svg=svg), "check_id")
+    assert check(whole) == [] and check(none) == [("integrity.binding",)]
+    assert check(whole, file[3]) == [] and check(whole, none) == [("integrity.svg",)]
