@@ -11,7 +11,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _FACTORS = np.random.default_rng(7).integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
-SLICE = 1 << 20
+SLICE = 1 << 18
 _power: list[np.ndarray] = []
 
 
@@ -72,6 +72,24 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.searchsorted(offsets, start, side="right") - 1, np.concatenate(hashes)
 
 
+class Recent:
+    """Which fingerprints came lately: a table of fixed size, in which a later one takes the place of an earlier one.
+
+    It may forget, so it only spares work; what must be distinct is made so elsewhere.
+    """
+
+    def __init__(self, bits: int = 18) -> None:
+        self.table, self.mask = np.zeros(1 << bits, np.uint64), (1 << bits) - 1
+
+    def holds(self, f: int) -> bool:
+        """Whether f is in the table; it is from now on."""
+        at = f & self.mask
+        if int(self.table[at]) == f:
+            return True
+        self.table[at] = f
+        return False
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its word shingles; of fewer words, one for the whole sequence."""
     row, h = word_hashes(data, offsets)

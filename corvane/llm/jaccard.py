@@ -16,12 +16,17 @@ expanded into pairs, but no link between different texts is lost.
 4. What remains are pairs that share a posted shingle and don't link with the
    same leader. Two classes that meet at a frequent shingle post all their
    other shingles; so either they meet there too, or the frequent ones alone must
-   reach T, which sizes rule out for most. Sizes and parity bitmaps, both exact
-   bounds, leave few pairs.
-5. Pairs are verified in cells of one query and at most CELL candidates: the
-   candidates' shingles make inverted lists; DivideSkip sets the longest lists
-   aside, heap-merges the short ones for T minus their number of occurrences, and
-   probes the long ones by binary search.
+   reach T, which sizes rule out for most. Classes meet only in cells of their
+   sizes; sizes and parity bitmaps, both exact bounds, leave few pairs.
+5. Pairs are verified in cells of one query and candidates of about CELL shingles
+   in all: the candidates' shingles make inverted lists; DivideSkip sets the
+   longest lists aside, heap-merges the short ones for T minus their number of
+   occurrences, and probes the long ones by binary search.
+
+What a shingle's posts have in common (their number, leader, largest group) is
+told by windows for ordinary shingles. The posts of a frequent one, which may be
+those of a third of all rows, are dealt over SALTS tasks; what they have in
+common is summed up in a table of MAX_HOT rows at most, which is broadcast.
 
 Only sets of classes in question are shipped: a bit filter of fixed size with
 their fingerprints is sent to the scan, and false hits cost nothing but their
@@ -30,9 +35,11 @@ transport.
 Edge cases: null, empty and wordless texts have no shingles and link with
 nothing; fewer words than a shingle make one element of the whole sequence; a
 null doc_id has no component of its own id, but links like any row; rows that
-repeat a doc_id are rows of their own, for keep_one too; empty tables give no rows. Only doc_id and
-text are read besides columns that are passed on. Fingerprints and shingles are
-64-bit hashes.
+repeat a doc_id are rows of their own, for keep_one too; texts may have any length
+and need not be UTF-8; of equally good leaders that with the larger fingerprint
+leads; empty tables give no rows. Only doc_id and text are read besides columns
+that are passed on, which may have any name. Fingerprints and shingles are 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -43,19 +50,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_column, release_memory, stored
+from .common import blocks, byte_column, discard, release_memory, stored
 from .graph import components
-from .hashing import mixed, shingle_sets
+from .hashing import Recent, mixed, shingle_sets
 
-BLOCK = 1 << 19
-CELL = 256
+BLOCK = 1 << 18
+#: Shingles of the candidates of a cell, on average.
+CELL = 1 << 17
 #: Least and most bits of the parity bitmap of a set; between them it has at least as many as the set has elements.
 PARITY = (1024, 1 << 20)
 #: Most shingles that count as very frequent, and the least texts they stand in.
 MAX_HOT, HOT_TEXTS = 50_000, 256
+#: Tasks that the posts of a frequent shingle are dealt over.
+SALTS = 256
 #: Share of a stretch of texts in which a shingle must stand to be counted as a heavy hitter.
 HOT_SHARE = 0.001
 STRETCH = 1_000_000
@@ -139,17 +149,16 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """(token, f, n, own, hot) of each text's posted shingles; own: how many of its shingles aren't hot. A task posts equal sets once."""
+    """(token, f, n, own, hot) of each text's posted shingles; own: how many of its shingles aren't hot. Equal sets of a task post once as a rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        lately = Recent()
         for batch in batches:
             for _, sets in _sets(batch, 1, width):
                 parts = []
                 for s in sets:
-                    if not len(s) or (f := int(fingerprint(s))) in seen:
+                    if not len(s) or lately.holds(f := int(fingerprint(s))):
                         continue
-                    seen.add(f)
                     n = len(s)
                     p = posted(n, percent)
                     if len(hot):
@@ -176,12 +185,24 @@ def postings(docs: DataFrame, width: int, percent: int, hot: np.ndarray) -> Data
                     ],
                     names=["token", "f", "n", "own", "hot"],
                 )
-        seen.clear()
         release_memory()
 
     return docs.mapInArrow(run, "token long, f long, n int, own int, hot boolean")
 
 
+def _dealt(posts: DataFrame) -> DataFrame:
+    """posts with `deal`, so that (token, deal) doesn't grow with a frequent token's posts."""
+    return posts.withColumn("deal", F.when(F.col("hot"), F.pmod(F.xxhash64("f"), F.lit(SALTS))).otherwise(0).cast("int"))
+
+
+def _in_common(posts: DataFrame, **of: Column) -> DataFrame:
+    """posts (a stored table with deal) with aggregates over all posts of their token."""
+    frequent = posts.filter("hot").groupBy("token").agg(*[c.alias(f"hot_{k}") for k, c in of.items()])
+    window = Window.partitionBy("token", "deal")
+    wide = posts.withColumns({k: c.over(window) for k, c in of.items()}).join(F.broadcast(frequent), "token", "left")
+    return wide.withColumns({k: F.when(F.col("hot"), F.col(f"hot_{k}")).otherwise(F.col(k)) for k in of}).drop(*[f"hot_{k}" for k in of])
+
+
 def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     """Occurrences of every record that stands in at least `least` of the sorted lists."""
     lists = sorted((x for x in lists if x), key=len)
@@ -243,30 +264,28 @@ def _bits(needed: DataFrame) -> np.ndarray:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (q, m) of fingerprints whose sets link, as edges (a, b); pairs is a stored table."""
+    """The pairs (q, m, n_m shingles) of fingerprints whose sets link, as edges (a, b); pairs is a stored table."""
     bits = _bits(pairs.select(F.explode(F.array("q", "m")).alias("f")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        lately = Recent()
         for batch in batches:
             for _, found in _sets(batch, 1, width):
-                f, tokens = [], []
+                wanted: dict[int, bytes] = {}
                 for s in found:
-                    if not len(s):
-                        continue
-                    x = int(fingerprint(s).view(np.int64))
-                    place = x % (1 << FILTER_BITS)
-                    if int(bits[place >> 5]) >> (place & 31) & 1 and x not in seen:
-                        seen.add(x)
-                        f.append(x)
-                        tokens.append(s.tobytes())
-                if f:
-                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(tokens, pa.binary())], names=["f", "tokens"])
-        seen.clear()
+                    if len(s) and not lately.holds(int(f := fingerprint(s))):
+                        x = int(f.view(np.int64))
+                        place = x % (1 << FILTER_BITS)
+                        if int(bits[place >> 5]) >> (place & 31) & 1:
+                            wanted[x] = s.tobytes()
+                if wanted:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(wanted), pa.int64()), pa.array(list(wanted.values()), pa.binary())], names=["f", "tokens"])
         release_memory()
 
-    shipped = docs.mapInArrow(sets, "f long, tokens binary")
-    cells = pairs.withColumn("cell", F.floor((F.row_number().over(Window.partitionBy("q").orderBy("m")) - 1) / CELL).cast("int"))
+    # Texts of one class in several tasks ship their set several times; one of them is enough.
+    shipped = docs.mapInArrow(sets, "f long, tokens binary").groupBy("f").agg(F.first("tokens").alias("tokens"))
+    many = pairs.groupBy("q").agg(F.ceil(F.sum("n_m") / F.lit(CELL)).cast("int").alias("cells")).filter("cells > 1")
+    cells = pairs.join(many, "q", "left").withColumn("cell", F.coalesce(F.pmod(F.xxhash64("m"), F.col("cells")), F.lit(0)).cast("int"))
     members = cells.select("q", "cell", F.col("m").alias("f")).unionByName(cells.select("q", "cell", F.col("q").alias("f")).distinct())
     filled = members.join(shipped, "f").select("q", "cell", "f", "tokens")
     filled = filled.repartition(F.col("q"), F.col("cell")).sortWithinPartitions("q", "cell", "f")
@@ -280,18 +299,19 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
+        edges = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
         for batch in batches:
             out = []
-            for q, c, f, tokens in zip(*(x.to_pylist() for x in batch.columns)):
-                if (q, c) != now:
+            q, c, f = (batch.column(k).to_pylist() for k in range(3))
+            for k in range(batch.num_rows):
+                if (q[k], c[k]) != now:
                     if now is not None:
                         out += solve(now, held)
-                    now, held = (q, c), {}
-                held[f] = np.frombuffer(tokens, np.uint64)  # a class that two tasks shipped stands here once
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                    now, held = (q[k], c[k]), {}
+                held[f[k]] = np.frombuffer(batch.column(3)[k].as_py(), np.uint64)
+            yield edges(out)
         if now is not None:
-            out = solve(now, held)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield edges(solve(now, held))
         held = {}
         release_memory()
 
@@ -299,7 +319,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (q, m) that sizes and parity bitmaps don't rule out."""
+    """Pairs (q, m, n_m) that sizes and parity bitmaps don't rule out."""
     side = lambda c: classes.select(F.col("f").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
     wide = pairs.join(side("q"), "q").join(side("m"), "m")
     least = F.ceil(F.lit(percent) * (F.col("n_q") + F.col("n_m")) / F.lit(100.0 + percent))
@@ -311,7 +331,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         return pd.Series(differing(a.tolist(), b.tolist()))
 
     wide = wide.filter(F.least("n_q", "n_m") >= least)
-    return wide.filter((F.col("n_q") + F.col("n_m") - differ("p_q", "p_m")) / 2 >= least).select("q", "m")
+    return wide.filter((F.col("n_q") + F.col("n_m") - differ("p_q", "p_m")) / 2 >= least).select("q", "m", "n_m")
 
 
 def _led(edges: DataFrame) -> DataFrame:
@@ -332,16 +352,17 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = stored(classes, "jaccard-classes")
 
     # Classes that share a posted shingle; one row of a class and shingle, though several tasks may have posted it.
-    by_token = Window.partitionBy("token")
-    posts = postings(docs, width, percent, hot).withColumn("again", F.lag("f").over(by_token.orderBy("f"))).filter("again is null or again <> f").drop("again")
-    posts = posts.withColumn("texts", F.count("*").over(by_token)).filter("texts > 1")
-    posts = stored(posts.select("token", "f", "n", "own", "hot", "texts"), "jaccard-posts")
+    by_token = Window.partitionBy("token", "deal")
+    posts = _dealt(postings(docs, width, percent, hot)).withColumn("again", F.lag("f").over(by_token.orderBy("f"))).filter("again is null or again <> f").drop("again")
+    posts = posts.withColumn("texts", F.count("*").over(by_token)).filter("texts > 1 or hot")
+    posted_by = posts = stored(posts.select("token", "f", "n", "own", "hot", "deal", "texts"), "jaccard-posts")
+    shared = posts.filter("hot").groupBy("token").agg(F.count("*").alias("all"))
+    posts = posts.join(F.broadcast(shared), "token", "left").withColumn("texts", F.when(F.col("hot"), F.col("all")).otherwise(F.col("texts"))).drop("all")
 
     # A class whose posted shingles stand in many others is central; it leads where they meet.
     central = posts.groupBy("f").agg((F.sum("texts") * 1000 / F.first("n")).cast("long").alias("weight"))
-    weighed = posts.select("token", "f", "n").join(central, "f")
-    leader = F.max(F.struct("weight", "f", "n")).over(by_token)
-    weighed = weighed.withColumn("leader", leader).select("f", "n", F.col("leader.f").alias("leader"), F.col("leader.n").alias("leader_n"))
+    weights = stored(posts.select("token", "f", "n", "hot", "deal").join(central, "f"), "jaccard-weighed")
+    weighed = _in_common(weights, leader=F.max(F.struct("weight", "f", "n"))).select("f", "n", F.col("leader.f").alias("leader"), F.col("leader.n").alias("leader_n"))
     near = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
     votes = weighed.filter((F.col("f") != F.col("leader")) & near).groupBy("f", "leader").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("f").agg(F.max(F.struct("votes", "leader")).alias("best")).select(F.col("best.leader").alias("q"), F.col("f").alias("m"))
@@ -350,21 +371,29 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     joined = _led(edges)
 
     # Pairs without a common leader that meet at a shingle. The largest such group of a shingle's classes needs no pairs within.
-    met = posts.select("token", "f", "n", "own", "hot").join(joined.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    met = met.withColumn("low", F.min("root").over(by_token)).withColumn("high", F.max("root").over(by_token)).filter("low <> high")
-    size = F.count("*").over(Window.partitionBy("token", "root"))
-    met = met.withColumn("size", size).withColumn("largest", F.max(F.struct("size", "root")).over(by_token)["root"])
-    met = stored(met.select("token", "f", "n", "own", "hot", "root", "largest"), "jaccard-met")
-    a = met.filter("root <> largest").select("token", *[F.col(c).alias(f"a_{c}") for c in ("f", "n", "own", "hot", "root")])
-    b = met.select("token", *[F.col(c).alias(f"b_{c}") for c in ("f", "n", "own", "root", "largest")])
+    met = posts.select("token", "f", "n", "own", "hot", "deal").join(joined.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    rooted = stored(met, "jaccard-rooted")
+    met = _in_common(rooted, low=F.min("root"), high=F.max("root")).filter("low <> high").drop("low", "high")
+    several = met = stored(met.withColumn("size", F.count("*").over(Window.partitionBy("token", "deal", "root"))), "jaccard-met")
+    groups = met.filter("hot").groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "root")).alias("most"))
+    met = met.withColumn("most", F.max(F.struct("size", "root")).over(by_token)).join(F.broadcast(groups.withColumnRenamed("most", "hot_most")), "token", "left")
+    met = met.withColumn("largest", F.when(F.col("hot"), F.col("hot_most.root")).otherwise(F.col("most.root")))
+    # Sizes that may link lie in one cell or in neighbouring ones.
+    met = met.withColumn("cell", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
+    sides = met = stored(met.select("token", "f", "n", "own", "hot", "root", "largest", "cell"), "jaccard-sides")
+    a = met.filter("root <> largest").select("token", "cell", *[F.col(c).alias(f"a_{c}") for c in ("f", "n", "own", "hot", "root")])
+    near_by = F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)]))
+    b = met.select("token", near_by.alias("cell"), *[F.col(c).alias(f"b_{c}") for c in ("f", "n", "own", "root", "largest")])
     least = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100.0 + percent))
     hot_reach = F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own"))
     once = (F.col("b_root") == F.col("b_largest")) | (F.col("a_root") < F.col("b_root"))
     apart = once & (F.col("a_root") != F.col("b_root")) & (F.least("a_n", "b_n") >= least) & (~F.col("a_hot") | (hot_reach >= least))
-    pairs = a.join(b, "token").filter(apart).select(F.least("a_f", "b_f").alias("q"), F.greatest("a_f", "b_f").alias("m")).distinct()
+    pairs = a.join(b, ["token", "cell"]).filter(apart).select(F.least("a_f", "b_f").alias("q"), F.greatest("a_f", "b_f").alias("m")).distinct()
     rest = stored(_possible(pairs, classes, percent), "jaccard-rest")
     more = stored(verify(docs, rest, width, percent), "jaccard-edges")
     roots = components(edges.unionByName(more))
+    for done in (posted_by, weights, first, edges, rooted, several, sides, rest, more):
+        discard(docs.sparkSession, done)
 
     owned = classes.select("f", "doc_id").join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     least_id = owned.groupBy("root").agg(F.min("doc_id").alias("component"))

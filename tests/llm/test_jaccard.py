@@ -49,7 +49,7 @@ def corpus(rng):
 @pytest.mark.parametrize("hot", [256, 8])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "HOT_TEXTS", hot)
-    monkeypatch.setattr(jaccard, "CELL", 5)
+    monkeypatch.setattr(jaccard, "CELL", 300)
     docs = corpus(random.Random(hot))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("f", F.lit("x")).withColumn("component", F.lit(1)).repartition(3)
     assert sorted(tuple(r) for r in jaccard.components_of(df).collect()) == brute(docs, 4, 85)
