@@ -2,10 +2,11 @@
 
 On a bounded sample a nearest-neighbour graph is built and cut into balanced
 parts (recursive bisection, then moves and swaps that keep more edges inside).
-A small network learns which parts a vector's neighbours lie in. Every vector is
-indexed under its most probable part; a query visits the fewest parts that gave
-the wanted recall on the sample, and the candidates there are ranked by exact
-cosines in double precision.
+The sample grows with the rows up to SAMPLE_ROWS, and the parts with the sample:
+one for each PART_ROWS of it. A small network learns which parts a vector's
+neighbours lie in. Every vector is indexed under its most probable part; a query
+visits the fewest parts that gave the wanted recall on the sample, and the
+candidates there are ranked by exact cosines in double precision.
 
 Parts and the queries that visit them are cut into chunks of bounded size, so
 neither a popular part nor one with many queries becomes one task. Of equal
@@ -14,10 +15,12 @@ and equal queries are searched once; a vector that a third of all rows share
 costs no more than one that stands alone.
 
 Edge cases: null, zero and non-finite vectors, vectors with null components or of
-another length than the sample's, and null ids take no part; ties go to the
-smaller id; rows that repeat an id are one row of the answer; with fewer
-candidates than k all are returned; empty tables give no rows. Only vec_id and
-embedding are read.
+another length than most rows have (of equally frequent ones the smallest), and
+null ids take no part; ties go to the smaller id; rows that repeat id and vector
+count once, and an id with different vectors is as near as its nearest vector and
+stands in an answer once; with fewer candidates than k all are returned; empty
+tables give no rows. Only vec_id and embedding are read, so other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SAMPLE_ROWS = 4096
-PARTS = 32
+SAMPLE_ROWS = 8192
+#: Sampled rows for each part.
+PART_ROWS = 64
 NEIGHBOURS = 10
 #: Recall on the sample that decides how many parts a query visits.
-WANTED_RECALL = 0.98
+WANTED_RECALL = 0.96
 CHUNK = 4096
 HIDDEN, STEPS, RATE = 128, 150, 0.01
 #: Slack of the fast scores, within which exact ones decide.
@@ -164,10 +168,10 @@ def train_router(x: np.ndarray, target: np.ndarray) -> Router:
     return Router(*p)
 
 
-def fit(vectors: np.ndarray, parts: int = PARTS, k: int = 5, wanted: float = WANTED_RECALL) -> Router:
+def fit(vectors: np.ndarray, part_rows: int = PART_ROWS, k: int = 5, wanted: float = WANTED_RECALL) -> Router:
     """From a sample of distinct vectors; the number of probes is set by recall of k neighbours within it."""
     n, d = vectors.shape
-    parts = max(1, min(parts, n // 64))
+    parts = max(1, n // part_rows)
     if parts == 1:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
     x = _unit(vectors)
@@ -189,29 +193,36 @@ def fit(vectors: np.ndarray, parts: int = PARTS, k: int = 5, wanted: float = WAN
 
 
 def nearest(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row of query, ids, scores) of the k nearest by exact cosine, ties to the smaller id."""
-    fast = _unit(query) @ _unit(vectors).T
+    """(row of query, ids, scores) of the k nearest different ids by exact cosine, ties to the smaller id."""
+    unit = _unit(vectors).T
     length = np.sqrt((vectors * vectors).sum(1))
-    for r in range(len(query)):
-        f = fast[r]
-        least = np.partition(f, len(f) - k)[len(f) - k] if len(f) > k else -np.inf
-        held = np.flatnonzero(f >= least - SLACK)
-        own = query[r]
-        score = (vectors[held] * own).sum(1) / (length[held] * np.sqrt((own * own).sum()))
-        o = np.lexsort((ids[held], -score))[:k]
-        yield r, ids[held][o], score[o]
-
-
-def search(df: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS, parts: int = PARTS) -> DataFrame:
+    for at in range(0, len(query), 256):
+        fast = _unit(query[at : at + 256]) @ unit
+        for r, f in enumerate(fast, at):
+            own, wide = query[r], k
+            while True:
+                least = np.partition(f, len(f) - wide)[len(f) - wide] if len(f) > wide else -np.inf
+                held = np.flatnonzero(f >= least - SLACK)
+                score = (vectors[held] * own).sum(1) / (length[held] * np.sqrt((own * own).sum()))
+                o = np.lexsort((ids[held], -score))
+                _, first = np.unique(ids[held][o], return_index=True)
+                if len(first) >= k or wide >= len(f):
+                    break
+                wide *= 4  # an id with several vectors took more than one place
+            o = o[np.sort(first)[:k]]
+            yield r, ids[held][o], score[o]
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS, wanted: float = WANTED_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found rows of df (vec_id, embedding) for each row of queries, its own id left out."""
     usable = stored(clean(df), "ann-vectors")
-    sample = [bytes(r["v"]) for r in usable.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample_rows).collect()]
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return df.sparkSession.createDataFrame([], schema)
-    size = len(sample[0])
-    router = fit(_matrix([v for v in sample if len(v) == size]), parts, k)
+    sizes = usable.groupBy(F.octet_length("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if sizes is None:
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size = sizes["size"]
     usable = usable.filter(F.octet_length("v") == size)
+    sample = usable.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample_rows).toArrow()["v"].to_pylist()
+    router = fit(_matrix(sample), part_rows, k, wanted)
     turn = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     indexed = usable.distinct().withColumn("turn", turn).filter(F.col("turn") <= k + 1).drop("turn")
 
@@ -249,7 +260,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = SAM
     cell = ("part", "ci", "qi")
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(solve, "v binary, vec_id long, score double")
     best = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= k + 1).drop("turn")
+    found = found.groupBy("v", "vec_id").agg(F.max("score").alias("score")).withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= k + 1).drop("turn")
     own = asked.select(F.col("vec_id").alias("query_id"), "v").join(found, "v").filter("vec_id <> query_id")
+    own = own.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     last = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return own.select("query_id", "vec_id", "score").withColumn("rank", last.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return own.withColumn("rank", last.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

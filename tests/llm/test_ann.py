@@ -24,7 +24,7 @@ def test_recall_and_ties(spark):
     ids = np.arange(3000)
     bad = [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [None] * 16), (5200, [1.0] * 3), (None, [1.0] * 16)]
     df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)] + bad, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("score", F.lit("x"))
-    got = ann.search(df, df.filter("vec_id % 50 = 0"), sample_rows=1500, parts=8).collect()
+    got = ann.search(df, df.filter("vec_id % 50 = 0"), sample_rows=1500, part_rows=180).collect()
     want = exact(ids, x.astype(float), range(0, 3000, 50), 5)
     by = {}
     for r in sorted(got, key=lambda r: r["rank"]):
@@ -44,3 +44,42 @@ def test_few_rows_and_none(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, df.filter("vec_id % 50 = 0")).collect())
     assert got == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
     assert ann.search(df.filter("vec_id < 0"), df).count() == 0
+
+
+def test_one_vector_of_another_length_changes_nothing(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(c) for c in rng.normal(size=8)]) for k in range(60)]
+    rows += [(100 + k, [float(c) for c in rng.normal(size=9 + k)]) for k in range(20)]  # one of these is first by hash
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter("vec_id % 50 = 0"))
+    assert {r["query_id"] for r in got.collect()} == {0, 50} and got.count() == 10
+    assert all(r["vec_id"] < 60 for r in got.collect())
+
+
+def test_ids_with_several_vectors_stand_once_in_an_answer(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k % 12, [float(c) for c in rng.normal(size=6)]) for k in range(60)] + [(3, [1.0] * 6)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter("vec_id = 0"), k=5).collect()
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    best = {i: max(unit(v) @ unit(q) for q in (x for j, x in rows if j == 0) for v in (x for j, x in rows if j == i)) for i in range(1, 12)}
+    want = sorted(best, key=lambda i: (-best[i], i))[:5]
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == want and len(got) == 5
+
+
+def test_recall_on_the_table_of_embeddings(spark):
+    """At least 0.9 against brute force; what the router spares is printed with -s."""
+    folder = "/root/testdata/sf0.1"
+    df = spark.read.parquet(f"{folder}/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    queries = [int(i) for i in ids if i % 50 == 0]
+    want = exact(ids, x, queries, 5)
+    by = {}
+    for r in ann.search(df, df.filter("vec_id % 50 = 0")).collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = sum(len(by[q] & {i for i, _ in want[q]}) for q in queries) / (5 * len(queries))
+    router = ann.fit(x, k=5)
+    parts = router.w2.shape[1]
+    print(f"recall {recall:.3f}, {router.probes} of {parts} parts visited")
+    assert recall >= 0.9 and parts == len(x) // ann.PART_ROWS and router.probes < parts
