@@ -1,29 +1,39 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexical transducer maps words to classes: insult, threat, target (an address),
-negation, reported speech, other. Four small sequential transducers then mark an
-insult or threat that stands shortly after a negation, after a verb of reporting
-in its clause, or close to a target; they are composed into one table, which is
-run over each clause that holds an insult or threat. What it emits is counted
-per document, and a logistic model weighs the emitted marks, so a negated or
-reported insult counts by what labelled rows say, with the grammar's own weights
-as the prior.
-
-The insults are learned: words, and word stems (prefixes), whose documents in a
-bounded sample of labelled rows are toxic far beyond chance; a few common ones
-are given. Scoring is a map over the scan, with the lexicon (bounded) in the task.
+A lexical transducer maps words (and quotation marks) to classes: insult, threat,
+target (an address), negation, contrast, reported speech, quote, other. Four small
+sequential transducers then mark an insult or threat that stands in the scope of a
+negation, after a verb of reporting in its clause (or in a quotation that such a
+verb follows), or close to a target; they are composed into one table, which is run
+over each clause that holds an insult or threat. A negated or reported one stays so
+whatever address stands beside it. Clauses end at full stops, question and
+exclamation marks, semicolons and line ends outside quotations; a colon doesn't end
+one, as it introduces speech. Each clause counts once for insults and once for
+threats, by its strongest mark, and a logistic model weighs the counts, so a negated
+or reported insult counts by what labelled rows say, with the grammar's own weights
+as the prior where the rows say nothing.
+
+The insults and threats are learned: words, and word stems (prefixes), whose
+documents in a bounded sample of labelled rows are toxic far beyond chance; a few
+common ones are given. A learned word that mostly follows a word of intent ("will")
+is a threat, any other an insult. Scoring is a map over the scan, with the lexicon in
+the task; its words each stand in at least three documents of the bounded sample,
+which bounds the lexicon.
 
 Edge cases: null and empty texts have no clause and get the score of a document
-without hits; without labels of both classes the prior weights hold; repeated
-rows are scored one by one; empty tables give no rows. Labels, lang, source and
-ids are no inputs of the score.
+without hits; without labels of both classes the prior weights hold; of equally
+strong words and stems the learned set holds all; repeated rows are scored one by
+one; texts may have any length, and bytes that aren't UTF-8 are read as replacement
+characters; empty tables give no rows. Only doc_id and text of documents are read,
+so other columns may have any name. Labels, lang, source and ids are no inputs of
+the score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,88 +45,107 @@ from .labels import SAMPLE_ROWS, distinct, remainder, sample, with_texts
 
 MODULUS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
-REACH = 3
-STEM = (4, 7)
-MAX_LEXICON = 20_000
+#: Words that an address, and a negation, reach.
+REACH, SCOPE = 3, 5
+STEM = (3, 8)
 PRECISION = 0.9
 #: Different words that a stem must have.
 FORMS = 4
-CACHE_WORDS = 500_000
+#: Share of a learned word's places that follow a word of intent, from which it is a threat.
+INTENDED = 0.5
+CACHE_WORDS = 200_000
 
 SEED = {
     "insult": "idiot idiots moron morons scum imbecile dumbass",
     "threat": "kill murder hurt destroy strangle stab töten umbringen tuer matar",
     "target": "you your yours u du dich dir ihr euch tu te toi vous vos usted ustedes ti",
-    "negation": "not never isn't aren't don't kein keine nicht nie ne pas jamais nunca jamás",
-    "report": "said says say told wrote claimed quoted called sagte sagt schrieb disait écrit dijo dice escribió",
+    "negation": "not never isn't aren't don't won't kein keine nicht nie ne pas jamais no nunca jamás",
+    "contrast": "but aber sondern mais pero sino",
+    "report": "said says say told wrote claimed quoted called sagte sagt schrieb disait dit écrit dijo dice escribió",
+    "quote": '"',
 }
-CLASSES = ("other", "insult", "threat", "target", "negation", "report")
-#: What a document is told by: clauses by their strongest mark, and log of hits.
+#: Words before a learned threat.
+INTENT = frozenset("will i'll we'll gonna shall werde werden vais allons voy vamos".split())
+CLASSES = ("other", *SEED)
+HITS = ("insult", "threat")
+#: What a document is told by: clauses by their strongest mark, for insults and for threats, and log of hits.
 MARKS = ("plain", "targeted", "negated", "reported")
-PRIOR = np.array([-4.0, 6.0, 7.0, 1.5, 2.0, 6.0, 1.5, 2.0])
+STRENGTH = ("targeted", "plain", "reported", "negated")
+PRIOR = np.array([-4.0, 6.0, 7.0, 0.5, 1.0, 1.5, 6.0, 0.2, 0.5, 0.5])
 PRIOR_STRENGTH = 0.5
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE = re.compile(r"[^.!?;:\n]+")
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|\"")
+CLAUSE = re.compile(r'(?:"[^"\n]{0,400}"|[^.!?;\n])+')
+_PLAIN = str.maketrans({**dict.fromkeys("“”„«»", '"'), "’": "'"})
 
 
 class Negation:
-    """After a negation, the next REACH words are in its scope."""
+    """After a negation, the next SCOPE words are in its scope, up to a contrast."""
 
     start = 0
 
     def step(self, state: int, symbol: tuple) -> tuple[int, tuple]:
         if symbol[0] == "negation":
-            return REACH, symbol
-        if state and symbol[0] in ("insult", "threat"):
+            return SCOPE, symbol
+        if symbol[0] == "contrast":
+            return 0, symbol
+        if symbol[0] == "quote":
+            return state, symbol
+        if state and symbol[0] in HITS:
             return state - 1, (*symbol, "negated")
         return max(state - 1, 0), symbol
 
 
 class Reported:
-    """A verb of reporting holds for the rest of its clause."""
+    """A verb of reporting holds for the rest of its clause, and for a quotation just before it."""
 
-    start = 0
+    start = (0, 0, "")  # after a verb, within a quotation, the last hit of the quotation
 
-    def step(self, state: int, symbol: tuple) -> tuple[int, tuple]:
+    def step(self, state: tuple[int, int, str], symbol: tuple) -> tuple[tuple[int, int, str], tuple]:
+        after, within, hit = state
         if symbol[0] == "report":
-            return 1, symbol
-        if state and symbol[0] in ("insult", "threat"):
-            return state, (*symbol, "reported")
+            return (1, within, ""), (*symbol, "back", hit) if hit and not within else symbol
+        if symbol[0] == "quote":
+            return (after, 1 - within, hit if within else ""), symbol
+        if symbol[0] in HITS:
+            return (after, within, symbol[0] if within else hit), (*symbol, "reported") if after else symbol
         return state, symbol
 
 
 class Targeted:
-    """An address up to REACH words before, or at once after, an insult or threat makes it targeted."""
+    """An address up to REACH words before, or at once after, an insult or threat targets it, unless it is negated or reported."""
 
-    start = (0, 0)
+    start = (0, "")  # words that an address still reaches, the kind of a hit just before
 
-    def step(self, state: tuple[int, int], symbol: tuple) -> tuple[tuple[int, int], tuple]:
+    def step(self, state: tuple[int, str], symbol: tuple) -> tuple[tuple[int, str], tuple]:
         before, hit = state
         if symbol[0] == "target":
-            return (REACH, 0), (*symbol, "after") if hit else symbol
-        if symbol[0] in ("insult", "threat"):
-            return (max(before - 1, 0), 1), (*symbol, "targeted") if before else symbol
-        return (max(before - 1, 0), 0), symbol
+            return (REACH, ""), (*symbol, "after", hit) if hit else symbol
+        if symbol[0] in HITS:
+            weak = "negated" in symbol or "reported" in symbol
+            return (max(before - 1, 0), "" if weak else symbol[0]), (*symbol, "targeted") if before and not weak else symbol
+        if symbol[0] == "quote":
+            return state, symbol
+        return (max(before - 1, 0), ""), symbol
 
 
 class Emit:
-    """The mark of a clause element: kind and strongest modifier; modifiers that weaken go first."""
+    """The mark of a place, (kind, modifier): of a hit, of an address just after one, or of a verb that reports the quotation before it."""
 
     start = 0
 
     def step(self, state: int, symbol: tuple) -> tuple[int, tuple]:
         if symbol[0] == "target" and "after" in symbol:
-            return state, ("insult", "targeted")
-        if symbol[0] not in ("insult", "threat"):
+            return state, (symbol[2], "targeted")
+        if symbol[0] == "report" and "back" in symbol:
+            return state, (symbol[2], "back")
+        if symbol[0] not in HITS:
             return state, ()
-        for mark in ("negated", "reported", "targeted"):
-            if mark in symbol:
-                return state, (symbol[0], mark)
-        return state, (symbol[0], "plain")
+        return state, (symbol[0], next((m for m in ("negated", "reported", "targeted") if m in symbol), "plain"))
 
 
-def compose(machines: list) -> dict[tuple[int, int], tuple[int, tuple]]:
+def compose(machines: tuple) -> dict[tuple[int, int], tuple[int, tuple]]:
     """One table of (state, class) -> (state, emitted) that does what the machines do one after another."""
     start = tuple(m.start for m in machines)
     known, todo, table = {start: 0}, [start], {}
@@ -135,15 +164,16 @@ def compose(machines: list) -> dict[tuple[int, int], tuple[int, tuple]]:
     return table
 
 
-TABLE = compose([Negation(), Reported(), Targeted(), Emit()])
+MACHINES = (Negation(), Reported(), Targeted(), Emit())
+TABLE = compose(MACHINES)
 
 
 @dataclass
 class Lexicon:
-    """The lexical transducer: words and stems of insults, and the classes of given words."""
+    """The lexical transducer: words, and stems of insults and threats, with their classes."""
 
     words: dict[str, int]
-    stems: frozenset[str]
+    stems: dict[str, int]
     cache: dict[str, int] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
@@ -153,11 +183,12 @@ class Lexicon:
         c = self.cache.get(word)
         if c is None:
             c = self.words.get(word, 0)
-            if not c and any(word[:n] in self.stems for n in range(STEM[0], STEM[1] + 1) if len(word) >= n):
-                c = 1
+            if not c and self.stems:
+                c = next((k for n in range(STEM[0], min(STEM[1], len(word)) + 1) if (k := self.stems.get(word[:n]))), 0)
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-            self.cache[word] = c
+            if len(word) <= 40:
+                self.cache[word] = c
         return c
 
 
@@ -165,35 +196,38 @@ def seed_words() -> dict[str, int]:
     return {w: CLASSES.index(c) for c, words in SEED.items() for w in words.split()}
 
 
+def clause_marks(clause: str, lexicon: Lexicon) -> tuple[dict[str, str], int]:
+    """The strongest mark of each kind in a clause, and how many hits it has."""
+    state, n, emitted = 0, 0, []
+    for w in TOKEN.findall(clause):
+        c = lexicon.of(w)
+        state, mark = TABLE[state, c]
+        n += CLASSES[c] in HITS
+        if mark and mark[1] == "back":  # what the quotation said is reported
+            emitted = [(k, "reported" if k == mark[0] and m != "negated" else m) for k, m in emitted]
+        elif mark:
+            emitted.append(mark)
+    return {kind: min((m for k, m in emitted if k == kind), key=STRENGTH.index) for kind in HITS if any(k == kind for k, _ in emitted)}, n
+
+
 def features(text: str, lexicon: Lexicon) -> list[float]:
-    """1, then clauses (at most 3) by strongest mark for insults (plain, targeted, negated, reported), threats targeted, other threats, and log of hits."""
-    text = text.lower()
-    cls = lexicon.of
-    words = set(WORD.findall(text))
-    out = [1.0, 0, 0, 0, 0, 0, 0, 0]
-    hits = {w for w in words if 1 <= cls(w) <= 2}
+    """1, then numbers of clauses by strongest mark (MARKS) for insults and for threats, as logs from the third on, and log of hits."""
+    text = text.translate(_PLAIN).lower()
+    out = [0.0] * len(PRIOR)
+    out[0] = 1.0
+    hits = {w for w in set(WORD.findall(text)) if CLASSES[lexicon.of(w)] in HITS}
     if not hits:
         return out
-    n = 0
+    total = 0
     for clause in CLAUSE.findall(text):
-        found = WORD.findall(clause)
-        if hits.isdisjoint(found):
+        if hits.isdisjoint(WORD.findall(clause)):
             continue
-        state, emitted = 0, set()
-        for w in found:
-            state, mark = TABLE[state, cls(w)]
-            if mark:
-                emitted.add(mark)
-                n += 1
-        insult = [m for m in ("targeted", "plain", "reported", "negated") if ("insult", m) in emitted]
-        if insult:
-            out[1 + MARKS.index(insult[0])] += 1
-        if ("threat", "targeted") in emitted:
-            out[5] += 1
-        elif any(k == "threat" for k, _ in emitted):
-            out[6] += 1
-    out[1:7] = [min(x, 3.0) for x in out[1:7]]
-    out[7] = math.log1p(n)
+        marks, n = clause_marks(clause, lexicon)
+        total += n
+        for kind, mark in marks.items():
+            out[1 + len(MARKS) * HITS.index(kind) + MARKS.index(mark)] += 1
+    out[1:-1] = [x if x < 2 else 1 + math.log2(x) for x in out[1:-1]]
+    out[-1] = math.log1p(total)
     return out
 
 
@@ -214,25 +248,45 @@ def learn_lexicon(found: DataFrame) -> Lexicon:
     try:
         total = found.agg(F.sum("label"), F.count("*")).first()
         bad, n = total[0] or 0, total[1]
+        lexicon = seed_words()
         if not 0 < bad < n:
-            return Lexicon(seed_words(), frozenset())
+            return Lexicon(lexicon, {})
         stem = F.explode(F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word"))), lambda k: F.substring("word", F.lit(1), k)))
         stems = counts.filter(F.length("word") >= STEM[0]).select(stem.alias("word"), "bad", "n").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("forms"))
         stems = stems.filter(F.col("forms") >= FORMS)
         # So often toxic that chance gives no such candidate among a million.
         often = (math.log(1e6)) / -math.log(max(bad / n, 1e-9))
         strong = (F.col("bad") >= max(3, often)) & (F.col("bad") >= PRECISION * F.col("n"))
-        top = lambda df: [r["word"] for r in df.filter(strong).orderBy(F.desc("bad"), "word").limit(MAX_LEXICON).collect()]
-        lexicon = seed_words()
-        for w in top(counts):
-            lexicon.setdefault(w, 1)
-        shortest: set[str] = set()
-        for s in sorted(top(stems), key=len):
+        chosen = lambda df: {r["word"] for r in df.filter(strong).select("word").collect()}
+        learned, shortest = {w for w in chosen(counts) if w not in lexicon}, set()
+        for s in sorted(chosen(stems), key=len):
             if not any(s[:k] in shortest for k in range(STEM[0], len(s))):
                 shortest.add(s)
-        return Lexicon(lexicon, frozenset(shortest))
     finally:
         counts.unpersist()
+    kinds = _kinds(found, learned, shortest)
+    return Lexicon(lexicon | {w: kinds(w) for w in learned}, {s: kinds(s) for s in shortest})
+
+
+def _kinds(found: DataFrame, words: set[str], stems: set[str]) -> Callable[[str], int]:
+    """The class of each learned word or stem: a threat if most of its places in (text, label) follow a word of intent within REACH words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[str, list[int]] = {}
+            for text in b.column(0).to_pylist():
+                said = WORD.findall(text.translate(_PLAIN).lower())
+                for k, w in enumerate(said):
+                    for x in (w, *(w[:n] for n in range(STEM[0], min(STEM[1], len(w)) + 1))):
+                        if x in words or x in stems:
+                            held = seen.setdefault(x, [0, 0])
+                            held[0] += 1
+                            held[1] += not INTENT.isdisjoint(said[max(0, k - REACH) : k])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], names=["word", "n", "intended"])
+
+    got = found.select("text").mapInArrow(run, "word string, n long, intended long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("intended").alias("intended")).filter(F.col("intended") >= INTENDED * F.col("n"))
+    threats = {r["word"] for r in got.collect()}
+    return lambda w: CLASSES.index("threat" if w in threats else "insult")
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -273,10 +327,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [model.score(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
+            for k in range(0, max(1, b.num_rows), 1000):
+                part = b.slice(k, 1000)
+                s = [model.score((t or b"").decode(errors="replace")) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
