@@ -58,4 +58,5 @@ def place(df: DataFrame, key: Column, shards: list[str], size: int = TABLE_SIZE)
     names = F.array(*[F.lit(s) for s in shards])
     table = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("pos", "owner"))
     table = table.select(F.col("pos").cast("long").alias("slot"), F.get(names, F.col("owner").cast("int")).alias("shard"))
-    return df.drop("shard").withColumn("slot", slot_of(key, size)).join(F.broadcast(table), "slot")
+    placed = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")], slot_of(key, size).alias("slot"))
+    return placed.join(F.broadcast(table), "slot")
