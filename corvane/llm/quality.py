@@ -8,9 +8,12 @@ weights are compiled into one column expression, so scoring is a projection of
 the scan: no shuffle, no Python.
 
 Edge cases: null and empty texts have all statistics 0 and are scored like any
-other; without usable labels, or with labels of one class, the score is the
-smoothed share of label 1; repeated rows are scored one by one; an empty table
-gives no rows. Labels, lang, source and ids are no inputs of the score.
+other; without usable labels, with labels of one class, or with too few for a
+rule, the score is the smoothed share of label 1; repeated rows are scored one by
+one, and equal gains of two splits go to the first; texts may have any length; an
+empty table gives no rows. Only doc_id and text are read besides columns that are
+passed on, which may have any name. Labels, lang, source and ids are no inputs of
+the score.
 """
 
 from __future__ import annotations
@@ -138,6 +141,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Model:
         new, value = _grow(codes, cuts, p - y, np.maximum(p * (1 - p), 1e-6))
         logit += RATE * value
         rules.update(dict.fromkeys(new))
+    if not rules:  # too few rows for a split
+        return Model(names, [], [], bias)
     kept = list(rules)
     held = np.stack([r.holds(x) for r in kept], 1).astype(float)
     _, first = np.unique(held, axis=1, return_index=True)  # rules of the same rows count once
