@@ -24,6 +24,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
 """
 
+OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r
+), e AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY ALL) p JOIN n na ON p.a = na.r JOIN n nb ON p.b = nb.r
+  WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) JOIN reach ON reach.a = d.r JOIN d o ON o.r = reach.b GROUP BY d.r, d.doc_id
+"""
+
 OP5 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -48,6 +62,26 @@ FROM c GROUP BY conv_id
 """
 
 
+OP8 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), part AS (
+  SELECT r, c, last, substr(h, 1000 * c + 1, 1398) AS p FROM (SELECT r, h, length(h) // 2 - 200 AS last, unnest(range(0, length(h) // 1000 + 1)) AS c FROM d WHERE length(h) >= 400)
+), w AS (
+  SELECT r, 500 * c + j AS i, md5_number(substr(p, 2 * j + 1, 400)) AS m FROM (SELECT *, unnest(range(0, 500)) AS j FROM part) WHERE 500 * c + j <= last
+), again AS (SELECT r, i FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)
+), cut AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM again
+), span AS (SELECT r, k, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM cut) GROUP BY r, k
+), gap AS (
+  SELECT r, k, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY k), 0) AS a, lo AS b FROM span
+  UNION ALL SELECT r, 1000000000, max(hi), NULL FROM span GROUP BY r
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * a + 1, coalesce(2 * (b - a), length(h))), '' ORDER BY k) AS left_over FROM gap JOIN d USING (r) GROUP BY r
+), cuts AS (SELECT r, sum(hi - lo) AS removed, count(*) AS spans FROM span GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM d LEFT JOIN cuts USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def op9(shards: list[str], owners: list[int], size: int) -> str:
     """Placement through the literal lookup table."""
     return f"""
@@ -80,4 +114,4 @@ def all_sql() -> dict[str, str]:
     from .queries import SHARDS
     from .sharding import TABLE_SIZE, lookup_table
 
-    return {"op1_decontamination": OP1, "op5_chat_formatting": OP5, "op9_sharding": op9(SHARDS, lookup_table(SHARDS), TABLE_SIZE), "op10_warc": OP10}
+    return {"op1_decontamination": OP1, "op4_jaccard_join": OP4, "op5_chat_formatting": OP5, "op8_suffix_dedup": OP8, "op9_sharding": op9(SHARDS, lookup_table(SHARDS), TABLE_SIZE), "op10_warc": OP10}
