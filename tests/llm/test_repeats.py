@@ -96,9 +96,32 @@ def test_longest_previous_factors():
         t = "".join(rng.choice("ab") for _ in range(rng.randint(1, 30)))
         order = sorted(range(len(t)), key=lambda k: t[k:])
         common = lambda a, b: next((k for k in range(min(len(a), len(b)) + 1) if a[: k + 1] != b[: k + 1] or k == min(len(a), len(b))), 0)
-        lcp = [0] + [common(t[a:], t[b:]) for a, b in zip(order, order[1:])]
         want = [max([common(t[p:], t[q:]) for q in range(p)], default=0) for p in order]
-        assert repeats.longest_previous_factors(order, lcp) == want
+        got = repeats.longest_previous_factors(np.array(order), lambda i, j: np.array([common(t[order[a] :], t[order[b] :]) for a, b in zip(i, j)]))
+        assert got.tolist() == want
+
+
+def test_common_prefixes_from_ranks():
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 99, 400).astype(np.uint8)
+    text[100:180] = text[10:90]
+    levels = repeats.ranks(text, 40)
+    a, b = rng.integers(0, 330, 500), rng.integers(0, 330, 500)
+    a[:50], b[:50] = np.arange(10, 60), np.arange(100, 150)
+    true = [next(k for k in range(41) if k == 40 or text[x + k] != text[y + k]) for x, y in zip(a, b)]
+    assert repeats.common_prefixes(levels, a, b).tolist() == [k if k == 40 else k - k % 8 for k in true]
+
+
+def test_a_passage_in_most_texts(spark):
+    """One class has many segments in every batch; only its ends are grouped."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(120)
+    docs = [(k, text(40) + passage + text(rng.randint(0, 60))) for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    for keep in ("none", "first"):
+        got = sorted((tuple(r) for r in repeats.digests(repeats.remove(df, 50, keep)).collect()), key=str)
+        assert got == brute([(i, t.encode()) for i, t in docs], 50, keep)
 
 
 def test_empty_table(spark):
