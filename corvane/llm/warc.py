@@ -6,11 +6,14 @@ becomes a response; the others become revisits of it (headers only). Each task
 writes files of its own name in the shared folder and returns a manifest row per
 file; only files of the manifest count, so what a lost task left is never read.
 
-Reading: a file is cut into byte ranges, one task row each. A task looks for the
+Reading: a file is cut into byte ranges, one task row each; they are dealt to so
+many tasks that each reads about TASK_BYTES. A task looks for the
 gzip magic in its range, takes a place for a member only if a WARC header can be
 decoded from it, and owns the records whose members start inside its range; the
 last one is read beyond the end of the range. So any range size gives each
-record exactly once.
+record exactly once. A member with a WARC header that can't be decoded or parsed
+to its end gives a row of record_type "broken" with its place; round_trip()
+expects none and fails on one.
 
 Files are reached through pyarrow's file systems, chosen by the folder's URI.
 
@@ -36,10 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored
+from .common import make_folder, scratch_path, stored
 
 FILE_BYTES = 256 << 20
 SPLIT_BYTES = 8 << 20
+#: Bytes of archives that a task reads: one range.
+TASK_BYTES = SPLIT_BYTES
 SALTS = 32
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes that are enough to decode the first line of a record from.
@@ -107,9 +112,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, fi
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done)], names=["file", "bytes", "records"])
 
-    spark = pages.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    make_folder(pages.sparkSession, folder)
     return stored(pages.mapInArrow(run, "file string, bytes long, records long"), "warc-manifest")
 
 
@@ -160,16 +163,19 @@ def read_range(source: pa.NativeFile, start: int, end: int) -> Iterator[tuple[in
                 here += len(chunk) - len(unpack.unused_data)
             found = _parse(b"".join(parts))
         except (zlib.error, KeyError, ValueError):
+            yield at, {"record_type": "broken"}
             at += 1
             continue
         yield at, found
         at = here
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """A row per record of the files (columns file, bytes)."""
+def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
+    """A row per record of the files (columns file, bytes); without payloads their digests and sizes only."""
     splits = manifest.filter("bytes > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    splits = splits.repartition(F.col("file"), F.col("start"))
+    # By number: ranges are short rows, which would otherwise be put together into one task.
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    splits = splits.repartition(max(1, -(-total // max(split_bytes, TASK_BYTES)), min(splits.count(), spark.sparkContext.defaultParallelism)))
     names = [x.split(" ")[0] for x in FOUND.split(", ")]
     kinds = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split(" ")[1]]) for n, x in zip(names, FOUND.split(", "))])
 
@@ -180,8 +186,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
                 rows, held = [], 0
                 with fs.open_input_file(at) as source:
                     for offset, found in read_range(source, start, start + split_bytes):
-                        rows.append(found | {"file": file, "offset": offset})
-                        held += len(found["payload"] or b"")
+                        held += len(found.get("payload") or b"") if payloads else 0
+                        rows.append(found | {"file": file, "offset": offset} | ({} if payloads else {"payload": None}))
                         if len(rows) >= 2000 or held >= 16 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
                             rows, held = [], 0
@@ -193,4 +199,5 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
 def round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """The op10 digest: pages written to archives in the shared folder and read back."""
     manifest = write_archives(pages, scratch_path(spark, "warc"), min_revisit_bytes)
-    return read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("record_type") == "broken", F.raise_error(F.concat(F.lit("broken record in "), "file"))).otherwise(F.col("record_type"))
+    return read_archives(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", whole.alias("record_type"), "refers_to")
