@@ -12,30 +12,34 @@ any item, cannot lie inside a match, so only the stretches between such places
 are streamed; they are found for whole batches of documents with array
 operations.
 
-The automata are shipped with the tasks, so each holds at most `block_words`
-item words; a larger benchmark makes several, which the documents pass one
-after another within one stage.
+The items are dealt into blocks of about `block_words` words. Tasks build an
+automaton for each block and write it to the shared folder; the documents pass all
+blocks within one map, which loads them in turn, so neither the driver nor the plan
+nor a task holds the benchmark as a whole.
 
 Edge cases: null or wordless texts have no words and no hits; wordless items
 match nothing; equal items are all reported; repeated rows are judged one by
-one; any text length is streamed; empty tables give no hits or no rows. Only the
-named columns are read.
+one; any text length is streamed; bytes that aren't UTF-8 count as letters and stay
+as they are; empty tables give no hits or no rows. Only the named columns are read,
+and those passed on may have any name.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory
+from .common import make_folder, release_memory, scratch_path
 
 WINDOW = 10
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 100_000
 #: decontaminate(): documents with a larger share of hit words go whole.
 MAX_COVERAGE = 0.5
 #: decontaminate(): hit spans of at least so many words are removed.
@@ -43,7 +47,7 @@ MIN_SPAN = 1
 _DELIMITERS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _NORMAL = bytes(range(256)).translate(bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256)))
 _NORMAL = bytes(0x20 if c in _DELIMITERS else c for c in _NORMAL)
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -185,9 +189,11 @@ def match(automaton: SuffixAutomaton, texts: list[bytes]) -> list[tuple[int, lis
     owner = np.searchsorted(first, starts, side="right") - 1
     for k, start, end in zip(owner.tolist(), starts.tolist(), ends.tolist()):
         _, spans, items = out[k]
-        base = start - int(first[k])
+        base, last_found = start - int(first[k]), None
         for stop, n, found in automaton.stream(coded[start:end].tolist()):
-            items.update(found)
+            if found is not last_found:
+                items.update(found)
+                last_found = found
             a, b = base + stop - n, base + stop
             while spans and spans[-1][1] >= a:
                 last = spans.pop()
@@ -196,18 +202,52 @@ def match(automaton: SuffixAutomaton, texts: list[bytes]) -> list[tuple[int, lis
     return out
 
 
-def automata(benchmark: DataFrame, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
-    """Of the items in blocks of bounded size (one item at least)."""
-    block: list = []
-    size = 0
-    for row in benchmark.select("item_id", F.col("text").cast("binary").alias("text")).orderBy("item_id").toLocalIterator():
-        words = words_of(bytes(row["text"] or b""))
-        if block and size + len(words) > block_words:
-            yield SuffixAutomaton(block, window)
-            block, size = [], 0
-        block.append((row["item_id"], words))
-        size += len(words)
-    yield SuffixAutomaton(block, window)
+def store_automata(benchmark: DataFrame, window: int, block_words: int) -> list[str]:
+    """Build the automata of the items, a block each, in tasks, and write them to the shared folder; the names of the files."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    # About five bytes a word; how even the blocks are has no influence on the result.
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // (5 * block_words)))
+    folder = scratch_path(spark, "automata")
+    make_folder(spark, folder)
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+
+        def write(block: int, held: list) -> pa.RecordBatch:
+            with fs.open_output_stream(f"{root}/{block:06d}", compression=None) as out:
+                out.write(pickle.dumps(SuffixAutomaton(sorted(held, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), window)))
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{block:06d}"])], names=["file"])
+
+        now, held = None, []
+        for batch in batches:
+            for item, text, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now and held:
+                    yield write(now, held)
+                    held = []
+                now = block
+                held.append((item, words_of(text)))
+        if held:
+            yield write(now, held)
+        release_memory()
+
+    files = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "file string")
+    return sorted(r["file"] for r in files.collect())
+
+
+_loaded: dict[str, SuffixAutomaton] = {}
+
+
+def load_automaton(file: str) -> SuffixAutomaton:
+    """The automaton of a file; a worker keeps the last one."""
+    if file not in _loaded:
+        _loaded.clear()
+        fs, path = pafs.FileSystem.from_uri(file)
+        with fs.open_input_stream(path, compression=None) as source:
+            _loaded[file] = pickle.loads(source.read())
+    return _loaded[file]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_words: int = BLOCK_WORDS, edit: Callable[[bytes, int, list], bytes | None] | None = None) -> DataFrame:
@@ -217,53 +257,58 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
     edit(text, words, spans) may change the texts that have spans.
     """
     kept = [f"k{i}" for i in range(len(keep))]
-    docs = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col("text").cast("binary").alias("text"))
+    docs = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)], F.col("text").cast("binary").alias("text"))
     names = [*kept, "text", "n_words", "spans", "items"]
-    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-    df = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("items"))
-    schema = df.schema
-
-    def step(automaton: SuffixAutomaton, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(0, max(1, batch.num_rows), 500):
-                    part = batch.slice(k, 500)
-                    texts = part.column("text").to_pylist()
-                    n_words, spans, items = [], [], []
-                    for (n, found, ids), s, i in zip(match(automaton, [x or b"" for x in texts]), part.column("spans").to_pylist(), part.column("items").to_pylist()):
-                        n_words.append(n)
-                        merged: list = []
-                        for a, b in sorted([*([x["start"], x["end"]] for x in s), *found]) if s else found:
-                            if merged and merged[-1]["end"] >= a:
-                                merged[-1]["end"] = max(merged[-1]["end"], b)
-                            else:
-                                merged.append({"start": a, "end": b})
-                        spans.append(merged)
-                        items.append(sorted({*i, *ids} - {None}))
-                    if last and edit is not None:
-                        texts = [edit(t, n, s) if s else t for t, n, s in zip(texts, n_words, spans)]
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(texts, pa.binary()), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.int64()))], names=names)
-            release_memory()
-
-        return run
-
-    waiting = None
-    for automaton in automata(benchmark, window, block_words):
-        if waiting is not None:
-            df = df.mapInArrow(step(waiting, False), schema)
-        waiting = automaton
-    df = df.mapInArrow(step(waiting, True), schema)
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    files = store_automata(benchmark, window, block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # One block of items: parts of the batch may go one by one. Several: the batch passes each, so that each is loaded once.
+            step = 500 if len(files) < 2 else max(1, whole.num_rows)
+            for k in range(0, max(1, whole.num_rows), step):
+                batch = whole.slice(k, step)
+                texts = batch.column("text").to_pylist()
+                n_words = [0] * len(texts)
+                spans: list[list[list[int]]] = [[] for _ in texts]
+                items: list[set] = [set() for _ in texts]
+                for file in files or [None]:
+                    automaton = load_automaton(file) if file else SuffixAutomaton([], window)
+                    for at, (n, found, ids) in enumerate(match(automaton, [x or b"" for x in texts])):
+                        n_words[at] = n
+                        spans[at] += found
+                        items[at] |= ids
+                merged = [_joined(s) for s in spans]
+                if edit is not None:
+                    texts = [edit(t, n, s) if s else t for t, n, s in zip(texts, n_words, merged)]
+                named = [sorted(i - {None}) for i in items]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.binary()), pa.array(n_words, pa.int64()), pa.array(merged, span), pa.array(named, pa.list_(pa.int64()))], names=names)
+        release_memory()
+
+    df = docs.mapInArrow(run, f"{kinds}, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<bigint>")
     return df.select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], "n_words", "spans", "items", F.col("text").cast("string").alias("text"))
 
 
-def _cut(text: str, spans: list) -> str:
+def _joined(spans: list[list[int]]) -> list[dict[str, int]]:
+    """Spans that meet or overlap as one."""
+    out: list[dict[str, int]] = []
+    for a, b in sorted(spans):
+        if out and out[-1]["end"] >= a:
+            out[-1]["end"] = max(out[-1]["end"], b)
+        else:
+            out.append({"start": a, "end": b})
+    return out
+
+
+def _cut(text: bytes, spans: list) -> bytes:
     """text without the words of the spans; what stands between the words of one span goes with them."""
     places = [m.span() for m in _WORD.finditer(text)]
     out, at = [], 0
     for s in spans:
         out.append(text[at : places[s["start"]][0]])
         at = places[s["end"] - 1][1]
-    return "".join(out) + text[at:]
+    return b"".join(out) + text[at:]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE) -> DataFrame:
@@ -274,7 +319,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         if sum(s["end"] - s["start"] for s in spans) > max_coverage * words:
             return None
         wanted = [s for s in spans if s["end"] - s["start"] >= min_span]
-        return _cut(text.decode(), wanted).encode() if wanted else text
+        return _cut(text, wanted) if wanted else text
 
     found = find(docs, benchmark, keep, window, edit=edit).filter((F.size("spans") == 0) | F.col("text").isNotNull())
     changed = F.size("spans") > 0
