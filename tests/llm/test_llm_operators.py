@@ -1,6 +1,7 @@
 """Decontamination, chat formatting, packing, sharding, WARC, classifiers, and the pipeline's contract."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -58,25 +59,53 @@ def test_decontaminate_cuts_spans_and_drops_covered(spark):
     want = "A start, ! And an end of some words that stay as they are here, all of them."
     assert rows(got, "doc_id", "text", "n_chars") == [(1, want, len(want)), (3, "clean", 5), (4, None, None)]
     assert decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).count() == 4
+    assert decontaminate.decontaminate(docs.limit(0), docs.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+    raw = spark.sql(f"select 1L doc_id, concat(cast('{item} ' as binary), x'ff', cast(' and some more words here that stay for good, twelve of them' as binary)) text").select("doc_id", F.col("text").cast("string").alias("text"))
+    left = decontaminate.decontaminate(raw, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert bytes(left.select(F.col("text").cast("binary")).first()[0]).startswith(b" \xff and some")
 
 
 # --- chat formatting
 
 
-def test_chat_round_trip(spark):
+def chat_brute(data):
+    """Per conversation: turns sorted, and the formatted string with its loss spans (bytes), block by block."""
+    esc = lambda t: t.replace("\\", "\\0").replace("<", "\\1").replace("[", "\\2")
+    out = {}
+    for conv in {x[0] for x in data}:
+        own = sorted((x[1] is not None, x[1] or 0, x[2] or "", x[3] or "") for x in data if x[0] == conv)
+        text, spans = "<s>", []
+        for role, run in itertools.groupby(own, lambda t: t[2]):
+            first, more, end = {"user": ("[INST]", "[INST+]", "[/INST]"), "assistant": ("[OUT]", "[OUT+]", "</s>"), "system": ("[SYS]", "[SYS+]", "[/SYS]")}.get(role, (f"[ROLE]{esc(role)}[TEXT]", f"[ROLE+]{esc(role)}[TEXT]", "[/ROLE]"))
+            for k, (*_, said) in enumerate(run):
+                text += more if k else first
+                if role == "assistant":
+                    spans.append((len(text.encode()), len(esc(said).encode())))
+                text += esc(said)
+            text += end
+        out[conv] = ([t[2:] for t in own], text, spans)
+    return out
+
+
+@pytest.mark.parametrize("run", [256, 2])
+def test_chat_round_trip(spark, monkeypatch, run):
+    monkeypatch.setattr(chat, "RUN", run)
     data = [(1, 2, "assistant", "b[\\1]"), (1, 1, "user", "</s>[INST] x <s>"), (1, 3, "assistant", "\\0\\[/OUT]"), (2, 1, None, None), (2, 1, "tool [x]", "[TEXT]<"), (2, None, "system", "[SYS]"), (3, 1, "user", ""), (None, 1, "user", "é\n\n"), (3, 1, "user", "")]
+    data += [(4, k, ["user", "assistant", "assistant", "assistant", "tool"][k % 5], f"é{k}<") for k in range(23)] + [(5, k, "assistant", f"ж{k}") for k in range(9)]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("formatted", F.lit("x"))
     formatted = chat.format_conversations(df)
+    want = chat_brute(data)
     for r in chat.read_back(formatted).collect():
-        own = sorted(((x[1] is not None, x[1] or 0, x[2] or "", x[3] or "") for x in data if x[0] == r["conv_id"]))
-        assert [tuple(t[1:]) for t in r["turns"]] == [x[2:] for x in own]
-        assert "".join(s["piece"] for s in r["segments"]) == r["formatted"]
-        assert sum(s["loss"] for s in r["segments"]) == sum(x[2] == "assistant" for x in own)
-    one = chat.digests(formatted).filter("conv_id = 1").first()
-    assert one["loss_sha256"] == hashlib.sha256("b[\\1]\\0\\[/OUT]".encode()).hexdigest() and one["n_turns"] == 3
-    blocks = formatted.filter("conv_id = 1").first()["formatted"]
-    assert blocks.count("</s>") == 1 and blocks.count("[OUT+]") == 1
+        turns, text, spans = want[r["conv_id"]]
+        assert r["formatted"] == text and [(s["start"], s["size"]) for s in r["mask"]] == spans
+        assert [tuple(t[1:]) for t in r["turns"]] == turns
+    for r in chat.digests(formatted).collect():
+        turns, text, _ = want[r["conv_id"]]
+        loss = "".join(said for role, said in turns if role == "assistant")
+        assert (r["n_turns"], r["loss_chars"], r["formatted_chars"]) == (len(turns), len(loss), len(text))
+        assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+    assert "Python" not in chat.digests(formatted)._jdf.queryExecution().executedPlan().toString()
 
 
 # --- packing
@@ -106,33 +135,59 @@ def test_word_encoder_survives_an_emptied_cache(monkeypatch):
     assert e.encode(["five six one"])[0][: 4] == first[0][-4:]
 
 
-def test_assign_fills_sequences_exactly():
+def assigned(lengths, limit):
+    """The cheapest of all sequences with room, by looking at each; without one the cheapest with any room."""
+    pieces, rests, n = [], [], 0
+    for d, length in enumerate(lengths):
+        for start in range(0, length - limit + 1, limit):
+            pieces.append((n, 0, d, start, limit))
+            n += 1
+        if length % limit:
+            rests.append((length % limit, d, length - length % limit))
+    total = sum(r[0] for r in rests)
+    size = [limit] * (total // limit) + [total % limit] * (total % limit > 0)
+    room, costs = list(size), [0.0] * len(size)
+    for length, d, start in sorted(rests, key=lambda r: (-r[0], r[1])):
+        while length:
+            fits = [k for k in range(len(size)) if room[k] >= length] or [k for k in range(len(size)) if room[k]]
+            k = min(fits, key=lambda k: (costs[k], k))
+            take = min(length, room[k])
+            pieces.append((n + k, size[k] - room[k], d, start, take))
+            room[k], costs[k], length, start = room[k] - take, costs[k] + packing.cost(take), length - take, start + take
+    return sorted(pieces)
+
+
+def test_assign_takes_the_cheapest_sequence_with_room():
     rng = random.Random(0)
     for n in (0, 1, 5, 300):
-        lengths = [rng.choice([1, 2, 30, 400, 4095, 4096, 4097, 9000]) for _ in range(n)]
-        pieces = packing.assign(lengths)
-        filled, at = {}, {}
-        for s, offset, d, start, length in pieces:
-            assert offset == filled.get(s, 0) and length > 0
-            filled[s] = offset + length
-            at.setdefault(d, []).append((start, length))
-        for d, length in enumerate(lengths):
-            parts = sorted(at[d])
-            assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and sum(p[1] for p in parts) == length
-        assert all(x == 4096 or x & (x - 1) == 0 for x in filled.values())
-
-
-def test_packing_keeps_every_token(spark, monkeypatch):
+        for limit in (4096, 16, 7):
+            lengths = [rng.choice([1, 2, 30, 400, 4095, 4096, 4097, 9000]) % (limit * 3) + 1 for _ in range(n)]
+            pieces = packing.assign(lengths, limit)
+            assert pieces == assigned(lengths, limit)
+            filled = {}
+            for s, offset, *_, length in pieces:
+                assert offset == filled.get(s, 0) and length > 0
+                filled[s] = offset + length
+            assert sorted(filled.values(), reverse=True)[:-1] == [limit] * (len(filled) - 1 if filled else 0)
+
+
+@pytest.mark.parametrize("group", [4_000_000, 3000])
+def test_packing_keeps_every_token(spark, monkeypatch, group):
     from tokenizers import Tokenizer
 
-    docs = [(k, " ".join(["word"] * (k * 97 % 6000)) + " end") for k in range(20)] + [(50, None), (51, ""), (None, "x"), (3, "again")]
-    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").withColumn("ids", F.lit(1)).coalesce(2), tokenizer_path()).collect()
+    monkeypatch.setattr(packing, "GROUP_TOKENS", group)
+    docs = [(k, " ".join(["word"] * (k * 97 % 6000)) + " end") for k in range(20)] + [(50, None), (51, ""), (None, "x"), (3, "again"), (60, "y" * 5000), (61, "y" * 5000 + " z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("ids", F.lit(1)).coalesce(2)
+    df = df.unionByName(spark.sql("select 70L doc_id, cast(x'61ff62' as string) text, 1 ids"))
+    packed = packing.pack(df, tokenizer_path())
+    got = packed.collect()
     t = Tokenizer.from_file(tokenizer_path())
-    want = sorted((str(d), t.encode(x or "", add_special_tokens=False).ids + [2]) for d, x in docs)
+    want = sorted((str(d), t.encode(x or "", add_special_tokens=False).ids + [2]) for d, x in [*docs, (70, "a\ufffdb")])
     whole = {}
     for r in sorted(got, key=lambda r: r["start"]):
-        whole.setdefault((str(r["doc_id"]), r["doc_tokens"]), []).extend(np.frombuffer(r["ids"], "<u4").tolist())
-        assert r["length"] * 4 == len(r["ids"])
+        ids = whole.setdefault((str(r["doc_id"]), r["doc_tokens"]), [])
+        assert r["start"] == len(ids) and r["length"] * 4 == len(r["ids"])
+        ids.extend(np.frombuffer(r["ids"], "<u4").tolist())
     assert sorted((d, ids) for (d, _), ids in whole.items()) == want
     spans = {}
     for r in got:
@@ -140,6 +195,22 @@ def test_packing_keeps_every_token(spark, monkeypatch):
     for s in spans.values():
         s.sort()
         assert s[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(s, s[1:])) and sum(b for _, b in s) <= 4096
+    padded = [s for s in spans.values() if sum(b for _, b in s) < 4096]
+    assert len(padded) <= df.rdd.getNumPartitions()
+    # the digest, from the tokenizer's ids
+    plain = {d: ids for d, ids in want if d not in ("3",)}
+    for r in packing.digests(packed).collect():
+        if (ids := plain.get(str(r["doc_id"]))) is not None:
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+            assert (r["ids_crc32"], r["doc_tokens"], r["length"]) == (zlib.crc32(part), len(ids), len(part) // 4)
+    assert packing.pack(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_long_stretches_are_not_kept():
+    e = packing.WordEncoder(tokenizer_path())
+    first = e.encode(["x" * 3000 + " " + "é" * 100 + "!! short"])
+    assert max(map(len, e.words)) <= packing.CACHE_LENGTH and max(map(len, e.letters), default=0) <= packing.CACHE_LENGTH
+    assert e.encode(["x" * 3000 + " " + "é" * 100 + "!! short"]) == first
 
 
 def test_encoder_with_more_new_words_than_its_cache(monkeypatch):
@@ -177,6 +248,15 @@ def test_placement(spark):
     assert got.count() == 4 and "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_placement_by_a_column_that_is_replaced(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("a", 4)], "shard string, slot int")
+    got = {(r["shard"], r["slot"]) for r in sharding.place(df, F.col("shard"), ["x", "y"], 101).collect()}
+    slot = lambda k: int(hashlib.md5(k.encode()).hexdigest()[:15], 16) % 101
+    owners = sharding.lookup_table(["x", "y"], 101)
+    assert got == {("xy"[owners[slot(k)]], slot(k)) for k in ("a", "b", "")}
+    assert sharding.place(df.limit(0), F.col("slot"), ["x", "y"], 101).count() == 0
+
+
 # --- WARC
 
 
@@ -201,10 +281,31 @@ def test_warc_round_trip_over_any_split(spark, tmp_path):
 
 def test_reader_passes_over_false_and_broken_members(tmp_path):
     good = [warc.record(k, "http://e.org", b"p%d" % k, None) for k in range(3)]
-    data = good[0] + b"\x1f\x8b\x08junk" + good[1][:40] + b"...." + good[2]
+    data = good[0] + b"\x1f\x8b\x08junk" + good[1][:-9] + b"...." + good[2]
     (tmp_path / "f").write_bytes(data)
     with pa.OSFile(str(tmp_path / "f")) as source:
-        assert [r["page_id"] for _, r in warc.read_range(source, 0, len(data))] == [0, 2]
+        got = [r for _, r in warc.read_range(source, 0, len(data))]
+    assert [r.get("page_id") for r in got if r["record_type"] != "broken"] == [0, 2]
+    assert sum(r["record_type"] == "broken" for r in got) == 1
+
+
+def test_a_broken_archive_fails_the_round_trip(spark, tmp_path):
+    member = warc.record(1, "http://e.org", b"x" * 5000, None)
+    (tmp_path / "f.warc.gz").write_bytes(member[:-6])
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/f.warc.gz", len(member) - 6)], "file string, bytes long")
+    assert [r["record_type"] for r in warc.read_archives(spark, manifest).collect()] == ["broken"]
+
+
+def test_archives_are_read_in_parallel(spark, tmp_path):
+    rng = random.Random(3)
+    pages = [(k, f"http://e.org/{k}", "".join(rng.choice("abcdefgh") for _ in range(3000))) for k in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    manifest = warc.write_archives(df, f"file://{tmp_path}/a")
+    total = manifest.agg(F.sum("bytes")).first()[0]
+    got = warc.read_archives(spark, manifest, total // 20)
+    tasks = got.select(F.spark_partition_id().alias("p"), "page_id").groupBy("p").count().collect()
+    assert len(tasks) >= min(20, spark.sparkContext.defaultParallelism) - 1 and sum(r["count"] for r in tasks) == 300
+    assert warc.read_archives(spark, manifest, payloads=False).filter("payload is not null").count() == 0
 
 
 # --- classifiers
@@ -225,6 +326,7 @@ def test_quality_rules(spark):
     kept = quality.keep_good(d, y)
     assert kept.columns == d.columns and kept.filter("doc_id < 800").select("score").distinct().collect() == [(1,)] and kept.filter("doc_id < 800 and doc_id % 5 = 0").count() < 10
     assert {r["score"] for r in quality.classify(d, y.limit(0)).collect()} == {0.5}
+    assert len({r["score"] for r in quality.classify(d, y.filter("doc_id < 12")).collect()}) == 1
     assert quality.classify(d.limit(0), y).count() == 0
 
 
@@ -246,13 +348,114 @@ def test_toxicity_grammar(spark):
     assert toxicity.classify(d.limit(0), y).count() == 0 and toxicity.classify(d, y.limit(0)).count() == len(docs)
 
 
+MARKED = {
+    "a moron stood": {"insult": "plain"},
+    "you are a moron": {"insult": "targeted"},
+    "moron you": {"insult": "targeted"},
+    "he is not a moron": {"insult": "negated"},
+    "do not call him a moron you know": {"insult": "negated"},
+    "he is not here but you moron": {"insult": "targeted"},
+    "she said that he is a moron": {"insult": "reported"},
+    "she said moron you": {"insult": "reported"},
+    "He said: you are a moron": {"insult": "reported"},
+    '"You are a moron!" he said': {"insult": "reported"},
+    "“You moron”, she wrote": {"insult": "reported"},
+    "i will kill you": {"threat": "targeted"},
+    "i will not hurt you": {"threat": "negated"},
+    "they say i will kill you": {"threat": "reported"},
+    "they kill time": {"threat": "plain"},
+    "you moron, i will kill you": {"insult": "targeted", "threat": "targeted"},
+    "Du bist kein Idiot, sondern ein Moron": {"insult": "plain"},
+    "a fine day": {},
+}
+
+
 def test_grammar_marks_clauses():
-    lex = toxicity.Lexicon(toxicity.seed_words(), frozenset())
-    marks = lambda t: [i for i, v in enumerate(toxicity.features(t, lex)) if v and i not in (0, 7)]
-    assert marks("a moron stood") == [1] and marks("you are a moron") == [2]
-    assert marks("he is not a moron") == [3] and marks("she said that he is a moron") == [4]
-    assert marks("he is not here. a moron is") == [1]
-    assert marks("i will kill you") in ([5], [2], [2, 5], [2, 6]) and marks("they kill time") == [6] and marks("") == []
+    lex = toxicity.Lexicon(toxicity.seed_words() | {"idiot": 1}, {})
+    for text, want in MARKED.items():
+        clauses = toxicity.CLAUSE.findall(text.translate(toxicity._PLAIN).lower())
+        assert [toxicity.clause_marks(c, lex)[0] for c in clauses] == [want], text
+    score = lambda t: toxicity.Model(lex, toxicity.PRIOR.tolist()).score(t)
+    assert min(score("you are a moron"), score("i will kill you")) > 0.9
+    assert max(score(t) for t in ("he is not a moron", "She said moron you", "i will not hurt you", "He said: i will kill you", "")) < 0.1
+    two = toxicity.features("he is not here. a moron is", lex)
+    assert two[1] == 1 and sum(two[2:-1]) == 0
+
+
+def test_composed_table_does_what_the_machines_do():
+    rng = random.Random(4)
+    for _ in range(400):
+        classes = [rng.randrange(len(toxicity.CLASSES)) for _ in range(rng.randint(1, 14))]
+        states, state = [m.start for m in toxicity.MACHINES], 0
+        for c in classes:
+            symbol = (toxicity.CLASSES[c],)
+            for k, m in enumerate(toxicity.MACHINES):
+                states[k], symbol = m.step(states[k], symbol)
+            state, mark = toxicity.TABLE[state, c]
+            assert mark == symbol
+
+
+def test_threats_and_insults_are_learned(spark):
+    rng = random.Random(9)
+    plain = lambda: [f"w{''.join(rng.choice('aeiou') for _ in range(3))}" for _ in range(rng.randint(5, 40))]
+
+    def toxic(k):
+        w, at = plain(), 3
+        w[at:at] = ["i", "will", "zorgle", "you"] if k % 2 else ["plonkhead"]
+        return w
+
+    found = spark.createDataFrame([(" ".join(toxic(k // 4) if k % 4 == 0 else plain()), int(k % 4 == 0)) for k in range(400)], "text string, label int")
+    lexicon = toxicity.learn_lexicon(found)
+    assert toxicity.CLASSES[lexicon.of("zorgle")] == "threat" and toxicity.CLASSES[lexicon.of("plonkhead")] == "insult"
+
+
+def test_toxicity_of_awkward_rows(spark):
+    rows_ = [(1, None), (1, None), (2, ""), (3, "moron " * 200_000), (4, "x" * 300_000), (None, "you moron")]
+    d = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("label", F.lit(1))
+    d = d.unionByName(spark.sql("select 9L doc_id, cast(x'6d6f726f6eff' as string) text, 'x' score, 1 label"))
+    got = [(r["doc_id"], r["predicted"]) for r in toxicity.classify(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0), (1, 0), (2, 0), (3, 1), (4, 0), (None, 1), (9, 1)], key=str)
+
+
+def quality_brute(text):
+    """The statistics of quality.statistics() with Python's own string functions."""
+    import re
+
+    text = text or ""
+    words = text.count(" ") + text.count("\n") + 1
+    n = lambda p: len(re.findall(p, text, re.A)) / words
+    return {
+        "log_chars": np.log1p(len(text)),
+        "word_chars": (len(text) - words) / words,
+        "upper_words": n(r"[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ]+"),
+        "shouts": n(r"!+"),
+        "bars": text.count("|") / words,
+        "symbols": n(r"[#*$%&|@~^=+<>{}\\_]+"),
+        "digits": n(r"[0-9]+"),
+        "sentence_ends": n(r"[.?](?=\s|$)"),
+        "commas": text.count(",") / words,
+        "lines": text.count("\n") / words,
+        "repeats": n(r"(?<!\S)(\S++)(?=\s\1(?!\S))"),
+        "long_words": n(r"\S{20,}"),
+    }
+
+
+def test_quality_column_is_the_rules_by_hand(spark):
+    rng = random.Random(12)
+    make = lambda: " ".join(rng.choice(["alpha", "BETA", "a|b", "x!!", "é,", "12", "dup dup", "long" * 7, "end.\n", "#$%"]) for _ in range(rng.randint(0, 60)))
+    docs = [(k, make()) for k in range(300)] + [(900, None), (901, ""), (901, ""), (902, "word " * 60_000), (None, "x y"), (903, " ")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("log_chars", F.lit(1)).withColumn("score", F.lit(2))
+    y = spark.createDataFrame([(k, int((t or "").count("!") < 2), 0) for k, t in docs[:300]], "doc_id long, quality int, toxic int")
+    model = quality.train(d, y)
+    assert model.rules
+    got = sorted((str(r["doc_id"]), round(r["score"], 9)) for r in quality.classify(d, y).collect())
+    want = []
+    for i, t in docs:
+        stats = quality_brute(t)
+        x = np.array([[stats[n] for n in model.names]])
+        z = model.bias + sum(w for rule, w in zip(model.rules, model.weights) if rule.holds(x)[0])
+        want.append((str(i), round(1 / (1 + np.exp(-z)), 9)))
+    assert got == sorted(want)
 
 
 def test_distinct_texts(spark):
@@ -260,35 +463,3 @@ def test_distinct_texts(spark):
     docs = [(k, base + f" tail{k}", 1) for k in range(30)] + [(100, "something else here", 0)]
     found = spark.createDataFrame(docs, "doc_id long, text string, label int").select("text", "label", "doc_id")
     assert labels.distinct(found).count() <= 4
-
-
-# --- pipeline
-
-
-def test_stages_return_the_columns_of_documents(spark, tmp_path):
-    import corpus_pipeline
-
-    rng = random.Random(5)
-    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)) + "."
-    shared, item = text(), text()
-    docs = [(k, text(), "en", "s", 0) for k in range(30)]
-    docs += [(40, docs[0][1] + " more", "en", "s", 0), (41, docs[1][1], "en", "s", 0), (42, text() + "\n" + shared, "en", "s", 0), (43, shared + "\n" + text(), "en", "s", 0), (44, item, "en", "s", 0), (45, text() + " " + item + " " + text(), "en", "s", 0)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    columns = now.columns
-    seen = []
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
-        out = stage(spark, now, str(tmp_path))
-        assert out.columns == columns, name
-        out.write.parquet(f"{tmp_path}/stage{k}")
-        now = spark.read.parquet(f"{tmp_path}/stage{k}")
-        seen.append({r["doc_id"]: r["text"] for r in now.collect()})
-    assert set(seen[1]) == {d[0] for d in docs} - {40, 41}
-    assert seen[2][42].endswith(shared) and shared not in seen[2][43]
-    assert 44 not in seen[3] and item not in seen[3][45] and len(seen[3][45]) > 600
-    assert all(seen[3][d[0]] == d[1] for d in docs[:30])
-    pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
-    assert {r["doc_id"] for r in pieces.collect()} == set(seen[3])
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == pieces.count()
