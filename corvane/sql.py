@@ -6,6 +6,9 @@ from corvane.queries import BUDGET
 
 _PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]+(.*)$', 1)"
 
+_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]|\p{Cf}"
+_CODES = r"%[0-9a-fA-F]{2}|&(?:#|sol;|bsol;|frasl;|num;|percnt;|colon;|period;|hyphen;|minus;|lowbar;|commat;|tab;|newline;)|[\x{2010}\x{2011}\x{2212}\x{2044}\x{2215}\x{2216}\x{FB00}-\x{FB06}\x{FF01}-\x{FF5E}]"
+
 
 def _based(path: str) -> str:
     own = f"('/' || ltrim({path}, '/'))"
@@ -103,6 +106,16 @@ SQL = {
                regexp_matches(url, '(?i)(?:^|[^a-z0-9+.-])(?:data|file|javascript|vbscript)\s*:') AS dangerous,
                CASE WHEN regexp_matches(url, '(?i)^https?://') THEN lower(regexp_replace(regexp_extract(url, '^[^/]+://[^/?#]+'), '^(http)://([^:]*):80$|^(https)://([^:]*):443$', '\1\3://\2\4')) END AS origin
         FROM pages""",
+    # An address of another scheme than https says where a host is, as a network share does.
+    "safe_links": "SELECT page_id, CASE WHEN url LIKE 'https://%' THEN url END AS value, CASE WHEN url NOT LIKE 'https://%' THEN 'local path' END AS error FROM pages",
+    # Where a text holds neither codes nor look-alikes nor controls, it is its own canonical form.
+    "canonical_text": rf"""
+        SELECT doc_id, CASE WHEN NOT regexp_matches(text, '{_CONTROLS}') AND NOT regexp_matches(text, '{_CODES}') THEN sha256(text) END AS sha256,
+               CASE WHEN regexp_matches(text, '{_CONTROLS}') THEN 'control or format character' WHEN regexp_matches(text, '{_CODES}') THEN 'not judged here' END AS error FROM documents""",
+    "private_sentinel": rf"""
+        SELECT doc_id, CASE WHEN regexp_matches(text, '{_CONTROLS}') THEN 'control or format character' WHEN regexp_matches(text, '(?i)(?:^|[^a-z0-9._-])src1[/\\]+the(?:[^a-z0-9_-]|$)') THEN 'repository coordinate'
+          WHEN regexp_matches(text, '(?i)(?:^|[^a-z0-9_])(?:claim|object|media|source|interlude)-[a-z0-9-]') THEN 'internal identifier'
+          WHEN regexp_matches(regexp_replace(text, '(?i)https://[^\s]+', ' ', 'g'), '(?i)(?:^|[^a-z0-9._-])(?:drafts/|[a-z]:[/\\]|~/)|[/\\](?:users|home|private)/[^\s]|(?:^|[^a-z0-9._:-])//[^/\s]+/') THEN 'local path' END AS leak FROM documents""",
     "slug_check": r"""
         SELECT p_partkey, CASE WHEN length(p_partkey::VARCHAR) >= 4 THEN p_partkey::VARCHAR ELSE lpad(p_partkey::VARCHAR, 4, '0') END AS padded, '0' || p_partkey AS numbered,
                regexp_matches(lower(replace(p_brand, '#', '-')), '^[a-z0-9]+(?:-[a-z0-9]+)*$') AND NOT regexp_matches(lower(p_brand), '^(?:claim|object|media|source|interlude)#') AS neutral FROM part""",
