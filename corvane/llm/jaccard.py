@@ -59,7 +59,7 @@ from .hashing import Recent, mixed, shingle_sets
 
 BLOCK = 1 << 18
 #: Shingles of the candidates of a cell, on average.
-CELL = 1 << 17
+CELL = 1 << 15
 #: Least and most bits of the parity bitmap of a set; between them it has at least as many as the set has elements.
 PARITY = (1024, 1 << 20)
 #: Most shingles that count as very frequent, and the least texts they stand in.
@@ -343,6 +343,7 @@ def _led(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows (doc_id, f, n, component): f is the fingerprint of the row's set, component the smallest doc_id of all rows reachable by links."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     found = stored(profiles(docs, width), "jaccard-profiles")
     rows = found.filter(~F.col("hit")).drop("hit")
@@ -360,30 +361,32 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     posts = posts.join(F.broadcast(shared), "token", "left").withColumn("texts", F.when(F.col("hot"), F.col("all")).otherwise(F.col("texts"))).drop("all")
 
     # A class whose posted shingles stand in many others is central; it leads where they meet.
-    central = posts.groupBy("f").agg((F.sum("texts") * 1000 / F.first("n")).cast("long").alias("weight"))
-    weights = stored(posts.select("token", "f", "n", "hot", "deal").join(central, "f"), "jaccard-weighed")
+    central = (F.sum(F.col("texts") * 1000).over(Window.partitionBy("f")) / F.col("n")).cast("long")
+    weights = stored(posts.select("token", "f", "n", "hot", "deal", central.alias("weight")), "jaccard-weighed")
     weighed = _in_common(weights, leader=F.max(F.struct("weight", "f", "n"))).select("f", "n", F.col("leader.f").alias("leader"), F.col("leader.n").alias("leader_n"))
     near = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
     votes = weighed.filter((F.col("f") != F.col("leader")) & near).groupBy("f", "leader").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("f").agg(F.max(F.struct("votes", "leader")).alias("best")).select(F.col("best.leader").alias("q"), F.col("f").alias("m"))
     first = stored(_possible(chosen, classes, percent), "jaccard-first")
+    discard(spark, weights)
     edges = stored(verify(docs, first, width, percent), "jaccard-edges")
     joined = _led(edges)
 
     # Pairs without a common leader that meet at a shingle. The largest such group of a shingle's classes needs no pairs within.
     met = posts.select("token", "f", "n", "own", "hot", "deal").join(joined.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     rooted = stored(met, "jaccard-rooted")
+    discard(spark, posted_by)
     met = _in_common(rooted, low=F.min("root"), high=F.max("root")).filter("low <> high").drop("low", "high")
-    several = met = stored(met.withColumn("size", F.count("*").over(Window.partitionBy("token", "deal", "root"))), "jaccard-met")
-    groups = met.filter("hot").groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "root")).alias("most"))
-    met = met.withColumn("most", F.max(F.struct("size", "root")).over(by_token)).join(F.broadcast(groups.withColumnRenamed("most", "hot_most")), "token", "left")
-    met = met.withColumn("largest", F.when(F.col("hot"), F.col("hot_most.root")).otherwise(F.col("most.root")))
+    met = met.withColumn("size", F.count("*").over(Window.partitionBy("token", "deal", "root")))
+    several = stored(met.withColumn("most", F.max(F.struct("size", "root")).over(by_token)), "jaccard-met")
+    discard(spark, rooted)
+    groups = several.filter("hot").groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("hot_largest"))
     # Sizes that may link lie in one cell or in neighbouring ones.
-    met = met.withColumn("cell", F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
-    sides = met = stored(met.select("token", "f", "n", "own", "hot", "root", "largest", "cell"), "jaccard-sides")
-    a = met.filter("root <> largest").select("token", "cell", *[F.col(c).alias(f"a_{c}") for c in ("f", "n", "own", "hot", "root")])
+    cell = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    met = several.join(F.broadcast(groups), "token", "left").select("token", "f", "n", "own", "hot", "root", F.coalesce("hot_largest", "most.root").alias("largest"), cell.alias("cell"))
     near_by = F.explode(F.array(*[F.col("cell") + k for k in (-1, 0, 1)]))
-    b = met.select("token", near_by.alias("cell"), *[F.col(c).alias(f"b_{c}") for c in ("f", "n", "own", "root", "largest")])
+    a = met.filter("root <> largest").select("token", near_by.alias("cell"), *[F.col(c).alias(f"a_{c}") for c in ("f", "n", "own", "hot", "root")])
+    b = met.select("token", "cell", *[F.col(c).alias(f"b_{c}") for c in ("f", "n", "own", "root", "largest")])
     least = F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100.0 + percent))
     hot_reach = F.least(F.col("a_n") - F.col("a_own"), F.col("b_n") - F.col("b_own"))
     once = (F.col("b_root") == F.col("b_largest")) | (F.col("a_root") < F.col("b_root"))
@@ -392,8 +395,8 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rest = stored(_possible(pairs, classes, percent), "jaccard-rest")
     more = stored(verify(docs, rest, width, percent), "jaccard-edges")
     roots = components(edges.unionByName(more))
-    for done in (posted_by, weights, first, edges, rooted, several, sides, rest, more):
-        discard(docs.sparkSession, done)
+    for done in (first, edges, several, rest, more):
+        discard(spark, done)
 
     owned = classes.select("f", "doc_id").join(roots.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     least_id = owned.groupBy("root").agg(F.min("doc_id").alias("component"))
