@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, jaccard, packing, quality, repeats, sharding, toxicity, warc
+from . import ann, bpe, chat, decontaminate, jaccard, packing, quality, repeats, sharding, toxicity, warc
 from .common import table
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(BYTE_TOKENIZER)
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_toxicity_grammar, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_learned_partitions, op8_suffix_dedup, op9_sharding, op10_warc)
+    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_toxicity_grammar, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_learned_partitions, op8_suffix_dedup, op9_sharding, op10_warc, op11_pair_index_bpe)
 }
