@@ -110,8 +110,31 @@ FROM d JOIN bits USING (r)
 """
 
 
+OP12 = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, turn FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, md5(strlen(r)::VARCHAR || ':' || r || x)) AS l,
+         xor(list_reduce([4294967295::BIGINT] || flatten([[((ascii(s) >> k) & 1)::BIGINT for k in range(8)] for s in string_split(c::VARCHAR, '')]), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 9 AS h
+  FROM t GROUP BY c
+), q AS MATERIALIZED (
+  SELECT o.c, list_slice(coalesce(p.l, []), 1, o.h) || list_slice(o.l, o.h + 1, len(o.l)) AS l FROM own o LEFT JOIN own p ON p.c = o.c - o.c % 5
+), node AS MATERIALIZED (
+  SELECT d, list_slice(l, 1, d) AS k, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(l) = d), '')) AS ends
+  FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM q) GROUP BY ALL
+), kids AS (
+  SELECT d - 1 AS d, list_slice(k, 1, d - 1) AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL
+), sub AS (
+  SELECT a AS d, list_slice(k, 1, a) AS k, sum(leaf)::BIGINT AS leaves, sum((n - 1) * size)::BIGINT AS saved
+  FROM (SELECT node.k, node.n, (kids.n IS NULL)::INT AS leaf, coalesce(strlen(node.k[node.d].x), 0) AS size, unnest(range(0, node.d + 1)) AS a FROM node LEFT JOIN kids USING (d, k)) GROUP BY ALL
+)
+SELECT node.conv_id, node.d::BIGINT AS depth, p.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, leaves AS n_leaves, saved AS saved_tokens, node.ends AS ends_sha256
+FROM node LEFT JOIN kids USING (d, k) JOIN sub USING (d, k) LEFT JOIN node p ON p.d = node.d - 1 AND p.k = list_slice(node.k, 1, node.d - 1)
+"""
+
+
 def all_sql() -> dict[str, str]:
     from .queries import SHARDS
     from .sharding import TABLE_SIZE, lookup_table
 
-    return {"op1_decontamination": OP1, "op4_jaccard_join": OP4, "op5_chat_formatting": OP5, "op8_suffix_dedup": OP8, "op9_sharding": op9(SHARDS, lookup_table(SHARDS), TABLE_SIZE), "op10_warc": OP10}
+    return {"op1_decontamination": OP1, "op4_jaccard_join": OP4, "op5_chat_formatting": OP5, "op8_suffix_dedup": OP8, "op9_sharding": op9(SHARDS, lookup_table(SHARDS), TABLE_SIZE), "op10_warc": OP10, "op12_prefix_tree": OP12}
