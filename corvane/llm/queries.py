@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, jaccard, packing, prefix_tree, quality, repeats, sharding, toxicity, warc
+from . import ann, bpe, chat, decontaminate, jaccard, packing, prefix_tree, quality, repeats, sharding, toxicity, warc, whitening
 from .common import table
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -73,6 +73,10 @@ def op12_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tree.tree(prefix_tree.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_toxicity_grammar, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_learned_partitions, op8_suffix_dedup, op9_sharding, op10_warc, op11_pair_index_bpe, op12_prefix_tree)
+    f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_toxicity_grammar, op4_jaccard_join, op5_chat_formatting, op6_packing, op7_learned_partitions, op8_suffix_dedup, op9_sharding, op10_warc, op11_pair_index_bpe, op12_prefix_tree, op13_whitening)
 }
