@@ -1,8 +1,8 @@
 """Scan of a release tree by layers: what is run, what is generated, what is built.
 
-Files are listed on the driver (names and sizes only, within limits), read and
-scanned by Spark, one task per group of files, and the tree is listed again at
-the end: a change in between is a violation, not an error.
+Tasks list the tree and read and scan its files (sources.release_tree); it is listed again at
+the end: a change in between is a violation, not an error, and so are links, special
+files, and files beyond the limits.
 
 Edge cases: null contents are files without text; bytes that aren't UTF-8 are a violation
 for text files; files that repeat a path are judged one by one; empty trees have none.
@@ -19,7 +19,8 @@ from corvane.functions import canonical, digests
 from corvane.functions import text as T
 from corvane.functions.canonical import Denied
 from corvane.operators import checks, extract, snapshots
-from corvane.sources import tree
+from corvane.sources import release_tree, tree
+from corvane.sources.scratch import stored
 
 #: (prefix, layer) in order; the first that matches holds.
 LAYERS = [("src/content/", "content"), ("public/images/", "image"), ("dist/images/", "built-image"), ("dist/", "built"), ("src/", "runtime")]
@@ -29,17 +30,9 @@ TEXT = r"(?i)\.(?:html?|md|css|[cm]?[jt]sx?|json|xml|svg|txt|csv|webmanifest)$"
 
 
 def snapshot(spark: SparkSession, root: str | Path, layers: list[tuple[str, str]] = LAYERS) -> DataFrame:
-    """The tree's rows with their layer; nothing outside the layers."""
+    """The tree's rows with their layer, stored; nothing outside the layers."""
     listed = tree.tree(spark, root)
-    return listed.withColumn("layer", snapshots.layer_of(F.col("path"), layers)).filter("layer is not null")
-
-
-def contents(spark: SparkSession, root: str | Path) -> DataFrame:
-    """(path relative to root, content) of all files."""
-    base = Path(root).resolve().as_uri()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    cut = len(base.replace("file:///", "file:/")) + 1
-    return files.select(F.substr(F.regexp_replace("path", "^file:///", "file:/"), F.lit(cut + 1)).alias("path"), "content")
+    return stored(listed.withColumn("layer", snapshots.layer_of(F.col("path"), layers)).filter("layer is not null"), "layers")
 
 
 def scan(files: DataFrame, denied: Denied) -> DataFrame:
@@ -89,18 +82,19 @@ def file_leak(text: str, path: str, denied: Denied) -> str | None:
 
 
 def scan_tree(spark: SparkSession, root: str | Path, denied: Denied, layers: list[tuple[str, str]] = LAYERS) -> DataFrame:
-    """All violations of a tree: scans, built images that aren't the generated ones, and changes while it ran."""
+    """All violations of a tree: entries that aren't plain files, budgets, scans, built images that aren't the generated ones, and changes while it ran."""
     before = snapshot(spark, root, layers)
-    files = before.filter("kind = 'file'").select("path", "layer").join(contents(spark, root), "path")
+    files = release_tree.contents(before.filter("kind <> 'directory'"), root)
+    unread = release_tree.violations(files).unionByName(release_tree.violations(before.filter("kind = 'directory'")))
+    files = files.filter("problem is null").select("path", "layer", "content")
     name = lambda layer: files.filter(F.col("layer") == layer).select(F.element_at(F.split("path", "/"), -1).alias("name"), digests.sha256(F.col("content")).alias("content"))
     copies = snapshots.copies(name("built-image"), name("image"))
-    found = checks.all_of(scan(files, denied), copies.select(F.lit("layer.image").alias("check_id"), F.col("name").alias("record_id"), F.lit("content").alias("path"), F.col("problem").alias("message")))
-    rows = found.collect()  # violations of one release tree, whose files the limits bound
+    images = copies.select(F.lit("layer.image").alias("check_id"), F.col("name").alias("record_id"), F.lit("content").alias("path"), F.col("problem").alias("message"))
+    # Stored, so that the second listing comes after all reading.
+    found = stored(checks.all_of(scan(files, denied), images, unread, tree.budgets(before)), "scanned")
     after = snapshot(spark, root, layers)
-    values = [c for c in before.columns if c not in ("path", "layer")]
-    changed = snapshots.diff(before, after, ["path"], values)
-    moved = checks.rows_of(changed, "layer.changed", F.col("path"), "path", "changed while it was scanned")
-    return spark.createDataFrame(rows, found.schema).unionByName(moved)
+    changed = snapshots.diff(before, after, ["path"], ["kind", *release_tree.IDENTITY])
+    return found.unionByName(checks.rows_of(changed, "layer.changed", F.col("path"), "path", "changed while it was scanned"))
 
 
 def url_problem(url: Column, page: Column, denied: Denied) -> Column:

@@ -594,8 +594,7 @@ def collections_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlay = s.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("m"), key), F.create_map(F.lit("title"), F.upper("s_name")))))).alias("content")).select(F.lit("overlay/en.json").alias("path"), "content")
     folder = scratch.scratch_path(spark, "collections")
     scratch.make_folder(spark, folder)
-    written = sinks.write_files(checks.all_of(made("myths", "m", ".json", myth), made("sources", "s", ".json", source), made("entries", "e", ".md", entry), overlay), folder)
-    written.agg(F.sum("bytes")).collect()
+    sinks.write_files(checks.all_of(made("myths", "m", ".json", myth), made("sources", "s", ".json", source), made("entries", "e", ".md", entry), overlay), folder)
     row = lambda kind, df, value: df.select(F.lit(kind).alias("kind"), "id", value.alias("value"))
     found = collections.entries(spark, f"{folder}/entries", "id string")
     every = collections.raw_files(spark, folder).filter("path not like '%/overlay/%'")

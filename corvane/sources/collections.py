@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.paths import stem
 from corvane.operators.checks import unknown_keys
+from corvane.sources import release_tree, scratch
 
 #: Fixed schemas of the content collections; a strict one rejects keys it doesn't have.
 SCHEMAS = {
@@ -27,8 +28,18 @@ EVIDENCE = ("traditional", "laboratory", "clinical", "none")
 
 
 def raw_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, id, length, text) of whole files below a folder; the content column is pruned where it isn't used."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    """(path, id, length, text) of whole files below a folder; the content column is pruned where it isn't used.
+
+    A folder that is a committed release tree, or one directly below it, is read by its commit.
+    """
+    for root, under in ((folder, ""), (folder.rpartition("/")[0], folder.rpartition("/")[2] + "/")):
+        if root and scratch.exists(spark, f"{root}/{release_tree.COMMIT}"):
+            wanted = F.col("path").startswith(under) & F.col("path").like(pattern.replace("*", "%"))
+            found = release_tree.read(spark, root).filter(wanted).filter("kind = 'file'")
+            files = found.select(F.concat(F.lit(f"{root}/"), "path").alias("path"), F.col("size").alias("length"), "content")
+            break
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     return files.select("path", stem(F.col("path")).alias("id"), "length", "content", text.alias("text"))
 

@@ -34,6 +34,11 @@ def make_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
 
 
+def exists(spark: SparkSession, file: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it."""
     path = scratch_path(df.sparkSession, label)

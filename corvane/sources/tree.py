@@ -1,79 +1,38 @@
-"""Driver-side listing of local release trees, where identity matters: links, sizes, owners of names.
+"""Limits of a release tree, and what a listing of one breaks.
 
-Only names and metadata pass through the driver, up to a budget; bytes are read
-by Spark. It detects change between two listings; it can't rule out races.
+Edge cases: an empty listing breaks nothing; folders count as entries, not as files; sizes
+that a store doesn't know count as nothing.
 """
 
 from __future__ import annotations
 
-import os
-import stat
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.operators import checks
+from corvane.sources import release_tree
 
 #: Fixed limits of a release.
-MAX_FILE_BYTES = 64 * 1024 * 1024
+MAX_FILE_BYTES = release_tree.MAX_FILE_BYTES
 MAX_TOTAL_BYTES = 256 * 1024 * 1024
 MAX_FILES = 10_000
 MAX_EXTRA_ENTRIES = 16
-MAX_DEPTH = 64
-SCHEMA = "path string, kind string, dev long, ino long, mode long, nlink long, size long, mtime_ns long, ctime_ns long"
-
-
-class TreeError(ValueError):
-    """The tree isn't one of plain, single-linked files within the limits."""
-
-
-def list_tree(root: str | Path, max_files: int = MAX_FILES, max_bytes: int = MAX_TOTAL_BYTES) -> list[tuple]:
-    """Rows of SCHEMA, by UTF-16 order of relative paths."""
-    root, out, total, files = Path(root), [], 0, 0
-    todo = [(root, 0)]
-    while todo:
-        folder, deep = todo.pop()
-        if deep > MAX_DEPTH:
-            raise TreeError(f"too deep: {folder}")
-        with os.scandir(folder) as entries:
-            for e in entries:
-                s = e.stat(follow_symlinks=False)
-                kind = "directory" if stat.S_ISDIR(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "other"
-                if kind == "other":
-                    raise TreeError(f"not a plain file: {e.path}")
-                if kind == "directory":
-                    todo.append((Path(e.path), deep + 1))
-                else:
-                    files, total = files + 1, total + s.st_size
-                    if s.st_nlink != 1:
-                        raise TreeError(f"linked more than once: {e.path}")
-                    if s.st_size > MAX_FILE_BYTES or total > max_bytes or files > max_files:
-                        raise TreeError(f"beyond the limits: {e.path}")
-                out.append((Path(e.path).relative_to(root).as_posix(), kind, s.st_dev, s.st_ino, s.st_mode, s.st_nlink, s.st_size, s.st_mtime_ns, s.st_ctime_ns))
-                if len(out) > max_files + MAX_EXTRA_ENTRIES:
-                    raise TreeError("too many entries")
-    return sorted(out, key=lambda r: r[0].encode("utf-16-be", "surrogatepass"))
 
 
-def tree(spark: SparkSession, root: str | Path, **limits: int) -> DataFrame:
-    return spark.createDataFrame(list_tree(root, **limits), SCHEMA)
+def tree(spark: SparkSession, root: str | Path, **options: int) -> DataFrame:
+    """The metadata of all files and folders below a root; no file is opened."""
+    return release_tree.read(spark, root, content=False, **options)
 
 
-def read_stable(path: str | Path, limit: int = MAX_FILE_BYTES) -> bytes:
-    """The bytes of a plain, single-linked file that didn't change while it was read."""
-    before = os.lstat(path)
-    if not stat.S_ISREG(before.st_mode) or before.st_nlink != 1 or before.st_size > limit:
-        raise TreeError(f"not a plain file within {limit} bytes: {path}")
-    handle = os.open(path, os.O_RDONLY | getattr(os, "O_NOFOLLOW", 0))
-    try:
-        opened = os.fstat(handle)
-        parts, left = [], opened.st_size + 1
-        while left and (part := os.read(handle, left)):
-            parts.append(part)
-            left -= len(part)
-        after = os.fstat(handle)
-    finally:
-        os.close(handle)
-    data = b"".join(parts)
-    same = lambda a, b: all(getattr(a, k) == getattr(b, k) for k in ("st_dev", "st_ino", "st_mode", "st_nlink", "st_size", "st_mtime_ns", "st_ctime_ns"))
-    if len(data) != opened.st_size or not same(before, opened) or not same(opened, after):
-        raise TreeError(f"changed while it was read: {path}")
-    return data
+def budgets(listed: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_TOTAL_BYTES, max_extra: int = MAX_EXTRA_ENTRIES) -> DataFrame:
+    """Violations of the limits on a tree as a whole: its files, its bytes, and its entries of any kind."""
+    is_file = F.col("kind") == "file"
+    sums = listed.agg(F.count(F.when(is_file, 1)).alias("files"), F.coalesce(F.sum(F.when(is_file, F.col("size"))), F.lit(0)).alias("bytes"), F.count("*").alias("entries"))
+    rules = [
+        ("tree.files", "files", F.col("files") <= max_files, "too many files"),
+        ("tree.bytes", "bytes", F.col("bytes") <= max_bytes, "beyond the byte budget"),
+        ("tree.entries", "entries", F.col("entries") <= max_files + max_extra, "too many entries"),
+    ]
+    return checks.violations(sums, F.lit("tree"), rules)

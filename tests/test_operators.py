@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.canonical import Denied
 from corvane.operators import checks, extract, links, overlay, reports, snapshots
 from corvane.plans import release
-from corvane.sources import collections, tree
+from corvane.sources import collections
 from corvane.streaming import Latch
 
 
@@ -127,16 +127,6 @@ def test_collections(spark, tmp_path):
         collections.collection(spark, str(tmp_path), "sources").collect()
 
 
-def test_tree(spark, tmp_path):
-    (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "a.txt").write_text("x")
-    assert rows(tree.tree(spark, tmp_path), "path", "kind", "size")[1] == ("d/a.txt", "file", 1)
-    assert tree.read_stable(tmp_path / "d" / "a.txt") == b"x"
-    (tmp_path / "l").symlink_to(tmp_path / "d")
-    with pytest.raises(tree.TreeError):
-        tree.list_tree(tmp_path)
-
-
 def test_release_graph(spark):
     make = lambda data, schema: spark.createDataFrame(data, schema)
     t = {
