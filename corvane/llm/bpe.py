@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import release_memory
 
 #: Characters of text that a task takes at once, or of a long text; entries of the cache of stretches and the longest one it keeps.
-BLOCK, CACHE, CACHE_LENGTH = 1 << 23, 400_000, 48
+BLOCK, CACHE, CACHE_LENGTH = 1 << 22, 300_000, 48
 NONE = np.int32(2**31 - 1)
 #: White space and the pattern of byte-level pieces, as the tokenizer's kind defines them.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
