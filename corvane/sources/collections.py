@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.paths import stem
+from corvane.operators import checks, links
 from corvane.operators.checks import unknown_keys
 from corvane.sources import release_tree, scratch
+from corvane.sources.store import Published, Store
 
 #: Fixed schemas of the content collections; a strict one rejects keys it doesn't have.
 SCHEMAS = {
@@ -25,6 +27,10 @@ SCHEMAS = {
 STRICT = frozenset({"sources"})
 REGIONS, KINDS = ("asia", "west", "global"), ("paper", "museum", "book", "institution")
 EVIDENCE = ("traditional", "laboratory", "clinical", "none")
+#: Fixed: fields that a record may lack, arrays that must hold something, and fields with a list of values.
+OPTIONAL = frozenset({"publicationYear", "locator", "license", "image", "imageAlt"})
+FILLED = frozenset({"authors", "citations"})
+ALLOWED = {"region": REGIONS, "kind": KINDS, "evidence": EVIDENCE}
 
 
 def raw_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -61,10 +67,51 @@ def collection(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return records.select("id", "record.*")
 
 
-def register(spark: SparkSession, folder: str, names: tuple[str, ...] = tuple(SCHEMAS)) -> None:
-    """A temporary view for each collection."""
-    for name in names:
-        collection(spark, folder, name).createOrReplaceTempView(name)
+def record_rules(name: str) -> list:
+    """Rules of (id, raw, record) rows: strict JSON, known keys and types, required fields, allowed values."""
+    fields = [x.strip().split(" ")[0].strip("`") for x in SCHEMAS[name].split(",")]
+    has = lambda f: F.get_json_object("raw", f"$.{f}").isNotNull()
+    value = lambda f: F.col(f"record.`{f}`")
+    out = [(f"{name}.json", "content", F.coalesce(F.col("raw").isNotNull() & checks.json_problem(F.col("raw")).isNull(), F.lit(False)), "not strict JSON")]
+    if name in STRICT:
+        out.append((f"{name}.keys", "content", F.size(unknown_keys(F.col("raw"), fields)) == 0, "unknown keys"))
+    for f in fields:
+        out.append((f"{name}.type.{f}", f, value(f).isNotNull() | ~has(f), "another type"))
+        if f not in OPTIONAL:
+            out.append((f"{name}.required.{f}", f, has(f), "missing"))
+        if f in ALLOWED:
+            out.append((f"{name}.allowed.{f}", f, value(f).isNull() | value(f).isin(*ALLOWED[f]), "not an allowed value"))
+        if f in FILLED:
+            out.append((f"{name}.filled.{f}", f, value(f).isNull() | (F.size(value(f)) > 0), "empty"))
+    if "publicationYear" in fields:
+        present = F.array_contains(F.coalesce(F.json_object_keys("raw"), F.array().cast("array<string>")), "publicationYear")
+        out.append((f"{name}.year", "publicationYear", present & F.coalesce(value("publicationYear").between(1, 2100), F.lit(True)), "missing or out of range"))
+    if "accessed" in fields:
+        out.append((f"{name}.accessed", "accessed", value("accessed").isNull() | value("accessed").rlike(r"^\d{4}-\d{2}-\d{2}$"), "not a date"))
+    return out
+
+
+def register(spark: SparkSession, folder: str, store: Store, names: tuple[str, ...] = tuple(SCHEMAS), expected: dict[str, int] | None = None) -> dict[str, Published]:
+    """Publish each collection in a store, with a temporary view of its name; a broken one is refused and the name keeps what it had.
+
+    References of a collection must stand among the sources that are published, so sources come first. expected gives
+    the declared numbers of records.
+    """
+    out = {}
+    for name in sorted(names, key=lambda n: n != "sources"):
+        records = json_records(spark, f"{folder}/{name}", SCHEMAS[name])
+        cites = "citations array<string>" in SCHEMAS[name]
+
+        def references(written: DataFrame, name: str = name) -> DataFrame:
+            known = store.table("sources")
+            known = written.select("id").limit(0) if known is None else known.select("id")
+            edges = links.edges(written.select("id", F.col("record.citations").alias("citations")), "id", "citations")
+            return checks.rows_of(links.missing(edges, "reference", known, "id"), f"{name}.citations", F.col("id"), "citations", "no such source")
+
+        out[name] = store.publish(name, records, "id", record_rules(name), (expected or {}).get(name), references if cites else None)
+        if out[name].accepted:
+            store.table(name).select("id", "record.*").createOrReplaceTempView(name)
+    return out
 
 
 def entries(spark: SparkSession, folder: str, schema: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Folders that driver and executors share."""
+"""Folders that driver and executors share, and small files in them.
+
+Edge cases: a cluster without a shared folder is an error; a table without rows is stored as one;
+deleting what isn't there does nothing.
+"""
 
 from __future__ import annotations
 
@@ -29,14 +33,53 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, place: str) -> tuple:
+    """The store that holds a path, and the path, as the JVM has them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def make_folder(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    fs, path = _file_system(spark, folder)
+    fs.mkdirs(path)
+
+
+def exists(spark: SparkSession, place: str) -> bool:
+    fs, path = _file_system(spark, place)
+    return fs.exists(path)
+
+
+def delete(spark: SparkSession, place: str) -> None:
+    fs, path = _file_system(spark, place)
+    fs.delete(path, True)
+
+
+def read_text(spark: SparkSession, file: str) -> str | None:
+    """The text of a small file, or None where there is none."""
+    fs, path = _file_system(spark, file)
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
-def exists(spark: SparkSession, file: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+def replace_text(spark: SparkSession, file: str, text: str) -> None:
+    """Write a small file as a whole and put it in place of the one that may be there, in one step."""
+    jvm, held = spark.sparkContext._jvm, f"{file}.{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, held)
+    stream = fs.create(path, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    target = jvm.org.apache.hadoop.fs.Path(file)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(path, target, overwrite)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

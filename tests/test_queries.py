@@ -5,11 +5,12 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from corvane import queries, release_queries, sql, vectors
+from corvane import queries, release_queries, sql, tree_queries, vectors
 
 FOLDER = "/root/testdata/sf0.001"
-KNOWN = queries.QUERIES | vectors.QUERIES | release_queries.QUERIES
-SQL = sql.SQL | vectors.SQL | release_queries.SQL
+PARTS = (queries.QUERIES, vectors.QUERIES, release_queries.QUERIES, tree_queries.QUERIES)
+KNOWN = {k: v for part in PARTS for k, v in part.items()}
+SQL = sql.SQL | vectors.SQL | release_queries.SQL | tree_queries.SQL
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,7 @@ def duck():
 
 
 def test_names_are_registered_once():
-    assert len(KNOWN) == len(queries.QUERIES) + len(vectors.QUERIES) + len(release_queries.QUERIES)
+    assert len(KNOWN) == sum(map(len, PARTS))
     assert set(KNOWN) <= set(entry.queries()) and set(SQL) <= set(KNOWN)
 
 
