@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import json_values
+
 COLUMNS = ("check_id", "record_id", "path", "message")
 
 
@@ -57,9 +59,8 @@ def unknown_keys(json: Column, known: list[str]) -> Column:
 
 
 def json_problem(json: Column) -> Column:
-    """null for strict JSON, else `syntax` or `repeated key`."""
-    lenient = F.from_json(json, "struct<__x:int>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__c"})
-    return F.when(F.try_parse_json(json).isNotNull(), None).when(F.json_object_keys(json).isNotNull() & lenient.isNotNull(), "repeated key").otherwise("syntax")
+    """null for strict JSON, else `syntax` or `repeated key`; a null text is broken."""
+    return F.when(json.isNull(), "syntax").otherwise(json_values.problem(json))
 
 
 def truncated(records: DataFrame, limit: int) -> DataFrame:
