@@ -1,4 +1,4 @@
-"""Registered queries of release trees, captured scopes, sitemaps and the validated store, with their SQL."""
+"""Registered queries of release trees, captured scopes, sitemaps, the validated store, and of JSON and canonical forms, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import checks, reports
+from corvane.operators import checks, json_values, reports, stretches
 from corvane.plans import capture
 from corvane.queries import load
 from corvane.sources import collections, release_tree, scratch, sinks
 from corvane.sources.store import Store
+from corvane.sql import SQL as SQL_OF
+from corvane.vectors import DENIED
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -167,3 +169,58 @@ def registered_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     syntax = lambda df: df.filter(~(F.col("check_id").startswith("sources.") & (F.col("record_id").substr(2, 20).cast("long") % 4 == 0)) | (F.col("check_id") == "sources.json"))
     told = [syntax(r.violations).select(F.lit("refused").alias("step"), F.col("check_id").alias("name"), F.col("record_id").alias("record"), F.col("message").alias("value")) for r in refused.values()]
     return checks.all_of(*before, *told, shown("kept", "sources"))
+
+
+# --- JSON and canonical forms
+
+_EVENT = """CASE WHEN event_id % 13 = 0 THEN props || ' 1' WHEN event_id % 17 = 0 THEN '[' || props || ',{"a":1,"a":2}]' WHEN event_id % 10 = 0 THEN '{"type":"' || event_type || '","notes":["acme/vault","' || user_id || '"]}' WHEN event_id % 10 = 1 THEN '{"drafts\\/x":' || props || '}' ELSE props END"""
+_SAID = "coalesce(text, '')"
+_PARTS = "len(string_split({0}, '.'))"
+
+
+@query(
+    f"""WITH t AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'syntax' WHEN event_id % 17 = 0 THEN 'repeated key' END AS problem, event_id % 10 AS k FROM events)
+    SELECT 'e' || event_id AS id, problem, CASE WHEN problem IS NULL THEN CASE k WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 2 END END::BIGINT AS nodes, CASE WHEN problem IS NULL THEN CASE k WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 1 END END::BIGINT AS keys,
+      CASE WHEN problem IS NULL THEN CASE k WHEN 0 THEN 3 ELSE 0 END END::BIGINT AS strings, CASE WHEN problem IS NULL THEN CASE k WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 1 END END::BIGINT AS depth FROM t
+    UNION ALL SELECT 'c' || conv_id || '-' || turn, NULL, {_PARTS.format(_SAID)} + 3, 2, {_PARTS.format(_SAID)} + 1, 2 FROM conversations"""
+)
+def json_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, strings, nodes and depth of JSON texts: properties of events, some broken, and turns with their sentences."""
+    events = load(spark, sf_dir, "events").selectExpr("'e' || event_id AS id", f"{_event()} AS j")
+    said = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.split(F.coalesce("text", F.lit("")), r"\.").alias("parts"))
+    turns = load(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), F.to_json(said).alias("j"))
+    return json_values.summary(events.unionByName(turns), "id", "j")
+
+
+def _event() -> str:
+    return _EVENT.replace("\\/", "\\\\/")
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'not JSON' WHEN event_id % 17 = 0 THEN 'repeated key' WHEN event_id % 10 = 0 THEN 'repository coordinate' ELSE 'local path' END AS leak
+    FROM events WHERE event_id % 13 = 0 OR event_id % 17 = 0 OR event_id % 10 IN (0, 1)"""
+)
+def json_text_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks in the keys and strings of events' properties, each different text judged once."""
+    events = load(spark, sf_dir, "events").selectExpr("event_id", f"{_event()} AS j")
+    return json_values.leaks(events, "event_id", "j", DENIED)
+
+
+_HIDDEN = "CASE page_id % 5 WHEN 0 THEN 'acme%2Fvault' WHEN 1 THEN 'caf%C3%A9' WHEN 2 THEN '%ff' WHEN 3 THEN '&#x41;&#66;' ELSE 'plain' END"
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN page_id % 5 <> 2 THEN sha256(replace(replace(replace(replace(url, '%20', ' '), '%2F', '/'), '%3D', '='), '&lt;', '<') || ' ' || CASE page_id % 5 WHEN 0 THEN 'acme/vault' WHEN 1 THEN 'café' WHEN 3 THEN 'AB' ELSE 'plain' END) END AS digest,
+      CASE WHEN page_id % 5 = 2 THEN 'percent encoding isn''t UTF-8: %ff' END AS error FROM pages"""
+)
+def canonical_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical forms of pages' addresses with encoded parts: each different suspicious stretch is decoded once."""
+    given = load(spark, sf_dir, "pages").selectExpr("page_id", f"url || ' ' || {_HIDDEN} AS text")
+    return stretches.canonical_texts(given, "page_id", "text").select("page_id", F.sha2(F.col("value").cast("binary"), 256).alias("digest"), "error")
+
+
+@query("SELECT doc_id, digest, error FROM (" + SQL_OF["canonical_text"].replace("AS sha256", "AS digest") + ")")
+def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """canonical_text over whole documents, by stretches."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return stretches.canonical_texts(docs, "doc_id", "text").select("doc_id", F.sha2(F.col("value").cast("binary"), 256).alias("digest"), "error")
