@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators import json_values
+from corvane.operators import json_values, scans
 
 COLUMNS = ("check_id", "record_id", "path", "message")
 
@@ -41,16 +41,14 @@ def fail_first(checks: DataFrame, position: Column) -> DataFrame:
 
 
 def out_of_order(records: DataFrame, partition: list[str], position: Column, value: Column, strict: bool = True) -> DataFrame:
-    """Records whose value doesn't follow the one before it."""
-    before = F.lag(value).over(Window.partitionBy(*partition).orderBy(position))
-    marked = records.withColumn("previous", before)
+    """Records whose value doesn't follow the one before it; keys may be of any size (scans.scan)."""
+    marked = scans.scan(records, partition, [position], previous={"previous": value})
     return marked.filter(F.col("previous") >= value if strict else F.col("previous") > value)
 
 
 def over_budget(records: DataFrame, partition: list[str], position: Column, size: Column, budget: int) -> DataFrame:
-    """Records with their running total, from the one that exceeds the budget on."""
-    w = Window.partitionBy(*partition).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("running", F.sum(size).over(w)).filter(F.col("running") > budget)
+    """Records with their running total, from the one that exceeds the budget on; keys may be of any size (scans.scan)."""
+    return scans.scan(records, partition, [position], totals={"running": size}).filter(F.col("running") > budget)
 
 
 def unknown_keys(json: Column, known: list[str]) -> Column:

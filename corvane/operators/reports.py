@@ -1,11 +1,10 @@
 """Ordered reports over records: groups by a fixed list of keys, orders, pivots, cross tables.
 
 Edge cases: null keys belong to no group of a list; ties of an order are placed in any
-order, so give a total one; of several values for one cell of attributes() the smallest
+order (by numbered(): of a hash of their columns), so give a total one; of several values for one cell of attributes() the smallest
 holds; null fields have no row in layers(); empty tables give no rows (citation() of
 nulls leaves them out); columns whose names start with two underscores are reserved.
-numbered() without a partition is for tables of a report's size; positioned() numbers
-tables of any size.
+numbered() and positioned() are for tables and keys of any size.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators import scans
 from corvane.sources.scratch import stored
 
 
@@ -72,9 +72,8 @@ def citation(authors: Column, title: Column, year: Column, locator: Column) -> C
 
 
 def numbered(records: DataFrame, *order: Column, partition: list[str] | None = None) -> DataFrame:
-    """With position (from 1) and its literal-zero label."""
-    w = Window.partitionBy(*(partition or [F.lit(1)])).orderBy(*order)
-    return records.withColumn("position", F.row_number().over(w)).withColumn("label", T.numbered(F.col("position")))
+    """With position (from 1) and its literal-zero label; keys may be of any size (scans.scan)."""
+    return scans.scan(records, partition or [], list(order), number="position").withColumn("label", T.numbered(F.col("position")))
 
 
 def attributes(records: DataFrame, key: str, fields: list[str], ids: list[object]) -> DataFrame:
