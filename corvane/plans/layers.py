@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corvane.functions import canonical, digests
 from corvane.functions import text as T
 from corvane.functions.canonical import Denied
-from corvane.operators import checks, extract, snapshots
+from corvane.operators import checks, digest_tree, extract, snapshots
 from corvane.sources import release_tree, tree
 from corvane.sources.scratch import stored
 
@@ -93,7 +93,8 @@ def scan_tree(spark: SparkSession, root: str | Path, denied: Denied, layers: lis
     # Stored, so that the second listing comes after all reading.
     found = stored(checks.all_of(scan(files, denied), images, unread, tree.budgets(before)), "scanned")
     after = snapshot(spark, root, layers)
-    changed = snapshots.diff(before, after, ["path"], ["kind", *release_tree.IDENTITY])
+    compared = ["kind", *release_tree.IDENTITY]
+    changed = digest_tree.diff(digest_tree.take(before, "path", compared, "before"), digest_tree.take(after, "path", compared, "after"))
     return found.unionByName(checks.rows_of(changed, "layer.changed", F.col("path"), "path", "changed while it was scanned"))
 
 
