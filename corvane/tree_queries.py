@@ -83,17 +83,17 @@ _HEADS = {k: v.replace("'", "''") for k, v in sinks.HEADS.items()}
 @query(
     f"""WITH e AS (
       SELECT route, locale, '<url><loc>https://example.org' || pre || route || '</loc><xhtml:link rel="alternate" hreflang="ru" href="https://example.org' || route || '"/><xhtml:link rel="alternate" hreflang="en" href="https://example.org/en' || route || '"/></url>' AS entry
-      FROM (SELECT DISTINCT '/page/' || page_id || '/' AS route FROM pages), (SELECT unnest(['ru', 'en']) AS locale, unnest(['', '/en']) AS pre)
+      FROM (SELECT '/page/' || page_id || '/' AS route FROM pages), (SELECT unnest(['ru', 'en']) AS locale, unnest(['', '/en']) AS pre)
     ), p AS (SELECT entry, row_number() OVER (ORDER BY route COLLATE C, locale) - 1 AS pos, count(*) OVER () AS n FROM e
     ), f AS (SELECT pos // {SITEMAP_LIMIT} AS k, n > {SITEMAP_LIMIT} AS many, '{_HEADS["urlset"]}' || string_agg(entry, '' ORDER BY pos) || '</urlset>' AS content FROM p GROUP BY ALL
-    ), t AS (SELECT DISTINCT 'page/' || page_id || '/index.html' AS path, coalesce(html, '') AS content FROM pages
+    ), t AS (SELECT 'page/' || page_id || '/index.html' AS path, coalesce(html, '') AS content FROM pages
       UNION ALL SELECT CASE WHEN many THEN 'sitemap-' || (k + 1) || '.xml' ELSE 'sitemap.xml' END, content FROM f
       UNION ALL SELECT 'sitemap.xml', '{_HEADS["sitemapindex"]}' || string_agg('<sitemap><loc>https://example.org/sitemap-' || (k + 1) || '.xml</loc></sitemap>', '' ORDER BY k) || '</sitemapindex>' FROM f HAVING count(*) > 1 AND count(*) <= {SITEMAP_LIMIT})
     SELECT path, strlen(content)::BIGINT AS bytes, sha256(content) AS digest FROM t"""
 )
 def site_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and their sitemaps, split with an index, written as one committed release; what a reader then sees."""
-    pages = load(spark, sf_dir, "pages").dropDuplicates(["page_id"])
+    pages = load(spark, sf_dir, "pages").select("page_id", "html")
     routes = pages.select(F.concat(F.lit("/page/"), F.col("page_id").cast("string"), F.lit("/")).alias("route"))
     limit = SITEMAP_LIMIT
     maps = sinks.sitemap_files(reports.sitemap(routes, "https://example.org", ("ru", "en")), "https://example.org", limit)
