@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import checks, json_values, reports, stretches
+from corvane.operators import checks, digest_tree, json_values, reports, stretches
 from corvane.plans import capture
 from corvane.queries import load
 from corvane.sources import collections, release_tree, scratch, sinks
@@ -140,22 +140,22 @@ def validated_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'good' AS step, 'sources' AS name, 's' || s_suppkey AS record, s_name AS value FROM supplier
-    UNION ALL SELECT 'good', 'myths', 'm' || s_suppkey, s_name FROM supplier
-    UNION ALL SELECT 'refused', 'sources.json', 's' || s_suppkey, 'not strict JSON' FROM supplier WHERE s_suppkey % 4 = 0
-    UNION ALL SELECT 'refused', 'sources.keys', 's' || s_suppkey, 'unknown keys' FROM supplier WHERE s_suppkey % 4 = 1
-    UNION ALL SELECT 'refused', 'sources.allowed.kind', 's' || s_suppkey, 'not an allowed value' FROM supplier WHERE s_suppkey % 4 = 2
-    UNION ALL SELECT 'refused', 'myths.citations', 'm' || s_suppkey, 'no such source' FROM supplier
-    UNION ALL SELECT 'kept', 'sources', 's' || s_suppkey, s_name FROM supplier"""
+    """SELECT 'good' AS step, 'sources' AS name, 's' || page_id AS record, url AS value FROM pages
+    UNION ALL SELECT 'good', 'myths', 'm' || page_id, url FROM pages
+    UNION ALL SELECT 'refused', 'sources.json', 's' || page_id, 'not strict JSON' FROM pages WHERE page_id % 4 = 0
+    UNION ALL SELECT 'refused', 'sources.keys', 's' || page_id, 'unknown keys' FROM pages WHERE page_id % 4 = 1
+    UNION ALL SELECT 'refused', 'sources.allowed.kind', 's' || page_id, 'not an allowed value' FROM pages WHERE page_id % 4 = 2
+    UNION ALL SELECT 'refused', 'myths.citations', 'm' || page_id, 'no such source' FROM pages
+    UNION ALL SELECT 'kept', 'sources', 's' || page_id, url FROM pages"""
 )
 def registered_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collections of files behind names: a good tree is registered, a broken one is refused record by record and changes nothing."""
-    s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    key = F.col("s_suppkey").cast("string")
-    fields = {"title": F.col("s_name"), "authors": F.array("s_name"), "publicationYear": F.lit(None).cast("int"), "publisher": F.lit("p"), "url": F.lit("https://example.org/"), "region": F.lit("asia"), "kind": F.lit("book"), "accessed": F.lit("2024-01-31")}
+    s = load(spark, sf_dir, "pages").select("page_id", "url")
+    key = F.col("page_id").cast("string")
+    fields = {"title": F.col("url"), "authors": F.array("url"), "publicationYear": F.lit(None).cast("int"), "publisher": F.lit("p"), "url": F.lit("https://example.org/"), "region": F.lit("asia"), "kind": F.lit("book"), "accessed": F.lit("2024-01-31")}
     as_json = lambda **other: F.to_json(F.struct(*[v.alias(k) for k, v in (fields | other).items()]), {"ignoreNullFields": "false"})
-    myth = lambda cited: F.to_json(F.struct(F.col("s_name").alias("title"), *[F.lit("x").alias(f) for f in ("culture", "legend", "context", "confirmed")], F.array(cited).alias("citations")))
-    bad = F.when(F.col("s_suppkey") % 4 == 0, F.lit('{"title":1,"title":2}')).when(F.col("s_suppkey") % 4 == 1, as_json(more=F.lit(1))).when(F.col("s_suppkey") % 4 == 2, as_json(kind=F.lit("poster"))).otherwise(as_json())
+    myth = lambda cited: F.to_json(F.struct(F.col("url").alias("title"), *[F.lit("x").alias(f) for f in ("culture", "legend", "context", "confirmed")], F.array(cited).alias("citations")))
+    bad = F.when(F.col("page_id") % 4 == 0, F.lit('{"title":1,"title":2}')).when(F.col("page_id") % 4 == 1, as_json(more=F.lit(1))).when(F.col("page_id") % 4 == 2, as_json(kind=F.lit("poster"))).otherwise(as_json())
     made = lambda folder, prefix, content: s.select(F.concat(F.lit(f"{folder}/{prefix}"), key, F.lit(".json")).alias("path"), content.alias("content"))
     good, other = _new_tree(spark, "good"), _new_tree(spark, "other")
     release_tree.write(made("sources", "s", as_json()).unionByName(made("myths", "m", myth(F.concat(F.lit("s"), key)))), good)
@@ -224,3 +224,19 @@ def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """canonical_text over whole documents, by stretches."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return stretches.canonical_texts(docs, "doc_id", "text").select("doc_id", F.sha2(F.col("value").cast("binary"), 256).alias("digest"), "error")
+
+
+_FILE = "coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' || doc_id % 50 || '/' || doc_id || '.txt'"
+
+
+@query(
+    f"""SELECT {_FILE} AS path, CASE WHEN doc_id % 97 = 0 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 97 = 0 OR doc_id % 89 = 0
+    UNION ALL SELECT 'new/' || doc_id, 'added' FROM documents WHERE doc_id % 101 = 0"""
+)
+def snapshot_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two listings of documents as files, compared by their trees of digests."""
+    rows = load(spark, sf_dir, "documents").selectExpr(f"{_FILE} AS path", "doc_id", "n_chars AS size", "source")
+    after = rows.filter("doc_id % 97 <> 0").withColumn("size", F.when(F.col("doc_id") % 89 == 0, -1).otherwise(F.col("size")))
+    after = after.unionByName(rows.filter("doc_id % 101 = 0").withColumn("path", F.concat(F.lit("new/"), F.col("doc_id").cast("string"))))
+    values = ["size", "source"]
+    return digest_tree.diff(digest_tree.take(rows, "path", values, "before"), digest_tree.take(after, "path", values, "after"))
