@@ -14,8 +14,9 @@ operations.
 
 The items are dealt into blocks of about `block_words` words. Tasks build an
 automaton for each block and write it to the shared folder; the documents pass all
-blocks within one map, which loads them in turn, so neither the driver nor the plan
-nor a task holds the benchmark as a whole.
+blocks within one map, which loads them in turn and takes its texts in slices of bounded
+size, so neither the driver nor the plan nor a task holds the benchmark or the words of a
+batch as a whole.
 
 Edge cases: null or wordless texts have no words and no hits; wordless items
 match nothing; equal items are all reported; repeated rows are judged one by
@@ -33,10 +34,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import make_folder, release_memory, scratch_path
+from .common import blocks, byte_column, make_folder, release_memory, scratch_path
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -44,6 +46,8 @@ BLOCK_WORDS = 100_000
 MAX_COVERAGE = 0.5
 #: decontaminate(): hit spans of at least so many words are removed.
 MIN_SPAN = 1
+#: Bytes of texts whose words a task holds at once (one text at least).
+SLICE_BYTES = 2 << 20
 _DELIMITERS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _NORMAL = bytes(range(256)).translate(bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256)))
 _NORMAL = bytes(0x20 if c in _DELIMITERS else c for c in _NORMAL)
@@ -208,18 +212,19 @@ def store_automata(benchmark: DataFrame, window: int, block_words: int) -> list[
     items = benchmark.select("item_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     # About five bytes a word; how even the blocks are has no influence on the result.
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (5 * block_words)))
+    parts = max(1, -(-size // (5 * block_words)))
     folder = scratch_path(spark, "automata")
     make_folder(spark, folder)
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
 
         def write(block: int, held: list) -> pa.RecordBatch:
-            with fs.open_output_stream(f"{root}/{block:06d}", compression=None) as out:
+            name = f"{block:06d}-{TaskContext.get().taskAttemptId()}"  # attempts of one task don't share a file
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(pickle.dumps(SuffixAutomaton(sorted(held, key=lambda x: (x[0] is not None, x[0] or 0, x[1])), window)))
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{block:06d}"])], names=["file"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["file"])
 
         now, held = None, []
         for batch in batches:
@@ -265,25 +270,28 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            # One block of items: parts of the batch may go one by one. Several: the batch passes each, so that each is loaded once.
-            step = 500 if len(files) < 2 else max(1, whole.num_rows)
-            for k in range(0, max(1, whole.num_rows), step):
-                batch = whole.slice(k, step)
-                texts = batch.column("text").to_pylist()
-                n_words = [0] * len(texts)
-                spans: list[list[list[int]]] = [[] for _ in texts]
-                items: list[set] = [set() for _ in texts]
-                for file in files or [None]:
-                    automaton = load_automaton(file) if file else SuffixAutomaton([], window)
-                    for at, (n, found, ids) in enumerate(match(automaton, [x or b"" for x in texts])):
+            # Each automaton is loaded once a batch, and meets its texts slice by slice, so that only the words of a slice are held at a time.
+            _, offsets = byte_column(whole.column("text"))
+            slices = list(blocks(offsets, SLICE_BYTES)) or [(0, 0)]
+            n_words = [0] * whole.num_rows
+            spans: list[list[list[int]]] = [[] for _ in n_words]
+            items: list[set] = [set() for _ in n_words]
+            for file in files or [None]:
+                automaton = load_automaton(file) if file else SuffixAutomaton([], window)
+                for a, b in slices:
+                    texts = [x or b"" for x in whole.column("text").slice(a, b - a).to_pylist()]
+                    for at, (n, found, ids) in enumerate(match(automaton, texts), a):
                         n_words[at] = n
                         spans[at] += found
                         items[at] |= ids
-                merged = [_joined(s) for s in spans]
+            for a, b in slices:
+                batch = whole.slice(a, b - a)
+                texts = batch.column("text").to_pylist()
+                merged = [_joined(s) for s in spans[a:b]]
                 if edit is not None:
-                    texts = [edit(t, n, s) if s else t for t, n, s in zip(texts, n_words, merged)]
-                named = [sorted(i - {None}) for i in items]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.binary()), pa.array(n_words, pa.int64()), pa.array(merged, span), pa.array(named, pa.list_(pa.int64()))], names=names)
+                    texts = [edit(t, n, s) if s else t for t, n, s in zip(texts, n_words[a:b], merged)]
+                named = [sorted(i - {None}) for i in items[a:b]]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.binary()), pa.array(n_words[a:b], pa.int64()), pa.array(merged, span), pa.array(named, pa.list_(pa.int64()))], names=names)
         release_memory()
 
     df = docs.mapInArrow(run, f"{kinds}, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<bigint>")
