@@ -8,17 +8,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.sources.scratch import make_folder, scratch_path, shared_dir, stored
 
-__all__ = ["binary_from", "blocks", "byte_column", "discard", "make_folder", "release_memory", "scratch_path", "shared_dir", "stored", "table"]
+__all__ = ["binary_from", "blocks", "byte_column", "discard", "make_folder", "named", "release_memory", "scratch_path", "shared_dir", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column of exactly this name, whatever signs it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing will read again."""
     jvm = spark.sparkContext._jvm

@@ -53,6 +53,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .common import blocks, byte_column, discard, release_memory, stored
 from .graph import components
 from .hashing import Recent, mixed, shingle_sets
@@ -415,13 +416,17 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     The row with the smallest doc_id stays (null comes last), of those the one
     with the smallest hash of doc_id and text, then of its other columns.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    # Rows are named by what they say, as a doc_id may be null or stand on different texts.
-    named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    linked = link(named.select(F.col("__row").alias("doc_id"), "text"), width, percent)
-    linked = linked.select(F.col("doc_id").alias("__row"), (F.col("n") > 0).alias("__one"), "component").distinct()
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    best = linked.filter("__one").join(named.select("doc_id", "__row").distinct(), "__row").groupBy("component").agg(F.min(order)["__row"].alias("__row"))
-    stays = best.select("__row", F.lit(True).alias("__one")).unionByName(linked.filter("not __one").select("__row", "__one"))
-    turn = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*others) if others else F.lit(0)))
-    return named.join(stays, "__row").withColumn("__turn", turn).filter("__turn = 1 or not __one").select(*docs.columns)
+    # The columns of docs are o0, o1 and so on, so that they may have any name. Rows are named by what they say, as a doc_id
+    # may be null or stand on different texts.
+    own = [f"o{k}" for k in range(len(docs.columns))]
+    doc_id, text = (own[docs.columns.index(c)] for c in ("doc_id", "text"))
+    others = [o for o in own if o not in (doc_id, text)]
+    named = docs.select(*[common.named(c).alias(o) for c, o in zip(docs.columns, own)]).withColumn("row", F.xxhash64(doc_id, text))
+    linked = link(named.select(F.col("row").alias("doc_id"), F.col(text).alias("text")), width, percent)
+    linked = linked.select(F.col("doc_id").alias("row"), (F.col("n") > 0).alias("one"), "component").distinct()
+    order = F.struct(F.col(doc_id).isNull(), doc_id, "row")
+    best = linked.filter("one").join(named.select("row", doc_id).distinct(), "row").groupBy("component").agg(F.min(order)["row"].alias("row"))
+    stays = best.select("row", F.lit(True).alias("one")).unionByName(linked.filter("not one").select("row", "one"))
+    turn = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64(*others) if others else F.lit(0)))
+    kept = named.join(stays, "row").withColumn("turn", turn).filter("turn = 1 or not one")
+    return kept.select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own)])

@@ -24,12 +24,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .labels import SAMPLE_ROWS, remainder, sample, with_texts
 
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 TREES, DEPTH, BINS, RATE, MIN_LEAF = 24, 3, 24, 0.3, 10
-BARRIER = "__partition"
 PENALTY = 0.002
 STEPS = 600
 
@@ -180,18 +180,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return fit(got[:, 1:], got[:, 0], list(stats))
 
 
-def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs with the score as column `name`, which replaces one of that name, and BARRIER.
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """The columns of docs as o0, o1 and so on, whatever their names, with score and barrier.
 
-    BARRIER is no fixed value, so a filter that reads it too stays above the
+    barrier is no fixed value, so a filter that reads it too stays above the
     statistics, and each of them is computed once a row.
     """
-    own = docs.columns
-    names = [f"__{n}" for n in model.names]
     stats = statistics(F.col("text"))
-    wide = docs.select("*", *[stats[n].alias(m) for n, m in zip(model.names, names)], F.spark_partition_id().alias(BARRIER))
+    names = [f"s{k}" for k in range(len(model.names))]
+    own = [common.named(c).alias(f"o{k}") for k, c in enumerate(docs.columns)]
+    wide = docs.select(*own, *[stats[n].alias(m) for n, m in zip(model.names, names)], F.spark_partition_id().alias("barrier"))
     renamed = Model(names, model.rules, model.weights, model.bias)
-    return wide.select(*[F.col(c) for c in own if c != name], renamed.column().alias(name), BARRIER)
+    return wide.select(*[f"o{k}" for k in range(len(own))], renamed.column().alias("score"), "barrier")
+
+
+def _named(scored: DataFrame, docs: DataFrame, *others: Column, without: str | None = None) -> DataFrame:
+    return scored.select(*[F.col(f"o{k}").alias(c) for k, c in enumerate(docs.columns) if c != without], *others)
+
+
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the score as column `name`, which replaces one of that name."""
+    return _named(_scored(docs, model), docs, F.col("score").alias(name), without=name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -203,5 +212,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the classifier rejects."""
-    scored = score(docs, train(docs, labels), "__quality")
-    return scored.filter((F.col("__quality") >= THRESHOLD) & (F.col(BARRIER) >= 0)).select(*docs.columns)
+    scored = _scored(docs, train(docs, labels))
+    return _named(scored.filter((F.col("score") >= THRESHOLD) & (F.col("barrier") >= 0)), docs)
