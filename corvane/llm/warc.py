@@ -11,7 +11,8 @@ many tasks that each reads about TASK_BYTES. A task looks for the
 gzip magic in its range, takes a place for a member only if a WARC header can be
 decoded from it, and owns the records whose members start inside its range; the
 last one is read beyond the end of the range. So any range size gives each
-record exactly once. A member with a WARC header that can't be decoded or parsed
+record exactly once. Records of all types are read (a warcinfo, a request and so on
+have their block as payload), with header names in any case. A member with a WARC header that can't be decoded or parsed
 to its end gives a row of record_type "broken" with its place; round_trip()
 expects none and fails on one.
 
@@ -116,23 +117,45 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, fi
     return stored(pages.mapInArrow(run, "file string, bytes long, records long"), "warc-manifest")
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a line that starts with a blank goes on with the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode(errors="replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
 def _parse(member: bytes) -> dict[str, object]:
+    """A record of any type: the payload is what an HTTP response holds, else the whole block; a revisit has none of its own."""
     head, _, rest = member.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = re.search(rb"(?im)^Content-Length: *(\d+)", http)
+    fields = _fields(head.split(b"\r\n", 1)[1])
+    kind, size = fields["warc-type"].lower(), int(fields["content-length"])
+    if len(rest) < size:
+        raise ValueError("a block is shorter than its record says")
+    payload, declared = rest[:size], None
+    if kind in ("response", "revisit") and fields.get("content-type", "application/http").lower().startswith("application/http"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+        length = _fields(http).get("content-length", "")
+        declared = int(length) if length.isdecimal() else None
+    given = fields.get("warc-payload-digest")
+    given = given and given.removeprefix("sha1:")
+    own = kind != "revisit"
     page = lambda key: (lambda m: int(m[1]) if m else None)(re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(key, "")))
-    kind = fields["WARC-Type"]
     return {
-        "record_id": fields["WARC-Record-ID"],
-        "page_id": page("WARC-Record-ID"),
-        "url": fields.get("WARC-Target-URI"),
+        "record_id": fields.get("warc-record-id"),
+        "page_id": page("warc-record-id"),
+        "url": fields.get("warc-target-uri"),
         "record_type": kind,
-        "refers_to": page("WARC-Refers-To"),
-        "payload_digest": digest(payload) if kind == "response" else fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-        "payload_bytes": len(payload) if kind == "response" else int(length[1]),
-        "payload": payload if kind == "response" else None,
+        "refers_to": page("warc-refers-to"),
+        "payload_digest": digest(payload) if own else given,
+        "payload_bytes": len(payload) if own else declared,
+        "payload": payload if own else None,
     }
 
 
