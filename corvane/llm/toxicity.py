@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A lexical transducer maps words (and quotation marks) to classes: insult, threat,
-target (an address), negation, contrast, reported speech, quote, other. Four small
-sequential transducers then mark an insult or threat that stands in the scope of a
-negation, after a verb of reporting in its clause (or in a quotation that such a
-verb follows), or close to a target; they are composed into one table, which is run
-over each clause that holds an insult or threat. A negated or reported one stays so
+target (an address), negation, limit ("only", "long"), contrast, reported speech,
+self, mention ("the word"), quote, other. Five small sequential transducers then mark an
+insult or threat that stands in the scope of a negation (not of "not only" or "not
+long"), behind a word that mentions it as a word, after a verb of reporting in its clause
+(or in a quotation that such a verb follows; what speakers say of themselves they said
+is their own), or close to a target; they are composed into one table, which is run over
+each clause that holds an insult or threat. A negated or reported one stays so
 whatever address stands beside it. Clauses end at full stops, question and
 exclamation marks, semicolons and line ends outside quotations; a colon doesn't end
 one, as it introduces speech. Each clause counts once for insults and once for
@@ -38,15 +40,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labels import SAMPLE_ROWS, distinct, remainder, sample, with_texts
 
 MODULUS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
-#: Words that an address, and a negation, reach.
-REACH, SCOPE = 3, 5
+#: Words that an address, a negation, a speaker before a verb of reporting, and a mention reach.
+REACH, SCOPE, OWN, NAMED = 3, 5, 2, 2
 STEM = (3, 8)
 PRECISION = 0.9
 #: Different words that a stem must have.
@@ -60,6 +62,9 @@ SEED = {
     "threat": "kill murder hurt destroy strangle stab töten umbringen tuer matar",
     "target": "you your yours u du dich dir ihr euch tu te toi vous vos usted ustedes ti",
     "negation": "not never isn't aren't don't won't kein keine nicht nie ne pas jamais no nunca jamás",
+    "limit": "only just merely long nur bloß lange seulement longtemps solo sólo solamente",
+    "self": "i we i've we've ich wir je j'ai nous yo nosotros",
+    "mention": "word words term noun wort wörter begriff mot mots terme palabra palabras término",
     "contrast": "but aber sondern mais pero sino",
     "report": "said says say told wrote claimed quoted called sagte sagt schrieb disait dit écrit dijo dice escribió",
     "quote": '"',
@@ -76,19 +81,19 @@ PRIOR_STRENGTH = 0.5
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|\"")
-CLAUSE = re.compile(r'(?:"[^"\n]{0,400}"|[^.!?;\n])+')
+CLAUSE = re.compile(r'(?:"[^"\n]*"|[^.!?;\n])+')
 _PLAIN = str.maketrans({**dict.fromkeys("“”„«»", '"'), "’": "'"})
 
 
 class Negation:
-    """After a negation, the next SCOPE words are in its scope, up to a contrast."""
+    """After a negation, the next SCOPE words are in its scope, up to a contrast; a limit at once after it undoes it."""
 
     start = 0
 
     def step(self, state: int, symbol: tuple) -> tuple[int, tuple]:
         if symbol[0] == "negation":
             return SCOPE, symbol
-        if symbol[0] == "contrast":
+        if symbol[0] == "contrast" or symbol[0] == "limit" and state == SCOPE:
             return 0, symbol
         if symbol[0] == "quote":
             return state, symbol
@@ -97,20 +102,38 @@ class Negation:
         return max(state - 1, 0), symbol
 
 
+class Mention:
+    """A hit up to NAMED words behind a word for words is named, not said."""
+
+    start = 0
+
+    def step(self, state: int, symbol: tuple) -> tuple[int, tuple]:
+        if symbol[0] == "mention":
+            return NAMED, symbol
+        if symbol[0] == "quote":
+            return state, symbol
+        return max(state - 1, 0), (*symbol, "reported") if state and symbol[0] in HITS else symbol
+
+
 class Reported:
-    """A verb of reporting holds for the rest of its clause, and for a quotation just before it."""
+    """A verb of reporting holds for the rest of its clause, and for a quotation just before it, unless the speakers report themselves."""
 
-    start = (0, 0, "")  # after a verb, within a quotation, the last hit of the quotation
+    start = (0, 0, "", 0)  # after a verb, within a quotation, the last hit of the quotation, words that a speaker still reaches
 
-    def step(self, state: tuple[int, int, str], symbol: tuple) -> tuple[tuple[int, int, str], tuple]:
-        after, within, hit = state
+    def step(self, state: tuple[int, int, str, int], symbol: tuple) -> tuple[tuple[int, int, str, int], tuple]:
+        after, within, hit, own = state
+        if symbol[0] == "self":
+            return (after, within, hit, OWN), symbol
         if symbol[0] == "report":
-            return (1, within, ""), (*symbol, "back", hit) if hit and not within else symbol
+            if own:
+                return (after, within, "" if not within else hit, 0), symbol
+            return (1, within, "", 0), (*symbol, "back", hit) if hit and not within else symbol
         if symbol[0] == "quote":
-            return (after, 1 - within, hit if within else ""), symbol
+            return (after, 1 - within, hit if within else "", own), symbol
+        own = max(own - 1, 0)
         if symbol[0] in HITS:
-            return (after, within, symbol[0] if within else hit), (*symbol, "reported") if after else symbol
-        return state, symbol
+            return (after, within, symbol[0] if within else hit, own), (*symbol, "reported") if after else symbol
+        return (after, within, hit, own), symbol
 
 
 class Targeted:
@@ -164,7 +187,7 @@ def compose(machines: tuple) -> dict[tuple[int, int], tuple[int, tuple]]:
     return table
 
 
-MACHINES = (Negation(), Reported(), Targeted(), Emit())
+MACHINES = (Negation(), Mention(), Reported(), Targeted(), Emit())
 TABLE = compose(MACHINES)
 
 
@@ -241,9 +264,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
+def _words(text: Column) -> Column:
+    """The different words of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0)))
+
+
 def learn_lexicon(found: DataFrame) -> Lexicon:
     """Words and stems that mark toxic documents in (text, label), by counts of documents."""
-    words = found.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0)))).alias("word"))
+    words = found.select("label", F.explode(_words(F.col("text"))).alias("word"))
     counts = words.groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).cache()
     try:
         total = found.agg(F.sum("label"), F.count("*")).first()
@@ -251,9 +279,11 @@ def learn_lexicon(found: DataFrame) -> Lexicon:
         lexicon = seed_words()
         if not 0 < bad < n:
             return Lexicon(lexicon, {})
-        stem = F.explode(F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word"))), lambda k: F.substring("word", F.lit(1), k)))
-        stems = counts.filter(F.length("word") >= STEM[0]).select(stem.alias("word"), "bad", "n").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.count("*").alias("forms"))
-        stems = stems.filter(F.col("forms") >= FORMS)
+        prefixes = lambda word: F.transform(F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length(word))), lambda k: F.substring(word, F.lit(1), k))
+        forms = counts.filter(F.length("word") >= STEM[0]).select(F.explode(prefixes(F.col("word"))).alias("word")).groupBy("word").agg(F.count("*").alias("forms")).filter(F.col("forms") >= FORMS)
+        # A document counts once for a stem, however many words it has of it.
+        held = F.array_distinct(F.flatten(F.transform(F.filter(_words(F.col("text")), lambda w: F.length(w) >= STEM[0]), prefixes)))
+        stems = found.select("label", F.explode(held).alias("word")).groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).join(forms, "word")
         # So often toxic that chance gives no such candidate among a million.
         often = (math.log(1e6)) / -math.log(max(bad / n, 1e-9))
         strong = (F.col("bad") >= max(3, often)) & (F.col("bad") >= PRECISION * F.col("n"))
