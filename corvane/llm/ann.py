@@ -14,9 +14,9 @@ vectors only the k + 1 smallest ids can be an answer, so only these are indexed,
 and equal queries are searched once; a vector that a third of all rows share
 costs no more than one that stands alone.
 
-Edge cases: null, zero and non-finite vectors, vectors with null components or of
-another length than most rows have (of equally frequent ones the smallest), and
-null ids take no part; ties go to the smaller id; rows that repeat id and vector
+Edge cases: null, zero and non-finite vectors, vectors with null components, and null
+ids take no part; vectors of each length are searched among themselves, with a network of
+their own where they are enough for parts; ties go to the smaller id; rows that repeat id and vector
 count once, and an id with different vectors is as near as its nearest vector and
 stands in an answer once; with fewer candidates than k all are returned; empty
 tables give no rows. Only vec_id and embedding are read, so other columns may
@@ -216,30 +216,39 @@ def nearest(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) ->
 def search(df: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS, wanted: float = WANTED_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found rows of df (vec_id, embedding) for each row of queries, its own id left out."""
     usable = stored(clean(df), "ann-vectors")
-    sizes = usable.groupBy(F.octet_length("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = sizes["size"]
-    usable = usable.filter(F.octet_length("v") == size)
-    sample = usable.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample_rows).toArrow()["v"].to_pylist()
-    router = fit(_matrix(sample), part_rows, k, wanted)
+    sizes = {r["size"]: r["count"] for r in usable.groupBy(F.octet_length("v").alias("size")).count().collect()}  # a row a length
+    routers, first = {}, {}
+    for size, count in sorted(sizes.items()):
+        held: list[bytes] = []
+        if count >= 2 * part_rows:  # fewer are one part whatever they are
+            sample = usable.filter(F.octet_length("v") == size).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample_rows)
+            held = sample.toArrow()["v"].to_pylist()
+        routers[size] = fit(_matrix(held) if held else np.zeros((1, size // 8)), part_rows, k, wanted)
+        first[size] = sum(routers[s].w2.shape[1] for s in first)
     turn = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     indexed = usable.distinct().withColumn("turn", turn).filter(F.col("turn") <= k + 1).drop("turn")
 
-    def route(probes: int):
+    def route(visits: bool):
+        """The part of each vector, or the parts that a query visits, numbered through all lengths."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    r = router.ranked(_matrix(batch.column("v").to_pylist()))[:, :probes]
-                    rows = pa.array(np.repeat(np.arange(len(r)), r.shape[1]))
+                v = batch.column("v").to_pylist()
+                by_size: dict[int, list[int]] = {}
+                for at, x in enumerate(v):
+                    by_size.setdefault(len(x), []).append(at)
+                for size, at in by_size.items():
+                    if size not in routers:  # a query whose length no vector has
+                        continue
+                    r = routers[size].ranked(_matrix([v[i] for i in at]))[:, : routers[size].probes if visits else 1] + first[size]
+                    rows = pa.array(np.repeat(np.array(at), r.shape[1]))
                     yield pa.RecordBatch.from_arrays([pa.array(r.ravel().astype(np.int32)), batch.column("vec_id").take(rows), batch.column("v").take(rows)], names=["part", "vec_id", "v"])
 
         return run
 
-    placed = stored(indexed.mapInArrow(route(1), "part int, vec_id long, v binary"), "ann-index")
-    asked = clean(queries).filter(F.octet_length("v") == size)
-    asked = stored(asked.distinct(), "ann-queries")
-    visits = asked.groupBy("v").agg(F.min("vec_id").alias("vec_id")).mapInArrow(route(router.probes), "part int, vec_id long, v binary")
+    placed = stored(indexed.mapInArrow(route(False), "part int, vec_id long, v binary"), "ann-index")
+    asked = stored(clean(queries).distinct(), "ann-queries")
+    visits = asked.groupBy("v").agg(F.min("vec_id").alias("vec_id")).mapInArrow(route(True), "part int, vec_id long, v binary")
     visits = stored(visits, "ann-visits")
     # chunks by part, so that every group of the search is bounded on both sides
     chunks = lambda t, name: t.groupBy("part").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias(name))
