@@ -46,14 +46,25 @@ def test_few_rows_and_none(spark):
     assert ann.search(df.filter("vec_id < 0"), df).count() == 0
 
 
-def test_one_vector_of_another_length_changes_nothing(spark):
+def test_vectors_of_each_length_are_searched_among_themselves(spark):
     rng = np.random.default_rng(5)
     rows = [(k, [float(c) for c in rng.normal(size=8)]) for k in range(60)]
     rows += [(100 + k, [float(c) for c in rng.normal(size=9 + k)]) for k in range(20)]  # one of these is first by hash
+    rows += [(200 + k, [float(c) for c in rng.normal(size=3)]) for k in range(400)] + [(700, [1.0] * 2), (701, [1.0] * 2), (750, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann.search(df, df.filter("vec_id % 50 = 0"))
-    assert {r["query_id"] for r in got.collect()} == {0, 50} and got.count() == 10
-    assert all(r["vec_id"] < 60 for r in got.collect())
+    got = ann.search(df, df.filter("vec_id % 50 = 0").unionByName(spark.createDataFrame([(50_000, [1.0] * 77)], df.schema)), part_rows=64)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(by) == {0, 50, *range(200, 600, 50), 700, 750}
+    hits = 0
+    for q, found in by.items():
+        size = len(dict(rows)[q])
+        own = [(i, np.array(v)) for i, v in rows if len(v) == size]
+        want = exact(np.array([i for i, _ in own]), np.array([v for _, v in own]), [q], 5)[q]
+        assert len(found) == len(want) and {i for _, i, _ in found} <= {i for i, _ in own}
+        hits += len({i for _, i, _ in found} & {i for i, _ in want}) / len(want)
+    assert hits / len(by) >= 0.9
 
 
 def test_ids_with_several_vectors_stand_once_in_an_answer(spark):

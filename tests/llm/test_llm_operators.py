@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, decontaminate, labels, packing, quality, sharding, toxicity, warc
+from corvane.llm import chat, decontaminate, jaccard, labels, packing, quality, repeats, sharding, toxicity, warc
 
 
 def rows(df, *columns):
@@ -350,6 +350,16 @@ def test_toxicity_grammar(spark):
 
 MARKED = {
     "a moron stood": {"insult": "plain"},
+    "not long ago you moron": {"insult": "targeted"},
+    "you are not only a moron": {"insult": "plain"},
+    "you are not only never a moron": {"insult": "negated"},
+    "i told you, you are a moron": {"insult": "targeted"},
+    "as we have said you are a moron": {"insult": "targeted"},
+    "i know he said you are a moron": {"insult": "reported"},
+    "the word moron comes from greek": {"insult": "reported"},
+    "the very word moron": {"insult": "reported"},
+    "you moron, mind the word": {"insult": "targeted"},
+    f'"you moron {"and so on " * 200}" he said': {"insult": "reported"},
     "you are a moron": {"insult": "targeted"},
     "moron you": {"insult": "targeted"},
     "he is not a moron": {"insult": "negated"},
@@ -395,6 +405,15 @@ def test_composed_table_does_what_the_machines_do():
             assert mark == symbol
 
 
+def test_a_stem_needs_documents_not_words(spark):
+    plain = [(f"some words of a fine day {k} in the town", 0) for k in range(60)]
+    one = [(" ".join(f"zor{a}{b}" for a in "abcdef" for b in "ghijkl"), 1)]
+    several = [(f"plok{x} it was", 1) for x in ("ab", "bc", "cd", "de", "ef", "fg", "gh", "hi", "ij", "jk")]
+    learned = lambda rows: toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int")).stems
+    assert learned(plain + one) == {}
+    assert list(learned(plain + one + several)) == ["plo"]
+
+
 def test_threats_and_insults_are_learned(spark):
     rng = random.Random(9)
     plain = lambda: [f"w{''.join(rng.choice('aeiou') for _ in range(3))}" for _ in range(rng.randint(5, 40))]
@@ -463,3 +482,80 @@ def test_distinct_texts(spark):
     docs = [(k, base + f" tail{k}", 1) for k in range(30)] + [(100, "something else here", 0)]
     found = spark.createDataFrame(docs, "doc_id long, text string, label int").select("text", "label", "doc_id")
     assert labels.distinct(found).count() <= 4
+
+
+CLASHING = ("__quality", "__partition", "__log_chars", "__row", "__one", "__turn", "o0", "o1", "row", "one", "score", "barrier", "component", "turn", "s0", "part", "key", "h1")
+
+
+def test_columns_of_any_name_pass_through_the_stages(spark):
+    """What a stage keeps of a row it keeps as it was, whatever the names of other columns."""
+    words = "the of and a to in is you that it he was for on are as with his they at".split()
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(words) + str(rng.randrange(60)) for _ in range(60)) for _ in range(60)]
+    texts += texts[:6] + [texts[7] + " and more"]
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in CLASHING}).withColumn("a.b`c", F.lit(1))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    untouched = lambda df: all(r[c] == f"{c} of {r['doc_id']}" for r in df.collect() for c in CLASHING)
+    good = quality.keep_good(docs, labels)
+    assert good.columns == docs.columns and untouched(good) and good.count() == len(texts)
+    one = jaccard.keep_one(docs)
+    assert one.columns == docs.columns and untouched(one) and one.count() == 60
+    model = quality.train(docs, labels)
+    assert quality.score(docs, model, "o1").columns == [c for c in docs.columns if c != "o1"] + ["o1"]
+    plain = docs.drop("a.b`c")
+    cut = repeats.drop_repeats(plain)
+    assert cut.columns == plain.columns and untouched(cut)
+    clean = decontaminate.decontaminate(plain, spark.createDataFrame([(1, texts[3])], "item_id long, text string"))
+    assert clean.columns == plain.columns and untouched(clean) and {r["doc_id"] for r in clean.select("doc_id").collect()} == set(range(len(texts))) - {3, 63}
+
+
+def test_many_blocks_hold_the_words_of_a_slice_only(spark, monkeypatch):
+    rng = random.Random(12)
+    some = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(k, some(30)) for k in range(150)]
+    texts = [some(120) + " " + items[k % 150][1] * (k % 9 == 0) for k in range(3000)]
+    seen, original = [], decontaminate.match
+    monkeypatch.setattr(decontaminate, "match", lambda a, t: (seen.append(sum(map(len, t))), original(a, t))[1])
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 50_000)
+    # The task's function, run here: what it hands to the automata at once is bounded, however many there are.
+    held = {}
+    real = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema, *a: (held.setdefault("run", f) if "n_words" in schema else None, real(self, f, schema, *a))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=90)
+    assert len([c.cell_contents for c in held["run"].__closure__ if isinstance(c.cell_contents, list) and c.cell_contents and str(c.cell_contents[0]).startswith("file:")][0]) >= 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([t.encode() for t in texts])], names=["k0", "text"])
+    out = pa.Table.from_batches(list(held["run"](iter([batch])))).to_pydict()
+    assert max(seen) <= 50_000 and out["k0"] == list(range(3000))
+    hit = [k for k, s in enumerate(out["spans"]) if s]
+    assert hit == [k for k in range(3000) if k % 9 == 0] and all(out["items"][k] == [k % 150] for k in hit)
+
+
+def test_records_of_other_writers(tmp_path):
+    """Types, header names in any case, continued lines, responses without a length, and blocks that are cut off."""
+    import gzip
+
+    def member(fields, block, size=None):
+        head = "\r\n".join(["WARC/1.0", *fields, f"content-length: {len(block) if size is None else size}"])
+        return gzip.compress(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\ncontent-length: 4\r\n\r\nbody"
+    parts = [
+        member(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        member(["warc-type: request", "warc-record-id: <urn:uuid:2>", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n"),
+        member(["WARC-TYPE: Response", "WARC-Record-ID: <urn:uuid:3>", "WARC-Target-URI: http://e.org/a", "Content-Type: application/http;", "\tmsgtype=response"], http),
+        member(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:4>", "Content-Type: text/dns"], b"20240101 e.org. 1.2.3.4"),
+        member(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:5>", "Content-Type: application/http"], b"HTTP/1.1 304 Not Modified\r\n\r\n"),
+        member(["WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:6>"], b""),
+        member(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:7>"], http, size=9000),
+        member(["WARC-Record-ID: <urn:uuid:8>"], b"no type"),
+    ]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(parts))
+    with pa.OSFile(str(path)) as source:
+        for step in (path.stat().st_size, 50):
+            found = [f for start in range(0, path.stat().st_size, step) for f in warc.read_range(source, start, start + step)]
+            got = [(f["record_type"], f.get("payload"), f.get("payload_bytes")) for _, f in found]
+            assert got == [("warcinfo", b"software: x\r\n", 13), ("request", b"GET / HTTP/1.1\r\n\r\n", 18), ("response", b"body", 4), ("response", b"20240101 e.org. 1.2.3.4", 23), ("revisit", None, None), ("metadata", b"", 0), ("broken", None, None), ("broken", None, None)]
+            assert found[2][1]["url"] == "http://e.org/a" and found[2][1]["payload_digest"] == warc.digest(b"body") and found[4][1]["payload_digest"] is None
