@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import checks, digest_tree, json_values, reports, stretches
 from corvane.plans import capture
 from corvane.queries import load
 from corvane.sources import collections, release_tree, scratch, sinks
-from corvane.sources.store import Store
+from corvane.sources.store import Published, Store
 from corvane.sql import SQL as SQL_OF
 from corvane.vectors import DENIED
 
@@ -141,30 +141,38 @@ def validated_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT 'good' AS step, 'sources' AS name, 's' || page_id AS record, url AS value FROM pages
-    UNION ALL SELECT 'good', 'myths', 'm' || page_id, url FROM pages
+    UNION ALL SELECT 'good', 'myths', 'm' || n_nationkey, n_name FROM nation
     UNION ALL SELECT 'refused', 'sources.json', 's' || page_id, 'not strict JSON' FROM pages WHERE page_id % 4 = 0
     UNION ALL SELECT 'refused', 'sources.keys', 's' || page_id, 'unknown keys' FROM pages WHERE page_id % 4 = 1
     UNION ALL SELECT 'refused', 'sources.allowed.kind', 's' || page_id, 'not an allowed value' FROM pages WHERE page_id % 4 = 2
-    UNION ALL SELECT 'refused', 'myths.citations', 'm' || page_id, 'no such source' FROM pages
+    UNION ALL SELECT 'refused', 'myths.citations', 'm' || n_nationkey, 'no such source' FROM nation
     UNION ALL SELECT 'kept', 'sources', 's' || page_id, url FROM pages"""
 )
 def registered_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collections of files behind names: a good tree is registered, a broken one is refused record by record and changes nothing."""
     s = load(spark, sf_dir, "pages").select("page_id", "url")
-    key = F.col("page_id").cast("string")
     fields = {"title": F.col("url"), "authors": F.array("url"), "publicationYear": F.lit(None).cast("int"), "publisher": F.lit("p"), "url": F.lit("https://example.org/"), "region": F.lit("asia"), "kind": F.lit("book"), "accessed": F.lit("2024-01-31")}
     as_json = lambda **other: F.to_json(F.struct(*[v.alias(k) for k, v in (fields | other).items()]), {"ignoreNullFields": "false"})
-    myth = lambda cited: F.to_json(F.struct(F.col("url").alias("title"), *[F.lit("x").alias(f) for f in ("culture", "legend", "context", "confirmed")], F.array(cited).alias("citations")))
+    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    myth = lambda cited: F.to_json(F.struct(F.col("n_name").alias("title"), *[F.lit("x").alias(f) for f in ("culture", "legend", "context", "confirmed")], F.array(F.lit(cited)).alias("citations")))
     bad = F.when(F.col("page_id") % 4 == 0, F.lit('{"title":1,"title":2}')).when(F.col("page_id") % 4 == 1, as_json(more=F.lit(1))).when(F.col("page_id") % 4 == 2, as_json(kind=F.lit("poster"))).otherwise(as_json())
-    made = lambda folder, prefix, content: s.select(F.concat(F.lit(f"{folder}/{prefix}"), key, F.lit(".json")).alias("path"), content.alias("content"))
-    good, other = _new_tree(spark, "good"), _new_tree(spark, "other")
-    release_tree.write(made("sources", "s", as_json()).unionByName(made("myths", "m", myth(F.concat(F.lit("s"), key)))), good)
-    release_tree.write(made("sources", "s", bad).unionByName(made("myths", "m", myth(F.concat(F.lit("none"), key)))), other)
+    cited = f"s{s.agg(F.min('page_id')).first()[0]}"
     store = Store(spark, _new_tree(spark, "registered"))
-    collections.register(spark, good, store, ("myths", "sources"))
+
+    def registered(sources: Column, reference: str) -> dict[str, Published]:
+        """Write the files, register them, and drop them: the store holds what was accepted."""
+        root = _new_tree(spark, "collections")
+        files = s.select(F.concat(F.lit("sources/s"), F.col("page_id").cast("string"), F.lit(".json")).alias("path"), sources.alias("content"))
+        others = nation.select(F.concat(F.lit("myths/m"), F.col("n_nationkey").cast("string"), F.lit(".json")).alias("path"), myth(reference).alias("content"))
+        release_tree.write(files.unionByName(others), root)
+        done = collections.register(spark, root, store, ("myths", "sources"))
+        scratch.delete(spark, root)
+        return done
+
+    registered(as_json(), cited)
     shown = lambda step, name: store.table(name).select(F.lit(step).alias("step"), F.lit(name).alias("name"), F.col("id").alias("record"), F.col("record.title").alias("value"))
     before = [shown("good", "sources"), shown("good", "myths")]
-    refused = collections.register(spark, other, store, ("myths", "sources"))
+    refused = registered(bad, "none")
     # Of what one syntax error breaks, the error itself is enough here.
     syntax = lambda df: df.filter(~(F.col("check_id").startswith("sources.") & (F.col("record_id").substr(2, 20).cast("long") % 4 == 0)) | (F.col("check_id") == "sources.json"))
     told = [syntax(r.violations).select(F.lit("refused").alias("step"), F.col("check_id").alias("name"), F.col("record_id").alias("record"), F.col("message").alias("value")) for r in refused.values()]
