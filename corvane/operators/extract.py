@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.canonical import FRAGMENT, READ_FRAGMENT, Denied, Unsafe, built_url_problem, canonical, json_leak, leak, safe_url
+from corvane.functions.canonical import FRAGMENT, READ_FRAGMENT, Denied, Unsafe, artefact_leak, built_url_problem, canonical, json_leak, leak, safe_url, source_leak
 
 MAX_NESTING = 8
 #: Bounds of a style sheet: characters, nesting, parts; and of style blocks and style attributes of a page.
@@ -298,10 +298,57 @@ def css_parts(text: str) -> dict[str, list[str]]:
     return {"urls": urls, "content": content}
 
 
+_SCRIPT_MARK = re.compile(r"//|/\*|[\"'`{}]")
+_SCRIPT_ESCAPE = re.compile(r"\\(?:x([0-9a-f]{2})|u([0-9a-f]{4})|u\{([0-9a-f]{1,6})\}|(\r\n|.))", re.I | re.S)
+_ESCAPED = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": "", "\r\n": "", "\r": "", "\u2028": "", "\u2029": ""}
+
+
+def script_literal(source: str) -> str:
+    """What the source of a literal says: its escapes and continued lines resolved."""
+
+    def one(m: re.Match) -> str:
+        code = m[1] or m[2] or m[3]
+        if code is None:
+            return _ESCAPED.get(m[4], m[4])
+        return chr(int(code, 16)) if int(code, 16) <= 0x10FFFF and not 0xD800 <= int(code, 16) < 0xE000 else "\ufffd"
+
+    return _SCRIPT_ESCAPE.sub(one, source) if "\\" in source else source
+
+
+def _closing(text: str, at: int, mark: str) -> int:
+    """Where a literal ends: at its mark, the end of the line (but for templates), or of the text; escaped characters don't count."""
+    while at < len(text) and text[at] != mark and (mark == "`" or text[at] != "\n"):
+        if mark == "`" and text.startswith("${", at):
+            break
+        at += 2 if text[at] == "\\" else 1
+    return min(at, len(text))
+
+
 def script_texts(text: str) -> list[str]:
-    """String literals, template chunks and comments of a script, in order."""
-    pattern = r"//([^\n]*)|/\*(.*?)\*/|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`"
-    return [next((g for g in m.groups() if g is not None), "") for m in re.finditer(pattern, text, re.S)]
+    """String literals, chunks of templates (nested ones too) and comments of a script, as the language reads them."""
+    out, at, open_braces = [], 0, [0]  # of the script, and of each expression within a template
+    while m := _SCRIPT_MARK.search(text, at):
+        mark, at = m[0], m.end()
+        if mark in ("//", "/*"):
+            end = text.find("\n" if mark == "//" else "*/", at)
+            end = len(text) if end < 0 else end
+            out.append(text[at:end])
+            at = end + (2 if mark == "/*" else 0)
+        elif mark == "{":
+            open_braces[-1] += 1
+        elif mark == "}" and not (len(open_braces) > 1 and open_braces[-1] == 0):
+            open_braces[-1] -= 1
+        else:
+            if mark == "}":  # the end of an expression: its template goes on
+                open_braces.pop()
+                mark = "`"
+            end = _closing(text, at, mark)
+            out.append(script_literal(text[at:end]))
+            at = end + 1
+            if mark == "`" and text.startswith("${", end):
+                open_braces.append(0)
+                at = end + 2
+    return out
 
 
 def rendered_texts(text: str) -> list[str]:
@@ -328,6 +375,25 @@ def script_leaks(text: str, media_type: str | None, denied: Denied, jsx: bool =
     return [p for t in texts if (p := leak(t, denied, FRAGMENT))]
 
 
+def masked(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The text with the characters of these ranges blank."""
+    out, at = [], 0
+    for a, b in sorted(ranges):
+        if b > at:
+            out += [text[at : max(at, a)], " " * (b - max(at, a))]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def template_leaks(text: str, denied: Denied) -> list[str]:
+    """Problems of a component template: of its whole text, of its script, and of what it shows."""
+    parts = template_parts(text)
+    found = [source_leak(text, denied, schemes=False), *script_leaks(str(parts["script"]), None, denied)]
+    found += [leak(t, denied, READ_FRAGMENT) for k in ("runs", "readable") for t in parts[k]]
+    found += [p for t, kind in zip(parts["scripts"], parts["script_types"]) for p in script_leaks(t, kind, denied)]
+    return [p for p in found if p]
+
+
 def template_parts(text: str) -> dict[str, object]:
     """A component template: the script between its first --- lines, and the rest read as HTML without its expressions."""
     m = re.match(r"\s*---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)", text, re.S)
@@ -369,15 +435,28 @@ def html_ranges(text: str) -> list[tuple[str, int, int]]:
     return sorted(_Ranges(text).out, key=lambda r: r[1:])
 
 
+def page_leak(text: str, denied: Denied) -> str | None:
+    """The first leak in a page as it stands: comments, all attributes, templates, styles and scripts too.
+
+    Schemes count outside code and nested pages, directives outside the names of pseudo-elements.
+    """
+    if (found := artefact_leak(text, denied)) not in ("raw directive", "dangerous scheme"):
+        return found
+    code = html_ranges(text)
+    pseudo = [(a + x, a + y) for kind, a, b in code if kind == "style" for x, y in pseudo_ranges(text[a:b])]
+    return artefact_leak(text, denied, directives=masked(text, pseudo), schemes=masked(text, [(a, b) for _, a, b in code]))
+
+
 def scan_html(text: str, denied: Denied, nesting: int = 0, page_path: str = "") -> list[tuple[str, str]]:
-    """(where, problem) of a page: its text runs, readable attributes, public metas, links, styles, scripts and nested pages.
+    """(where, problem) of a page: its whole text, its text runs, readable attributes, public metas, links, styles, scripts and nested pages.
 
     Relative links start from page_path, the page's place in its site; without one the page lies at the root.
     """
     if nesting > MAX_NESTING:
         return [("srcdoc", "nested too deep")]
     page = read_html(text)
-    out = [(where, p) for where in ("runs", "readable") for t in page[where] if (p := leak(t, denied))]
+    out = [("text", p)] if (p := page_leak(text, denied)) else []
+    out += [(where, p) for where in ("runs", "readable") for t in page[where] if (p := leak(t, denied, READ_FRAGMENT))]
     out += [("metas", p) for m in page["metas"] if m["name"].lower() in PUBLIC_METAS and (p := leak(m["content"], denied))]
     out += [("urls", p) for u in page["urls"] if (p := built_url_problem(u, page_path, denied))]
     if len(page["style_blocks"]) > MAX_STYLE_BLOCKS or len(page["styles"]) > MAX_INLINE_STYLES:

@@ -26,7 +26,7 @@ from corvane.sources.scratch import stored
 LAYERS = [("src/content/", "content"), ("public/images/", "image"), ("dist/images/", "built-image"), ("dist/", "built"), ("src/", "runtime")]
 HTML, MARKDOWN = r"(?i)\.html?$", r"(?i)\.md$"
 SCRIPTS = frozenset({"js", "mjs", "cjs", "jsx", "ts", "mts", "cts", "tsx"})
-TEXT = r"(?i)\.(?:html?|md|css|[cm]?[jt]sx?|json|xml|svg|txt|csv|webmanifest)$"
+TEXT = r"(?i)\.(?:html?|md|css|astro|[cm]?[jt]sx?|json|xml|svg|txt|csv|webmanifest)$"
 
 
 def snapshot(spark: SparkSession, root: str | Path, layers: list[tuple[str, str]] = LAYERS) -> DataFrame:
@@ -59,19 +59,25 @@ def scan(files: DataFrame, denied: Denied) -> DataFrame:
 
     # All other text files: the strings and comments of scripts, the generated texts of style sheets, the keys and values of JSON, else the whole text.
     others = named.filter(~F.col("path").rlike(HTML) & ~F.col("path").rlike(MARKDOWN) & F.col("text").isNotNull())
-    leaks = others.select("path", canonical.judged(lambda t, p: file_leak(t, p, denied), F.col("text"), F.col("path")).alias("message")).filter("message is not null")
+    leaks = others.select("path", canonical.judged(lambda t, p, layer: file_leak(t, p, denied, layer), F.col("text"), F.col("path"), F.col("layer")).alias("message")).filter("message is not null")
     source = leaks.select(F.lit("layer.source").alias("check_id"), F.col("path").alias("record_id"), F.lit("content").alias("path"), "message")
     return checks.all_of(simple, paths, parsed("html", HTML, "layer.html"), parsed("markdown", MARKDOWN, "layer.markdown"), source)
 
 
-def file_leak(text: str, path: str, denied: Denied) -> str | None:
-    """The first leak in a text file that is no page and no entry, by its kind."""
+def file_leak(text: str, path: str, denied: Denied, layer: str | None = None) -> str | None:
+    """The first leak in a text file that is no page and no entry, by its kind; of what is built, in its whole text too."""
     end = path.rsplit(".", 1)[-1].lower()
     try:
+        if layer == "built":
+            styles = extract.masked(text, extract.pseudo_ranges(text)) if end == "css" else None
+            if found := canonical.artefact_leak(text, denied, strict=False, directives=styles, scan_schemes=end not in SCRIPTS):
+                return found
         if end in ("json", "webmanifest"):
             return canonical.json_leak(text, denied)
         if end == "css":
             found = [canonical.leak(t, denied, canonical.READ_FRAGMENT) for t in extract.css_parts(text)["content"]]
+        elif end == "astro":
+            found = extract.template_leaks(text, denied)
         elif end in SCRIPTS:
             found = extract.script_leaks(text, None, denied, jsx=end in ("jsx", "tsx"))
         else:

@@ -314,10 +314,29 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("page_id", F.size("urls").alias("n_links"))
 
 
+#: What html_problems plants in the pages it scans, by page_id: text that ends a page, and what the scan says of it.
+PLANTED = {
+    1: ("<!-- src1/the -->", (("text", "repository coordinate"),)),
+    2: ('<p title="drafts/x">x</p>', (("text", "local path"), ("readable", "local path"))),
+    3: ("<style>p{background:url(/drafts/x.png)}</style>", (("text", "local path"),)),
+    4: ("<p>java&#115;cript:x</p>", (("text", "dangerous scheme"), ("runs", "dangerous scheme"))),
+    5: ("<p>a ::box{b} c</p>", (("text", "raw directive"), ("runs", "raw directive"))),
+    6: ("<script>f('src1\\x2fthe')</script>", (("scripts", "repository coordinate"),)),
+    7: ("<p>note claim-7</p>", (("runs", "internal identifier"),)),
+    8: ('<a href="../../../../../x">y</a>', (("urls", "leads out of the site"),)),
+}
+PLANTED_STEPS = 11
+
+
 @query
 def html_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of whole pages, most of which have one planted at their end."""
     page = F.regexp_extract(_path(F.col("url")), r"^/*([^?#]*)", 1)
-    found = load(spark, sf_dir, "pages").select("page_id", F.explode(extract.problems(F.col("html"), DENIED, "html", page)).alias("p"))
+    planted = F.lit("")
+    for k, (html, _) in PLANTED.items():
+        planted = F.when(F.col("page_id") % PLANTED_STEPS == k, F.lit(html)).otherwise(planted)
+    html = F.concat(F.coalesce("html", F.lit("")), planted)
+    found = load(spark, sf_dir, "pages").select("page_id", F.explode(extract.problems(html, DENIED, "html", page)).alias("p"))
     return found.groupBy("page_id", "p.where", "p.problem").agg(F.count("*").alias("n"))
 
 

@@ -482,7 +482,7 @@ _LAYERED = "CASE doc_id % 6 WHEN 0 THEN 'src/content/d' || doc_id || '.md' WHEN
 @query(
     f"""WITH d AS (SELECT doc_id % 6 AS k, doc_id % 12 AS j, {_LAYERED} AS p FROM documents)
     SELECT 'layer.markdown' AS check_id, p AS record_id, 'html' AS path, 'not allowed' AS message FROM d WHERE k = 0
-    UNION ALL SELECT 'layer.html', p, 'runs', 'repository coordinate' FROM d WHERE k = 1
+    UNION ALL SELECT 'layer.html', p, unnest(['runs', 'text']), 'repository coordinate' FROM d WHERE k = 1
     UNION ALL SELECT 'layer.scheme', p, 'content', 'dangerous scheme' FROM d WHERE k = 2
     UNION ALL SELECT 'layer.source', p, 'content', 'dangerous scheme' FROM d WHERE k = 2
     UNION ALL SELECT 'layer.utf8', p, 'content', 'not UTF-8' FROM d WHERE k = 3

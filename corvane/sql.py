@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.queries import BUDGET
+from corvane.queries import BUDGET, PLANTED, PLANTED_STEPS
 
 _PATH = r"regexp_extract(url, '^[a-z]+://[^/?#]+(.*)$', 1)"
 
@@ -143,4 +143,5 @@ SQL = {
     "html_links": """
         SELECT page_id, len(regexp_extract_all(html, '(?i)<[a-z][^<>]*\\s(?:href|src)="')) AS n_links FROM pages""",
     "canonical_json": "SELECT event_id, '{' || chr(10) || '  \"k\": ' || (props ->> 'k') || chr(10) || '}' || chr(10) AS value, NULL AS error FROM events",
+    "html_problems": " UNION ALL ".join(f"SELECT page_id, '{where}' AS \"where\", '{problem}' AS problem, 1::BIGINT AS n FROM pages WHERE page_id % {PLANTED_STEPS} = {k}" for k, (_, found) in PLANTED.items() for where, problem in found),
 }

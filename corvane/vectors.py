@@ -164,7 +164,7 @@ VECTORS: dict[str, Vectors] = {
             ("acme⁄vault {n}", COORDINATE),
             ("acme/vaults{n} xacme/vault", None),
             ("the object-ring{n}", IDENTIFIER),
-            ("cl&percnt;61im&minus;s{n}", IDENTIFIER),
+            ("interl&percnt;75de&hyphen;q{n}", IDENTIFIER),
             ("an object {n}", None),
             ("in /home/me/x{n}", PATH),
             ("C:\\x{n} and", PATH),
@@ -209,8 +209,8 @@ VECTORS: dict[str, Vectors] = {
     "safe_url_vectors": Vectors(
         ("value", "error"),
         [
-            ("#note%2D{n}", "#note-{n}", None),
-            ("/book/%72ead/a-{n}/", "/book/read/a-{n}/", None),
+            ("#%78-{n}", "#x-{n}", None),
+            ("/book/med%69a/a-{n}/", "/book/media/a-{n}/", None),
             ("/book/objects/ring-{n}/#part-1", "/book/objects/ring-{n}/#part-1", None),
             ("/book/", "/book/", None),
             ("/book/sources/", "/book/sources/", None),
@@ -221,7 +221,7 @@ VECTORS: dict[str, Vectors] = {
             ("https://example.org/x?q={n}", "https://example.org/x?q={n}", None),
             ("http://example.org/{n}", None, PATH),
             ("https://u:p@example.org/{n}", None, "scheme, host or credentials"),
-            ("https&colon;&sol;&sol;e.org/{n}", "https://e.org/{n}", None),
+            ("https&#x3a;//e.org&sol;{n}", "https://e.org/{n}", None),
             ("https://example.org/a%20b{n}", None, "decoded control, blank or backslash"),
             ("https://example.org/%2{n}%", None, "control, blank, backslash or broken percent code"),
             ("#A{n}", None, "anchor"),
@@ -369,12 +369,12 @@ VECTORS: dict[str, Vectors] = {
         ("text", "links", "residual", "directives"),
         [
             ("# T{n}\n\nSee [a *b*](https://e.org/x_(y) \"t\").", "T{n} See a b.", "https://e.org/x_(y)", "", ""),
-            ("`::figure{id=\"x\"}`::interlude{id=\"y\"} {n}", '::figure{id="x"} ::interlude{id="y"} {n}', "", '::interlude{id="y"}', '::interlude{id="y"}'),
-            ("Visible ::fig**ure**{id=\"{n}\"}.", 'Visible ::figure{id="{n}"}.', "", '::figure{id="{n}"}', ""),
-            ("`:::private` and `:x[y]` {n}", ":::private and :x[y] {n}", "", "", ""),
-            ("%3A%3Aprivate%5Blabel%5D {n}", "%3A%3Aprivate%5Blabel%5D {n}", "", "::private[label]", ""),
+            ("`::map{id=\"m\"}` beside ::scale{of=\"s\"} {n}", '::map{id="m"} beside ::scale{of="s"} {n}', "", '::scale{of="s"}', '::scale{of="s"}'),
+            ("Look, ::ch*art*{ref=\"{n}\"} there", 'Look, ::chart{ref="{n}"} there', "", '::chart{ref="{n}"}', ""),
+            ("`:::aside` beside `:tip[z]` {n}", ":::aside beside :tip[z] {n}", "", "", ""),
+            ("%3A%3Ahidden%5Btext%5D {n}", "%3A%3Ahidden%5Btext%5D {n}", "", "::hidden[text]", ""),
             ("```js\n::note{a}\n```\n\n<https://f.org/{n}>", "::note{a} https://f.org/{n}", "https://f.org/{n}", "", ""),
-            ("Escaped \\::figure{id=\"{n}\"} prose", 'Escaped ::figure{id="{n}"} prose', "", "", ""),
+            ("Here \\::table{id=\"{n}\"} stays", 'Here ::table{id="{n}"} stays', "", "", ""),
             ("- one\n- *two* {n}\n\n> quote", "one two {n} quote", "", "", ""),
         ],
         _markdown,
@@ -382,7 +382,7 @@ VECTORS: dict[str, Vectors] = {
     # D2 with canonical links, as a check
     "reader_links": Vectors(
         ("links",),
-        [("[a](#note%2D{n}) [b](/book/%72ead/x-{n}/)", "#note-{n} /book/read/x-{n}/"), ("[a](/other/)", "scheme, host or credentials"), ("none {n}", "")],
+        [("[a](#%78-{n}) [b](/book/med%69a/x-{n}/)", "#x-{n} /book/media/x-{n}/"), ("[a](/other/)", "scheme, host or credentials"), ("none {n}", "")],
         lambda v: [canonical.judged(_links, v)],
     ),
     # D4
@@ -419,13 +419,22 @@ VECTORS: dict[str, Vectors] = {
         [
             ("<p>fine {n}</p>", ""),
             ("<p>acme/<b>vault</b></p>", "runs: repository coordinate"),
-            ('<a href="//h/x{n}">x</a>', "urls: network path"),
-            ('<iframe srcdoc="&lt;a href=&quot;java&#10;script:x&quot;&gt;"></iframe>', "srcdoc.urls: dangerous scheme"),
+            ('<a href="//h/x{n}">x</a>', "text: local path, urls: network path"),
+            ('<iframe srcdoc="&lt;a href=&quot;java&#10;script:x&quot;&gt;"></iframe>', "srcdoc.text: dangerous scheme, srcdoc.urls: dangerous scheme"),
             ("<style>p::before{content:'acme' '/vault'}</style>", "styles: repository coordinate"),
-            ("<script>// acme/vault\n</script>", "scripts: repository coordinate"),
+            ("<script>// acme/vault\n</script>", "scripts: repository coordinate, text: repository coordinate"),
             ('<script type="application/ld+json">{"a":1,"a":2}</script>', "scripts: repeated key"),
             ('<meta property="og:title" content="claim-{n}">', "metas: internal identifier"),
-            ('<img alt="drafts/x{n}">', "readable: local path"),
+            ('<img alt="drafts/x{n}">', "readable: local path, text: local path"),
+            ("<p>x</p><!-- see acme/vault {n} -->", "text: repository coordinate"),
+            ('<p data-from="acme\\vault" id="p{n}">x</p>', "text: repository coordinate"),
+            ('<input name="n{n}" value="acme/./vault">', "text: repository coordinate"),
+            ("<template><b>acme%2Fvault</b>{n}</template>", "text: repository coordinate"),
+            ("<style>/* acme/vault */ p{order:{n}}</style>", "text: repository coordinate"),
+            ('<style>p{background:url("/drafts/{n}.png")}</style>', "text: local path"),
+            ('<p>so ::note{id="{n}"} stays</p>', "runs: raw directive, text: raw directive"),
+            ("<p>vb&#115;cript:f{n}()</p>", "runs: dangerous scheme, text: dangerous scheme"),
+            ("<style>li::marker{content:'{n}'}</style><p onclick=\"f('x:{n}')\">x</p>", ""),
         ],
         _problems("html"),
     ),
@@ -453,6 +462,9 @@ VECTORS: dict[str, Vectors] = {
             ("importmap|{", "json", "not JSON"),
             ("text/plain|see acme/vault", "inert", COORDINATE),
             ("|f(<p>acme/vault</p>)", "javascript", COORDINATE),
+            ("|x = 'acme\\x2f' + y; z = 'ac\\u006de\\u{2f}vault{n}'; w = 'acme\\x2fvault'", "javascript", COORDINATE),
+            ("|a = `one ${f(`two ${'javascript' + `: {n}`} javascript:x`)} three`", "javascript", SCHEME),
+            ("|a = `drafts${'/'}x{n}`", "javascript", ""),
             ("text/x-template|calm {n}", "inert", ""),
         ],
         _script,

@@ -28,7 +28,19 @@ def test_tree_scan(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     got = sorted((r["check_id"], r["record_id"]) for r in layers.scan_tree(spark, tmp_path, DENIED).collect())
-    assert got == [("layer.html", "dist/index.html"), ("layer.image", "j.svg"), ("layer.markdown", "src/content/notes/b.md"), ("layer.scheme", "src/app.ts"), ("layer.source", "src/app.ts"), ("layer.utf8", "dist/bad.txt")]
+    assert got == [("layer.html", "dist/index.html"), ("layer.html", "dist/index.html"), ("layer.image", "j.svg"), ("layer.markdown", "src/content/notes/b.md"), ("layer.scheme", "src/app.ts"), ("layer.source", "src/app.ts"), ("layer.utf8", "dist/bad.txt")]
+
+
+def test_components_and_built_files_are_scanned_as_a_whole():
+    leak = lambda path, text, layer: layers.file_leak(text, path, DENIED, layer)
+    shown = "---\nconst x = 1;\n---\n<p>{x} drafts/y</p>"
+    assert leak("src/a.astro", shown, "runtime") == "local path"
+    assert leak("src/a.astro", "---\nconst x = 'java\\x73cript:y';\n---\n<p>fine</p>", "runtime") == "dangerous scheme"
+    assert leak("src/a.astro", "<p data-x='acme/vault'>", "runtime") == "repository coordinate"
+    assert leak("src/a.astro", "---\nimport X from '../x';\n---\n<X a={1}>fine</X>", "runtime") is None
+    assert leak("dist/a.js", "f(acme/vault)", "built") == "repository coordinate" and leak("src/a.js", "f(acme/vault)", "runtime") is None
+    assert leak("dist/a.css", "p::before{color:red}", "built") is None and leak("dist/a.css", "p{} /* ::note{x} */", "built") == "raw directive"
+    assert leak("dist/a.js", "x = {javascript: 1}", "built") is None
 
 
 @pytest.mark.parametrize(

@@ -71,14 +71,15 @@ def test_html():
     assert page["runs"] == ["ab", "c"] and page["urls"] == ["i.png", "j.png", "k.png", "o", "/r"] and page["readable"] == ["t"]
     assert page["scripts"] == ['var x="s"'] and page["style_blocks"] == ["p{}"]
     d = Denied(organisation="acme", repository="vault")
-    assert extract.scan_html('<iframe srcdoc="&lt;a href=&quot;java&#10;script:x&quot;&gt;"></iframe>', d) == [("srcdoc.urls", "dangerous scheme")]
+    assert extract.scan_html('<iframe srcdoc="&lt;a href=&quot;java&#10;script:x&quot;&gt;"></iframe>', d) == [("srcdoc.text", "dangerous scheme"), ("srcdoc.urls", "dangerous scheme")]
     assert extract.scan_html("<style>p::before{content:'acme' '/vault'}</style>", d) == [("styles", "repository coordinate")]
-    assert extract.scan_html("<script>// acme/vault\n</script>", d) == [("scripts", "repository coordinate")]
+    assert extract.scan_html("<script>// acme/vault\n</script>", d) == [("text", "repository coordinate"), ("scripts", "repository coordinate")]
 
 
 def test_all_links_and_public_metas_are_scanned(spark):
     d = Denied(organisation="acme", repository="vault", roots=("drafts",))
-    link = lambda u, page="": extract.scan_html(f'<a href="{u}">x</a>', d, page_path=page)
+    parts = lambda html, page="": [f for f in extract.scan_html(html, d, page_path=page) if f[0] != "text"]
+    link = lambda u, page="": parts(f'<a href="{u}">x</a>', page)
     for url, problem in {
         "/acme/vault": "repository coordinate",
         "#acme%2Fvault": "repository coordinate",
@@ -96,8 +97,8 @@ def test_all_links_and_public_metas_are_scanned(spark):
         assert link(url) == [], url
     assert link("../../x", "en/notes/a.html") == [] and link("../../../x", "en/notes/a.html") == [("urls", "leads out of the site")]
     for meta in ('property="og:title"', 'name="Description"', 'itemprop="name description"'):
-        assert extract.scan_html(f'<meta {meta} content="acme/vault">', d) == [("metas", "repository coordinate")]
-    assert extract.scan_html('<meta name="viewport" content="acme/vault">', d) == []
+        assert parts(f'<meta {meta} content="acme/vault">') == [("metas", "repository coordinate")]
+    assert parts('<meta name="viewport" content="acme/vault">') == []
     df = spark.createDataFrame([("<a href='../x'>", "a/b"), ("<a href='../x'>", "b"), (None, None)], "t string, page string")
     assert [len(r[0]) for r in df.select(extract.problems(F.col("t"), d, "html", F.col("page"))).collect()] == [0, 1, 0]
 
