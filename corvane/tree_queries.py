@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import canonical, digests, paths
 from corvane.operators import checks, digest_tree, json_values, reports, stretches
-from corvane.plans import capture
+from corvane.plans import capture, release
 from corvane.queries import load
 from corvane.sources import collections, release_tree, scratch, sinks
 from corvane.sources.store import Published, Store
@@ -204,14 +206,17 @@ def _event() -> str:
     return _EVENT.replace("\\/", "\\\\/")
 
 
+_NOTE = """CASE WHEN conv_id % 13 = 0 THEN '{"k":' WHEN conv_id % 17 = 0 THEN '[{"a":1,"a":2}]' WHEN conv_id % 10 = 0 THEN '{"by":"' || coalesce(role, '') || '","notes":["acme/vault","' || turn || '"]}' WHEN conv_id % 10 = 1 THEN '{"drafts/x":' || turn || '}' ELSE '{"k":["' || turn || ' - of ' || conv_id || '"]}' END"""
+_NOTE_ID = "conv_id || '-' || turn"
+
+
 @query(
-    """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'not JSON' WHEN event_id % 17 = 0 THEN 'repeated key' WHEN event_id % 10 = 0 THEN 'repository coordinate' ELSE 'local path' END AS leak
-    FROM events WHERE event_id % 13 = 0 OR event_id % 17 = 0 OR event_id % 10 IN (0, 1)"""
+    f"""SELECT {_NOTE_ID} AS id, CASE WHEN conv_id % 13 = 0 THEN 'not JSON' WHEN conv_id % 17 = 0 THEN 'repeated key' WHEN conv_id % 10 = 0 THEN 'repository coordinate' ELSE 'local path' END AS leak
+    FROM conversations WHERE conv_id % 13 = 0 OR conv_id % 17 = 0 OR conv_id % 10 IN (0, 1)"""
 )
 def json_text_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaks in the keys and strings of events' properties, each different text judged once."""
-    events = load(spark, sf_dir, "events").selectExpr("event_id", f"{_event()} AS j")
-    return json_values.leaks(events, "event_id", "j", DENIED)
+    """Leaks in the keys and strings of JSON notes on turns, each different text judged once."""
+    return json_values.leaks(load(spark, sf_dir, "conversations").selectExpr(f"{_NOTE_ID} AS id", f"{_NOTE} AS j"), "id", "j", DENIED)
 
 
 _HIDDEN = "CASE page_id % 5 WHEN 0 THEN 'acme%2Fvault' WHEN 1 THEN 'caf%C3%A9' WHEN 2 THEN '%ff' WHEN 3 THEN '&#x41;&#66;' ELSE 'plain' END"
@@ -248,3 +253,40 @@ def snapshot_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = after.unionByName(rows.filter("doc_id % 101 = 0").withColumn("path", F.concat(F.lit("new/"), F.col("doc_id").cast("string"))))
     values = ["size", "source"]
     return digest_tree.diff(digest_tree.take(rows, "path", values, "before"), digest_tree.take(after, "path", values, "after"))
+
+
+# --- bound releases
+
+
+def _pages_released(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A release for a hundred pages: its manifest, with the digests that belong to its files, and the files."""
+    place = f"'{paths.CONTENT_ROOT}/media/p' || page_id || '.svg'"
+    files = load(spark, sf_dir, "pages").selectExpr("'r' || CAST(floor(page_id / 100) AS INT) AS release", f"{place} AS path", "CAST('<svg>' || page_id % 7 || '</svg>' AS BINARY) AS content")
+    file = F.struct(F.encode("path", "UTF-16BE").alias("key"), F.struct("path", F.lit("image").alias("kind"), F.octet_length("content").cast("long").alias("byteLength"), digests.sha256(F.col("content")).alias("sha256")).alias("f"))
+    listed = files.groupBy("release").agg(F.transform(F.sort_array(F.collect_list(file)), lambda x: x["f"]).alias("files"))
+    project = release.Project()
+    payload = digests.streamed_digests(files, project.payload_domain).withColumnRenamed("digest", "readerPayloadDigest")
+    none = F.lit(None).cast("struct<algorithm:string,format:string,digest:string>")
+    m = listed.join(payload, "release").select(F.col("release").alias("releaseId"), "readerPayloadDigest", "files", F.struct(F.lit(3).alias("schemaVersion"), none.alias("contentBinding")).alias("reviewAttestation"))
+    json = release.unbound(m).select("release", canonical.canonical_json_text(F.col("json"))["value"].alias("content"))
+    whole = digests.streamed_digests(files, project.release_domain, json).withColumnRenamed("release", "releaseId")
+    odd = F.substring("releaseId", 2, 20).cast("long") % 2 == 1
+    digest = F.when(odd, F.sha2("digest", 256)).otherwise(F.col("digest"))
+    binding = F.struct(F.lit("sha256").alias("algorithm"), F.lit("release-v1").alias("format"), digest.alias("digest"))
+    return m.join(whole, "releaseId").withColumn("reviewAttestation", F.col("reviewAttestation").withField("contentBinding", binding)).drop("digest"), files
+
+
+@query(
+    f"""SELECT 'integrity.binding' AS check_id, 'r' || r AS record_id, 'reviewAttestation.contentBinding' AS path, 'another release digest' AS message FROM (SELECT DISTINCT CAST(floor(page_id / 100) AS INT) AS r FROM pages) WHERE r % 2 = 1
+    UNION ALL SELECT 'integrity.svg', '{paths.CONTENT_ROOT}/media/p' || page_id || '.svg', 'content', 'not an approved SVG' FROM pages WHERE page_id % 7 IN (5, 6)
+    UNION ALL SELECT 'integrity.sha256', '{paths.CONTENT_ROOT}/media/p' || page_id || '.svg', 'sha256', 'another digest' FROM pages WHERE page_id % 210 = 3
+    UNION ALL SELECT 'integrity.payload', 'r' || CAST(floor(page_id / 100) AS INT), 'readerPayloadDigest', 'another payload digest' FROM pages WHERE page_id % 210 = 3
+    UNION ALL SELECT 'integrity.binding', 'r' || CAST(floor(page_id / 100) AS INT), 'reviewAttestation.contentBinding', 'another release digest' FROM pages WHERE page_id % 210 = 3 AND CAST(floor(page_id / 100) AS INT) % 2 = 0"""
+)
+def release_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases bound to their files: odd ones to another digest, some with a changed file, and images of which five are approved."""
+    manifest, files = _pages_released(spark, sf_dir)
+    number = F.regexp_extract("path", r"p(\d+)\.svg$", 1).cast("long")
+    found = files.withColumn("content", F.when(number % 210 == 3, F.lit("<svg>4</svg>").cast("binary")).otherwise(F.col("content")))
+    approved = tuple(hashlib.sha256(f"<svg>{k}</svg>".encode()).hexdigest() for k in range(5))
+    return release.check_integrity(manifest, found, approved_svg=approved)

@@ -220,3 +220,16 @@ def test_release_binding_and_svg(spark):
     check = lambda binding, *svg: rows(release.check_integrity(spark.createDataFrame([make(("sha256", "v1", binding))], release.MANIFEST), files, approved_svg=svg), "check_id")
     assert check(whole) == [] and check(none) == [("integrity.binding",)]
     assert check(whole, file[3]) == [] and check(whole, none) == [("integrity.svg",)]
+
+
+def test_urls_of_records_are_judged_by_their_references(spark):
+    d = Denied(organisation="acme", repository="vault", roots=("drafts",))
+    urls = {"https://e.org/a?b=c#d": True, "https://e.org:8080/": True, "http://e.org/": False, "https://u@e.org/": False, "https://e.org/acme/vault": False, "https://e.org/%61cme%2Fvault": False, "https://e.org/ACME/vaults": True, "https://e.org/%zz": False, "https://e.org/caf%C3%A9": True, "x": False}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r[0]: r[1] for r in df.select("url", release.public_url(F.col("url"), d)).collect()} == urls
+    broken = lambda denied: {r["record_id"] for r in release.check_rows({"sources": source_rows(spark, urls)}, denied).filter("check_id = 'source.url'").collect()}
+    assert len(broken(d)) == sum(not ok for ok in urls.values()) and len(broken(Denied())) == len(broken(d)) - 2
+
+
+def source_rows(spark, urls):
+    return spark.createDataFrame([(f"source-{k}", ["x"], "t", 2000, "book", "p", None, None, None, None, None, u, []) for k, u in enumerate(urls)], release.SOURCE)
