@@ -140,12 +140,12 @@ def multiset_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def adjacent_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.out_of_order(load(spark, sf_dir, "events"), ["user_id"], F.col("event_id"), F.col("value"), strict=False).select("event_id", "user_id", "previous", "value")
+    return checks.out_of_order(load(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["user_id"], F.col("event_id"), F.col("value"), strict=False).select("event_id", "user_id", "previous", "value")
 
 
 @query
 def running_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.over_budget(load(spark, sf_dir, "documents"), ["lang", "source"], F.col("doc_id"), F.col("n_chars"), BUDGET).select("doc_id", "running")
+    return checks.over_budget(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), ["lang", "source"], F.col("doc_id"), F.col("n_chars"), BUDGET).select("doc_id", "running")
 
 
 @query
