@@ -17,14 +17,15 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import canonical, digests, paths
 from corvane.functions import text as T
 from corvane.functions.canonical import Denied
 from corvane.operators import checks, links, snapshots
-from corvane.sources import tree
+from corvane.sources import collections, tree
+from corvane.sources.scratch import stored
 
 #: Fixed value lists.
 SOURCE_TYPES = ("journal-article", "book", "book-chapter", "museum-record", "museum-page", "institutional-page", "archive", "dataset")
@@ -392,6 +393,29 @@ def check_loaded(manifests: DataFrame, payload: DataFrame) -> DataFrame:
     return both.select(F.lit("loaded.manifest").alias("check_id"), F.lit("manifest").alias("record_id"), F.lit("manifest").alias("path"), "message")
 
 
+#: Schemas of the folders of records; entries have bodies and are read by collections.entries().
+SCHEMAS = {"notes": NOTE, "sources": SOURCE, "objects": OBJECT, "media": MEDIA}
+
+
+def load_records(spark: SparkSession, root: str, names: tuple[str, ...] = tuple(SCHEMAS)) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, violations): the records in the folders of a release tree, and the files that hold none.
+
+    A file must be strict JSON in UTF-8 and bear its record's id as its name; one that is not JSON is in no table, one with
+    another name is in its table all the same.
+    """
+    tables, found = {}, []
+    for name in names:
+        files = collections.raw_files(spark, f"{root}/{paths.CONTENT_ROOT}/{name}", "*.json")
+        read = files.select("path", F.col("id").alias("stem"), F.col("text").alias("raw"), F.from_json("text", SCHEMAS[name], {"allowSingleQuotes": "false"}).alias("record"))
+        broken = F.when(F.col("raw").isNull(), "not UTF-8").otherwise(checks.json_problem(F.col("raw")))
+        read = stored(read.withColumn("broken", broken), f"records-{name}")  # so that each file is read once
+        tables[name] = read.filter("broken is null").select("record.*")
+        wrong = read.filter("broken is not null").select(F.lit("record.json").alias("check_id"), F.col("stem").alias("record_id"), F.lit(name).alias("path"), F.col("broken").alias("message"))
+        named = read.filter("broken is null and not (stem <=> record.id)").select(F.lit("file.id").alias("check_id"), F.coalesce("record.id", "stem").alias("record_id"), F.lit("id").alias("path"), F.lit("not the name of its file").alias("message"))
+        found += [wrong, named]
+    return tables, checks.all_of(*found)
+
+
 def check_file_ids(records: DataFrame, path: str = "path", record_id: str = "id") -> DataFrame:
     """A record's id is the stem of its file's name, and the file is one of the payload."""
     kind = paths.payload_kind(F.col(path))

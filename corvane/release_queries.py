@@ -607,3 +607,30 @@ def collections_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
         row("summary", counts, F.col("n")),
         row("overlay", texts, F.col("fields")["title"]),
     )
+
+
+def _from_files() -> str:
+    rules = {name: SQL[f"release_{name}"] for name in ("sources", "objects", "media")}
+    whole = [f"SELECT '{c}' AS check_id, id AS record_id, '{p}' AS path, '{m}' AS message FROM {record_sql('notes')} WHERE n % 59 <> 0 AND NOT coalesce({holds}, false)" for c, p, holds, m in RULES_SQL["notes"]]
+    broken = f"SELECT 'record.json' AS check_id, id AS record_id, 'notes' AS path, CASE WHEN n % 2 = 0 THEN 'syntax' ELSE 'repeated key' END AS message FROM {record_sql('notes')} WHERE n % 59 = 0"
+    named = f"SELECT 'file.id' AS check_id, id AS record_id, 'id' AS path, 'not the name of its file' AS message FROM {record_sql('notes')} WHERE n % 61 = 0 AND n % 59 <> 0"
+    return _union([*rules.values(), *whole, broken, named])
+
+
+@query(_from_files())
+def release_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as files of a committed tree, loaded from its folders and judged; some files are broken and some have another name."""
+    root = scratch.scratch_path(spark, "records")
+    made = []
+    for name, schema in release.SCHEMAS.items():
+        columns = [c.strip("`") for c in spark.createDataFrame([], schema).columns]
+        rows = BUILT[name](spark, sf_dir)
+        content, stem = F.to_json(F.struct(*columns)), F.col("id")
+        if name == "notes":
+            content = F.when(F.col("n") % 59 == 0, F.when(F.col("n") % 2 == 0, F.lit('{"id": ')).otherwise(F.lit('{"id":1,"id":2}'))).otherwise(content)
+            stem = F.when((F.col("n") % 61 == 0) & (F.col("n") % 59 != 0), F.concat(F.lit("other-"), "id")).otherwise(stem)
+        made.append(rows.select(F.concat(F.lit(f"{ROOT}/{name}/"), stem, F.lit(".json")).alias("path"), content.alias("content")))
+    sinks.write_files(checks.all_of(*made), root)
+    tables, unread = release.load_records(spark, root)
+    judged = [checks.violations(tables[name], F.col("id"), release.RULES[name]()) for name in tables]
+    return checks.all_of(unread, *judged)

@@ -36,14 +36,16 @@ ALLOWED = {"region": REGIONS, "kind": KINDS, "evidence": EVIDENCE}
 def raw_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, id, length, text) of whole files below a folder; the content column is pruned where it isn't used.
 
-    A folder that is a committed release tree, or one directly below it, is read by its commit.
+    A folder that is a committed release tree, or lies in one, is read by its commit.
     """
-    for root, under in ((folder, ""), (folder.rpartition("/")[0], folder.rpartition("/")[2] + "/")):
-        if root and scratch.exists(spark, f"{root}/{release_tree.COMMIT}"):
-            wanted = F.col("path").startswith(under) & F.col("path").like(pattern.replace("*", "%"))
-            found = release_tree.read(spark, root).filter(wanted).filter("kind = 'file'")
-            files = found.select(F.concat(F.lit(f"{root}/"), "path").alias("path"), F.col("size").alias("length"), "content")
-            break
+    root, under = folder.rstrip("/"), ""
+    while root and not root.endswith((":", "/")) and not scratch.exists(spark, f"{root}/{release_tree.COMMIT}"):
+        root, _, last = root.rpartition("/")
+        under = f"{last}/{under}"
+    if root and not root.endswith((":", "/")):
+        wanted = F.col("path").startswith(under) & F.col("path").like(pattern.replace("*", "%"))
+        found = release_tree.read(spark, root).filter(wanted).filter("kind = 'file'")
+        files = found.select(F.concat(F.lit(f"{root}/"), "path").alias("path"), F.col("size").alias("length"), "content")
     else:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
