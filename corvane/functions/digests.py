@@ -1,4 +1,10 @@
-"""Framing and digests as built-in expressions."""
+"""Framing and digests as built-in expressions.
+
+Edge cases: a null content has a null digest by itself and counts as empty within a release; empty
+contents are framed as such; files that repeat a path count as often as they stand, in any
+order among themselves; a release without files has no row; contents pass their hash one by
+one, so a release may have any size.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Column functions on paths, routes and ids. All are built-in expressions."""
+"""Column functions on paths, routes and ids. All are built-in expressions.
+
+Edge cases: a null path gives null; an empty one is the root of its base; names between
+slashes may be empty, which is no exact path; each row is judged by itself.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Column functions on text. All are built-in expressions."""
+"""Column functions on text. All are built-in expressions.
+
+Edge cases: a null text gives null (no words, no label, no key); an empty one has no words, at
+least one reading minute all the same, and is its own escape; texts may have any length; each
+row is judged by itself, so ties and repeated rows don't arise.
+"""
 
 from __future__ import annotations
 
