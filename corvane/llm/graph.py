@@ -1,4 +1,8 @@
-"""Connected components of an edge table, without leaving Spark."""
+"""Connected components of an edge table, without leaving Spark.
+
+Edge cases: an empty table has no nodes; null ends are left out; repeated edges and loops
+change nothing; a component may have any size; nodes are numbers, so ties don't arise.
+"""
 
 from __future__ import annotations
 

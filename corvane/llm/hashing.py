@@ -1,4 +1,9 @@
-"""64-bit hashes of words and shingles, for whole blocks of texts at once."""
+"""64-bit hashes of words and shingles, for whole blocks of texts at once.
+
+Edge cases: a null or empty text has no words and no shingles; one with fewer words than a
+shingle has its whole sequence as one; texts of any length are hashed in slices that end
+with a word; bytes that aren't UTF-8 are hashed as they are.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""A bounded sample of labelled rows to learn from."""
+"""A bounded sample of labelled rows to learn from.
+
+Edge cases: null ids and labels don't count; of several labels of an id the largest holds;
+ids of equal hash are taken by id; null texts are empty ones; a document that repeats its
+id is in the sample as often as it stands; without labelled rows the sample is empty.
+"""
 
 from __future__ import annotations
 
