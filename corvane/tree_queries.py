@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import canonical, digests, paths
 from corvane.operators import checks, digest_tree, json_values, reports, stretches
 from corvane.plans import capture, release
+from corvane.queries import DENIED as DENIED_IN_TABLES
 from corvane.queries import load
 from corvane.sources import collections, release_tree, scratch, sinks
 from corvane.sources.store import Published, Store
@@ -255,6 +256,13 @@ def snapshot_tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_tree.diff(digest_tree.take(rows, "path", values, "before"), digest_tree.take(after, "path", values, "after"))
 
 
+@query(SQL_OF["private_sentinel"])
+def private_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """private_sentinel over whole documents, by stretches."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return stretches.leaks(docs, "doc_id", "text", DENIED_IN_TABLES)
+
+
 # --- bound releases
 
 
