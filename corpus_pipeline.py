@@ -11,27 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import decontaminate, jaccard, packing, quality, repeats
-from corvane.llm.common import stored, table
+from corvane.llm.common import small_batches, stored, table
 from corvane.llm.queries import TOKENIZER
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least the threshold."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of passages of 200 bytes or more; the first copy stays."""
+    small_batches(spark)
     return repeats.drop_repeats(docs)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of the benchmark; documents made mostly of them go."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,7 +43,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token sequences of bounded length."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    small_batches(spark)
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), reuse=False)
 
 
 STAGES = [

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from corvane.sources.scratch import make_folder, scratch_path, shared_dir, stored
 
-__all__ = ["binary_from", "blocks", "byte_column", "discard", "make_folder", "named", "release_memory", "scratch_path", "shared_dir", "stored", "table"]
+BATCH_BYTES = 8 << 20
+
+__all__ = ["binary_from", "blocks", "byte_column", "discard", "make_folder", "named", "release_memory", "scratch_path", "shared_dir", "small_batches", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +66,11 @@ def binary_from(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get their rows in Arrow batches of BATCH_BYTES at most: a worker holds a batch and what it makes of it, the JVM the next one."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def release_memory() -> None:
     """Give what a task no longer uses back to the system: Python workers outlive tasks, and the next stage needs the memory."""
     gc.collect()

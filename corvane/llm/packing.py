@@ -238,8 +238,11 @@ def _pack(docs: list[Held], first: int, limit: int, end: bool) -> tuple[list[pa.
     return out, carried, last + 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE_TOKENS) -> DataFrame:
-    """A row per piece: sequence_id, offset in it, doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit)."""
+def pack(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE_TOKENS, reuse: bool = True) -> DataFrame:
+    """A row per piece: sequence_id, offset in it, doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit).
+
+    reuse keeps what a worker knows of stretches for its next task; without it the memory is free for other work.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
@@ -259,6 +262,9 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = SEQUENCE_TOKENS) ->
         if held:
             yield from _pack(held, first, limit, True)[0]
         held = []
+        if not reuse:
+            enc = None
+            _encoders.clear()
         release_memory()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
