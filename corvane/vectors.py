@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import canonical, paths
+from corvane.functions import batches, canonical, paths
 from corvane.functions import text as T
 from corvane.operators import extract
 
@@ -32,7 +32,8 @@ class Vectors:
     kinds: tuple[str, ...] = ()
 
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+        batches.small_batches(spark)
+        part = batches.dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"))
         value = F.element_at(F.array(*[F.lit(r[0]) for r in self.rows]), (F.pmod("p_partkey", F.lit(len(self.rows))) + 1).cast("int"))
         given = part.select("p_partkey", F.replace(value, F.lit("{n}"), F.col("p_partkey").cast("string")).alias("v"))
         return given.select("p_partkey", *[c.alias(n) for c, n in zip(self.apply(F.col("v")), self.columns)])
