@@ -34,12 +34,13 @@ def sitemap_text(entries: DataFrame) -> DataFrame:
     return entries.agg(F.concat(F.lit(HEADS["urlset"]), body, F.lit("</urlset>")).alias("value"))
 
 
-def sitemap_files(entries: DataFrame, origin: str, limit: int = SITEMAP_ENTRIES) -> DataFrame:
+def sitemap_files(entries: DataFrame, origin: str, limit: int = SITEMAP_ENTRIES, nested: bool = True) -> DataFrame:
     """(path, content) of sitemaps over reports.sitemap() rows, in order of route and locale.
 
     Up to `limit` entries are one sitemap.xml; more are sitemap-1.xml and so on, and sitemap.xml is their index. As an
-    index has the same limit, that many sitemaps have an index of their own, named by the one above. Positions come from
-    sorted ranges, so a task holds the entries of one file. Without entries there is one empty sitemap.
+    index has the same limit, that many sitemaps have an index of their own, named by the one above. The protocol of
+    sitemaps knows no index of indexes: without `nested`, sitemaps that one index can't name stand there without any. Positions
+    come from sorted ranges, so a task holds the entries of one file. Without entries there is one empty sitemap.
     """
     level = reports.positioned(entries, F.col("route"), F.col("locale")).select((F.col("position") - 1).alias("at"), F.col("entry").alias("element"))
     spark, rows, prefix, kind = entries.sparkSession, [], "sitemap", "urlset"
@@ -53,10 +54,11 @@ def sitemap_files(entries: DataFrame, origin: str, limit: int = SITEMAP_ENTRIES)
             return spark.range(1).select(F.lit("sitemap.xml").alias("path"), F.lit(head + tail).alias("content"))
         files = level.groupBy(F.floor(F.col("at") / limit).alias("file")).agg(F.concat(F.lit(head), body, F.lit(tail)).alias("content"))
         rows.append(files.select(name.alias("path"), "content"))
-        if single:
+        sitemaps = -(-count // limit)
+        if single or not nested and sitemaps > limit:
             return reduce(DataFrame.unionByName, rows)
         place = F.concat(F.lit(f"<sitemap><loc>{origin}/{prefix}-"), (F.col("id") + 1).cast("string"), F.lit(".xml</loc></sitemap>"))
-        level = spark.range(-(-count // limit)).select(F.col("id").alias("at"), place.alias("element"))
+        level = spark.range(sitemaps).select(F.col("id").alias("at"), place.alias("element"))
         prefix, kind = f"{prefix}-index", "sitemapindex"
 
 

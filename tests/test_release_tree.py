@@ -273,3 +273,12 @@ def test_sitemaps_are_split_with_an_index(spark):
     assert len([p for p in nested if p.startswith("sitemap-index-")]) == 3 and nested["sitemap.xml"].count("<sitemap>") == 3
     assert "".join(inner(nested[f"sitemap-index-{k}.xml"], "sitemapindex") for k in (1, 2, 3)).count("sitemap-") == 12
     assert rows(sinks.sitemap_files(entries.limit(0), "https://e.org"), "path") == [("sitemap.xml",)]
+
+
+def test_sitemaps_beyond_one_index_stand_without_any(spark):
+    routes = spark.range(25).select(F.concat(F.lit("/r"), F.format_string("%02d", "id"), F.lit("/")).alias("route"))
+    entries = reports.sitemap(routes, "https://e.org", ("ru", "en"))
+    files = {r["path"]: r["content"] for r in sinks.sitemap_files(entries, "https://e.org", limit=4, nested=False).collect()}
+    assert sorted(files) == sorted(f"sitemap-{k}.xml" for k in range(1, 14))
+    assert sum(c.count("<url>") for c in files.values()) == 50
+    assert "sitemap.xml" in {r["path"] for r in sinks.sitemap_files(entries, "https://e.org", limit=10, nested=False).collect()}
