@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions import canonical, digests, paths
+from corvane.functions import batches, canonical, digests, paths
 from corvane.operators import checks, links, reports, snapshots
 from corvane.plans import layers, release
 from corvane.queries import load
@@ -585,7 +585,7 @@ def percent_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def collections_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file a record, written by tasks and read back as typed collections; broken files have no record."""
-    s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    s = batches.dealt(load(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
     key = F.col("s_suppkey").cast("string")
     myth = F.to_json(F.struct(F.col("s_name").alias("title"), F.lit("x").alias("unknown"), F.array(F.lit("s1")).alias("citations")))
     source = F.when(F.col("s_suppkey") % 3 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("s_name").alias("title"))))
@@ -624,7 +624,7 @@ def release_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = []
     for name, schema in release.SCHEMAS.items():
         columns = [c.strip("`") for c in spark.createDataFrame([], schema).columns]
-        rows = BUILT[name](spark, sf_dir)
+        rows = batches.dealt(BUILT[name](spark, sf_dir))
         content, stem = F.to_json(F.struct(*columns)), F.col("id")
         if name == "notes":
             content = F.when(F.col("n") % 59 == 0, F.when(F.col("n") % 2 == 0, F.lit('{"id": ')).otherwise(F.lit('{"id":1,"id":2}'))).otherwise(content)

@@ -80,7 +80,7 @@ class LocalStore:
     """A folder that all machines see as local."""
 
     def __init__(self, root: str) -> None:
-        self.root = root
+        self.root, self.made = root, ""
 
     def at(self, path: str) -> str:
         return f"{self.root}/{path}" if path else self.root
@@ -130,10 +130,15 @@ class LocalStore:
         return (data, None) if same else (None, CHANGED)
 
     def write(self, path: str, data: bytes) -> None:
-        """A new file; one that is there is an error."""
-        os.makedirs(os.path.dirname(self.at(path)), exist_ok=True)
-        with open(self.at(path), "xb") as out:
-            out.write(data)
+        """A new file; one that is there is an error. The folder of the file before isn't made again."""
+        folder = os.path.dirname(self.at(path))
+        if folder != self.made:
+            os.makedirs(folder, exist_ok=True)
+            self.made = folder
+        with open(self.at(path), "xb", buffering=0) as out:
+            left = memoryview(data)
+            while left:
+                left = left[out.write(left) :]
 
     def replace(self, path: str, data: bytes) -> None:
         """A file that appears as a whole, in place of one that may be there."""

@@ -25,3 +25,15 @@ def test_vectors_of_one_row_group_are_judged_by_all_cores(spark, name):
     got = vectors.QUERIES[name](spark, FOLDER)
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == batches.BATCH_BYTES
+
+
+def test_files_of_a_tree_are_written_by_all_cores(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corvane.sources import release_tree
+
+    rows = batches.dealt(spark.range(400).coalesce(1)).select(F.concat(F.lit("a/b/"), F.col("id").cast("string")).alias("path"), F.col("id").cast("string").alias("content"))
+    release_tree.write(rows, tmp_path)
+    parts = release_tree.commit_of(release_tree.store_of(str(tmp_path)))["parts"]
+    assert len(parts) >= spark.sparkContext.defaultParallelism
+    assert release_tree.verify(spark, tmp_path).count() == 0 and release_tree.read(spark, tmp_path).count() == 400
