@@ -78,7 +78,7 @@ def _variants(v: Column) -> list[Column]:
 
 def _markdown(v: Column) -> list[Column]:
     p = extract.markdown_parts(v)
-    return [p["text"], F.array_join(p["links"], " "), F.array_join(extract.residual(v), " "), F.array_join(p["directives"], " ")]
+    return [p["text"], F.array_join(p["links"], " "), F.array_join(p["residual"], " "), F.array_join(p["directives"], " ")]
 
 
 def _html(v: Column) -> list[Column]:
