@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,89 +39,77 @@ END_ID = 2
 GROUP_TOKENS = 4_000_000
 GROUP_DOCS = 50_000
 LINEAR, QUADRATIC = 1.0, 1.0 / SEQUENCE_TOKENS
-#: Entries of the caches of stretches and of their letters, after which a cache starts anew, and the longest stretch that is kept.
+#: Entries of the caches of stretches and of their letters, after which a cache starts anew with the next texts, and the longest stretch that is kept.
 CACHE_WORDS, CACHE_LETTERS, CACHE_LENGTH = 300_000, 600_000, 48
 SCHEMA = "sequence_id long, offset long, doc_id long, start long, length long, doc_tokens long, ids binary"
 
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: what stands for each byte that isn't a printable Latin-1 character."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {byte: chr(256 + k) for k, byte in enumerate(x for x in range(256) if x not in shown)}
+
+
+class _Stretches(dict):
+    """Token ids by stretch; one that isn't known is encoded, and kept unless it is long."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        self.encode = encode
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.encode(stretch)
+        if len(stretch) <= CACHE_LENGTH:
+            self[stretch] = ids
+        return ids
+
+
 class WordEncoder:
     """Token ids of texts; the ids of a stretch between spaces are computed once and kept.
 
     The tokenizer splits at white space before anything else, so the ids of a
-    text are those of its stretches end to end. Stretches of Latin letters and
-    punctuation marks are split once more, as the tokenizer does, and their
-    letters are encoded many at a time; all others are encoded as they are.
+    text are those of its stretches end to end. It also splits letters from the
+    punctuation marks behind them: Latin letters, once lower-case and in the
+    byte-level alphabet, are one word for its model. All other stretches are
+    encoded as they are.
     """
 
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*#%&$|]*)")
+    latin, marks = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,!?;:*#%&$|"
+    bytes_as_letters = _byte_letters()
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-        self.long: list[tuple[str, str]] = []
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words = _Stretches(self._stretch)
+        self.letters = _Stretches(self._letters)
+        self.ends = _Stretches(self._encode)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, stretches: set[str]) -> None:
-        split, rest = [], []
-        for s in stretches:
-            m = self.plain.fullmatch(s)
-            if m:
-                split.append((s, m[1].lower(), m[2]))
-            else:
-                rest.append(s)
-        new = list({x for _, x, _ in split if x not in self.letters})
-        for k in range(0, len(new), 4000):
-            part = new[k : k + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):
-                raw, at = ids.tobytes(), 0
-                for x, end in zip(part, (ends * 4).tolist()):
-                    self.letters[x] = raw[at:end]
-                    at = end
-            else:
-                self.letters.update((x, self._encode(x)) for x in part)
-        for s, x, marks in split:
-            if len(s) > CACHE_LENGTH:
-                self.long.append((s, x))
-                self.words[s] = self.letters[x] + self._encode(marks)
-                continue
-            if marks not in self.marks:
-                self.marks[marks] = self._encode(marks)
-            self.words[s] = self.letters[x] + self.marks[marks]
-        for s in rest:
-            self.words[s] = self._encode(s)
-            if len(s) > CACHE_LENGTH:
-                self.long.append((s, s))
+    def _letters(self, word: str) -> bytes:
+        """Of a word of lower-case Latin letters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.bytes_as_letters)
+        ids = [t.id for t in self.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _stretch(self, stretch: str) -> bytes:
+        word = stretch.rstrip(self.marks)
+        if not self.latin.fullmatch(word):
+            return self._encode(stretch)
+        ids = self.letters[word.lower()]
+        return ids if len(word) == len(stretch) else ids + self.ends[stretch[len(word) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # Emptied only here, so that a batch finds all its stretches however many they are.
-        if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
-        if len(self.letters) > CACHE_LETTERS:
-            self.letters = {}
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = set().union(*split) - self.words.keys()
-        if new:
-            self._learn(new)
+        for cache, most in ((self.words, CACHE_WORDS), (self.letters, CACHE_LETTERS), (self.ends, CACHE_WORDS)):
+            if len(cache) > most:
+                cache.clear()
         get = self.words.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for s, x in self.long:  # kept for this batch only, so the caches are bounded in bytes too
-            del self.words[s]
-            self.letters.pop(x, None)
-        self.long.clear()
-        return out
+        return [b"".join(map(get, x.replace("\n", " ").split(" "))) for x in texts]
 
 
 def encoder(path: str) -> WordEncoder:
