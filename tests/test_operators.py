@@ -233,3 +233,16 @@ def test_urls_of_records_are_judged_by_their_references(spark):
 
 def source_rows(spark, urls):
     return spark.createDataFrame([(f"source-{k}", ["x"], "t", 2000, "book", "p", None, None, None, None, None, u, []) for k, u in enumerate(urls)], release.SOURCE)
+
+
+def test_a_page_is_read_once_for_its_parts_and_its_code(monkeypatch):
+    read, feed = [], extract.HTMLParser.feed
+    monkeypatch.setattr(extract.HTMLParser, "feed", lambda self, text: read.append(text) or feed(self, text))
+    page = "<p title=' onclick=a'>x</p>\n<style>li::marker{content:'a'}</style>\n<p onclick=\"f('x:javascript:1')\">x</p><script>g()</script>"
+    assert extract.scan_html(page, Denied()) == [("scripts", "dangerous scheme")]
+    assert read == [page]
+    assert [(kind, page[a:b]) for kind, a, b in extract.html_ranges(page)] == [("handler", "a"), ("style", "li::marker{content:'a'}"), ("handler", "f('x:javascript:1')"), ("script", "g()")]
+    read.clear()
+    assert extract.html_ranges("<p>x:data:y ::note{a}</p>") == [] and read == []
+    assert extract.scan_html("<p>x data:y</p>", Denied()) == [("text", "dangerous scheme"), ("runs", "dangerous scheme")]
+    assert len(read) == 1
