@@ -133,3 +133,16 @@ def test_canonical_json():
     for bad in ('{"a":1,"a":2}', '{"x":{"a":1,"\\u0061":2}}', "{", "[NaN]", "{'a':1}"):
         with pytest.raises(C.Unsafe):
             C.strict_json(bad)
+
+
+def test_a_scan_decodes_once_and_looks_for_nothing_that_a_text_cannot_hold(monkeypatch):
+    denied, work = C.Denied(organisation="acme", repository="vault", roots=("drafts",)), []
+    for owner, name in ((C, "_settled"), (C, "_layers"), (C.Denied, "coordinate"), (C.Denied, "path"), (C.Denied, "identifier")):
+        monkeypatch.setattr(owner, name, lambda *a, name=name, before=getattr(owner, name): work.append(name) or before(*a))
+    assert C.artefact_leak("acme vault drafts", denied, strict=False) is None
+    assert work == ["_settled"]
+    work.clear()
+    assert C._leak("object ring, acme drafts", denied, C.READ_FRAGMENT) is None and work == ["_settled"]
+    assert C._leak("acme%2Fvault", denied, C.PROSE) == "repository coordinate"
+    assert C.artefact_leak("acme/<!---->vault", denied) is None and C.artefact_leak("x*/acme/vault", denied) == "repository coordinate"
+    assert [C.has_control(t, b) for t in ("a\tb\n", "a\x07", "é\n", "é\x07", "é­") for b in (False, True)] == [False, False, True, False, False, False, True, False, True, True]
